@@ -61,7 +61,7 @@ def nearest_join(
 
 def lerp(ts: Column, back: Column, ahead: Column, field: str) -> Column:
     """Value at ``ts`` between two samples; the end samples hold beyond the ends."""
-    frac = (ts - back["t"]) / (ahead["t"] - back["t"])
+    frac = F.try_divide(ts - back["t"], ahead["t"] - back["t"])
     return (
         F.when(back["t"].isNull(), ahead[field])
         .when(ahead["t"].isNull() | (back["t"] == ts), back[field])

@@ -64,7 +64,7 @@ def violation_groups(series: Series, checks: Sequence[Check]) -> DataFrame:
     floor = F.element_at(F.array(*[F.lit(c.min_duration).cast("long") for c in checks]), F.col("check") + 1)
     return groups.where(F.col("end") - F.col("start") >= floor).select(
         *series.keys, names.alias("check"), "start", "end", "n", "v_max", "v_min",
-        (F.col("v_sum") / F.col("v_n")).alias("v_mean"),
+        F.try_divide("v_sum", "v_n").alias("v_mean"),
         F.col("first.v").alias("v_first"), F.col("first.aside").alias("aside"),
     )
 
@@ -128,11 +128,11 @@ def gradient(series: Series, value: str, name: str = "gradient", unit: float = 1
     h0 = (F.col(ts) - F.col("_t0")) * unit
     h1 = (F.col("_t1") - F.col(ts)) * unit
     v, v0, v1 = F.col(value), F.col("_v0"), F.col("_v1")
-    inner = (h0 * h0 * v1 + (h1 * h1 - h0 * h0) * v - h1 * h1 * v0) / (h0 * h1 * (h0 + h1))
+    inner = F.try_divide(h0 * h0 * v1 + (h1 * h1 - h0 * h0) * v - h1 * h1 * v0, h0 * h1 * (h0 + h1))
     g = (
         F.when(F.col("_t0").isNull() & F.col("_t1").isNull(), F.lit(None).cast("double"))
-        .when(F.col("_t0").isNull(), (v1 - v) / h1)
-        .when(F.col("_t1").isNull(), (v - v0) / h0)
+        .when(F.col("_t0").isNull(), F.try_divide(v1 - v, h1))
+        .when(F.col("_t1").isNull(), F.try_divide(v - v0, h0))
         .otherwise(inner)
     )
     return s.with_df(s.df.withColumn(name, g).drop("_t0", "_v0", "_t1", "_v1"))
