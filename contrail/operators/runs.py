@@ -80,7 +80,7 @@ def _stitch(groups: DataFrame, series: Series, gap_of: Column, widest: int) -> D
     """Join groups that continue across a block edge.  Only groups within ``widest`` rows of an
     edge can, so at most a few per block are looked at again; the rest pass through."""
     placed = groups.join(series.offsets(), series.part, "left")
-    near = (F.col("_a") <= F.col("_before") + widest) | (F.col("_b") > F.col("_before") + F.col("_n") - widest)
+    near = (F.col("_a") <= F.col("_blk_before") + widest) | (F.col("_b") > F.col("_blk_before") + F.col("_blk_n") - widest)
     placed = placed.withColumn("_near", near)
     keep = [*series.keys, "check", "start", "end", "_a", "_b", "n", "v_max", "v_min", "v_sum", "v_n", "first"]
     w = Window.partitionBy(*series.keys, "check").orderBy("_a")

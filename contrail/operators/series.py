@@ -95,9 +95,9 @@ class Series:
 
     def offsets(self) -> DataFrame:
         """Rows of the series that precede each block, and the rows in it."""
-        before = F.sum("_n").over(self._block_window().rowsBetween(Window.unboundedPreceding, -1))
-        return self._blocks(F.count(F.lit(1)).alias("_n")).withColumn(
-            "_before", F.coalesce(before, F.lit(0))
+        before = F.sum("_blk_n").over(self._block_window().rowsBetween(Window.unboundedPreceding, -1))
+        return self._blocks(F.count(F.lit(1)).alias("_blk_n")).withColumn(
+            "_blk_before", F.coalesce(before, F.lit(0))
         )
 
     def number(self, name: str = "_rn") -> Series:
@@ -106,7 +106,7 @@ class Series:
         if not self.split:
             return self.with_columns({name: rn})
         out = self.df.withColumn(name, rn).join(self.offsets(), self.part, "left")
-        return self.with_df(out.withColumn(name, F.col(name) + F.col("_before")).drop("_n", "_before"))
+        return self.with_df(out.withColumn(name, F.col(name) + F.col("_blk_before")).drop("_blk_n", "_blk_before"))
 
     def totals(self, aggs: dict[str, Column]) -> Series:
         """Attach aggregates of the whole series to each row."""
