@@ -22,15 +22,20 @@ def first_mention(text: Column, keywords: Iterable[str]) -> Column:
     return F.coalesce(*[F.when(mentions(text, k), F.lit(k)) for k in sorted(keywords)])
 
 
+def strip(text: Column) -> Column:
+    """Drop white space of any kind at both ends."""
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
+
+
 def citation_ids(text: Column) -> Column:
     """IDs inside the first ``[evidence: A, B]`` of a text."""
     inner = F.regexp_extract(text, r"\[evidence:([^\]]*)", 1)
-    ids = F.transform(F.split(inner, ","), lambda x: F.trim(x))
+    ids = F.transform(F.split(inner, ","), strip)
     return F.when(text.contains("[evidence:"), ids).otherwise(F.array().cast("array<string>"))
 
 
 def strip_citations(text: Column) -> Column:
-    return F.trim(F.regexp_replace(text, r"\s*\[evidence:[^\]]+\]", ""))
+    return strip(F.regexp_replace(text, r"\s*\[evidence:[^\]]+\]", ""))
 
 
 def names_firmware(text: Column) -> Column:

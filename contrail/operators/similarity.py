@@ -21,7 +21,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
 
 
 def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Top k columns per row, ties by smaller id."""
+    """Top k columns per row, ties by smaller id.  Rounding makes equal vectors tie exactly."""
+    scores = np.round(scores, 12)
     if scores.shape[1] > k:
         floor = np.partition(scores, -k, axis=1)[:, -k][:, None]
         cols = np.flatnonzero((scores >= floor).any(axis=0))
