@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from contrail.catalogue.base import EV, ORDER, USER, Query, event_series, events, load, micros, rounded, telemetry
+from contrail.catalogue.base import EV, ORDER, USER, Query, event_series, events, load, micros, rounded, telemetry, telemetry_sql
 from contrail.operators import spectrum, stats
 
 PRIO, DAY_ORDER = ["o_orderpriority"], ["day_us", "seq"]
@@ -24,26 +24,45 @@ def welch_psd(spark, sf):
     return w.select("o_orderpriority", F.col("bin").cast("long").alias("bin"), rounded("hz").alias("hz"), F.round("psd_db", 5).alias("psd_db"))
 
 
-_WELCH = f"""WITH {_DAILY},
-n AS (SELECT *, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY o_orderpriority) AS n, day_us - lag(day_us) OVER w AS dt
-  FROM d WINDOW w AS (PARTITION BY o_orderpriority ORDER BY day_us)),
-f AS (SELECT o_orderpriority, least(greatest(1e6 / median(dt), 50.0), 2000.0) AS fs FROM n GROUP BY 1),
-s AS (SELECT n.*, fs, least(512, n // 4) AS s, least(512, n // 4) - least(512, n // 4) // 2 AS hop FROM n JOIN f USING (o_orderpriority)),
-g AS (SELECT o_orderpriority, fs, s, k, p - k * hop AS i, total FROM (SELECT *, unnest(range(0, (n - s) // hop + 1)) AS k FROM s WHERE s >= 16)
+def _welch_sql(src, key, ts, value, max_seg, fs):
+    """CTEs up to ``psd``: (key, bin, hz, psd, fs)."""
+    return f"""n AS (SELECT {key}, {ts} AS ts, {value} AS v, row_number() OVER w - 1 AS p, count(*) OVER (PARTITION BY {key}) AS n, {ts} - lag({ts}) OVER w AS dt
+  FROM {src} WINDOW w AS (PARTITION BY {key} ORDER BY {ts}, seq)),
+f AS (SELECT {key}, {fs} AS fs FROM n GROUP BY 1),
+s AS (SELECT n.*, fs, least({max_seg}, n // 4) AS s, least({max_seg}, n // 4) - least({max_seg}, n // 4) // 2 AS hop FROM n JOIN f USING ({key})),
+g AS (SELECT {key}, fs, s, k, p - k * hop AS i, v FROM (SELECT *, unnest(range(0, (n - s) // hop + 1)) AS k FROM s WHERE s >= 16)
   WHERE p BETWEEN k * hop AND k * hop + s - 1),
-x AS (SELECT *, (total - avg(total) OVER (PARTITION BY o_orderpriority, k)) * (0.5 - 0.5 * cos(2 * pi() * i / s)) AS x,
-  pow(0.5 - 0.5 * cos(2 * pi() * i / s), 2) AS w2 FROM g),
-b AS (SELECT o_orderpriority, fs, s, k, bin, pow(sum(x * cos(2 * pi() * ((bin * i) % s) / s)), 2) + pow(sum(x * sin(2 * pi() * ((bin * i) % s) / s)), 2) AS pw, sum(w2) AS w2
+x AS (SELECT *, (v - avg(v) OVER (PARTITION BY {key}, k)) * (0.5 - 0.5 * cos(2 * pi() * i / s)) AS x, pow(0.5 - 0.5 * cos(2 * pi() * i / s), 2) AS w2 FROM g),
+b AS (SELECT {key}, fs, s, k, bin, pow(sum(x * cos(2 * pi() * ((bin * i) % s) / s)), 2) + pow(sum(x * sin(2 * pi() * ((bin * i) % s) / s)), 2) AS pw, sum(w2) AS w2
   FROM (SELECT *, unnest(range(0, s // 2 + 1)) AS bin FROM x) GROUP BY ALL),
-q AS (SELECT o_orderpriority, bin, bin * fs / s AS hz, avg(pw / (fs * w2) * CASE WHEN bin = 0 OR (s % 2 = 0 AND bin = s // 2) THEN 1 ELSE 2 END) AS psd
-  FROM b GROUP BY o_orderpriority, bin, fs, s)
-SELECT o_orderpriority, bin, round(hz, 8) AS hz, round(10 * log10(greatest(psd, 1e-20)), 5) AS psd_db FROM q"""
+psd AS (SELECT {key}, bin, bin * fs / s AS hz, avg(pw / (fs * w2) * CASE WHEN bin = 0 OR (s % 2 = 0 AND bin = s // 2) THEN 1 ELSE 2 END) AS psd, fs
+  FROM b GROUP BY {key}, bin, fs, s)"""
+
+
+_ORDERS_PSD = _welch_sql("(SELECT *, 0 AS seq FROM d)", "o_orderpriority", "day_us", "total", 512, "least(greatest(1e6 / median(dt), 50.0), 2000.0)")
+_WELCH = f"""WITH {_DAILY}, {_ORDERS_PSD}
+SELECT o_orderpriority, bin, round(hz, 8) AS hz, round(10 * log10(greatest(psd, 1e-20)), 5) AS psd_db FROM psd"""
 
 
 def spectral_peaks(spark, sf):
     w = spectrum.welch(daily_orders(spark, sf), PRIO, DAY_ORDER, {"total": "total"})
-    p = spectrum.label_peaks(spectrum.spectral_peaks(w, PRIO, 1.0, 500.0, 3.0, 0.3), PRIO)
-    return p.select("o_orderpriority", "rank", rounded("hz").alias("hz"), F.round("db", 5).alias("db"), "harmonic_order", "label")
+    p = spectrum.label_peaks(spectrum.spectral_peaks(w, PRIO, 1.0, 500.0, 3.0, 0.1), PRIO)
+    return p.select("o_orderpriority", "rank", rounded("hz").alias("hz"), F.round("db", 5).alias("db"), rounded("motor_hz").alias("motor_hz"), "harmonic_order")
+
+
+# spacing is one bin here, so every local maximum is a candidate
+_PEAKS = f"""WITH {_DAILY}, {_ORDERS_PSD}, q AS (SELECT *, 10 * log10(greatest(psd, 1e-20)) AS db FROM psd WHERE hz BETWEEN 1.0 AND least(fs / 2, 500.0)),
+m AS (SELECT *, lag(db) OVER w AS l, lead(db) OVER w AS r FROM q WINDOW w AS (PARTITION BY o_orderpriority ORDER BY bin)),
+c AS (SELECT * FROM m WHERE db > l AND db > r),
+e AS (SELECT c.o_orderpriority, c.bin, any_value(c.hz) AS hz, any_value(c.db) AS db, max(q.bin) FILTER (q.bin < c.bin AND q.db > c.db) AS lb, min(q.bin) FILTER (q.bin > c.bin AND q.db > c.db) AS rb
+  FROM c JOIN q USING (o_orderpriority) GROUP BY 1, 2),
+p AS (SELECT e.o_orderpriority, e.bin, any_value(e.hz) AS hz, any_value(e.db) AS db,
+  greatest(min(q.db) FILTER (q.bin <= e.bin AND q.bin > coalesce(lb, -1)), min(q.db) FILTER (q.bin >= e.bin AND q.bin < coalesce(rb, 1000000))) AS base
+  FROM e JOIN q USING (o_orderpriority) GROUP BY 1, 2),
+k AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY db DESC) AS rank FROM p WHERE db - base >= 3.0),
+h AS (SELECT *, arg_min(hz, rank) FILTER (hz BETWEEN 20 AND 200) OVER (PARTITION BY o_orderpriority) AS motor FROM k)
+SELECT o_orderpriority, rank, round(hz, 8) AS hz, round(db, 5) AS db, round(motor, 8) AS motor_hz,
+  list_min(list_filter(range(1, 8), lambda n: abs(hz - motor * n) < motor * 0.05)) AS harmonic_order FROM h WHERE rank <= 10"""
 
 
 def vibration_report(spark, sf):
@@ -64,6 +83,12 @@ def control_oscillation(spark, sf):
     return o.select("flight_id", "timestamp_us", F.round("osc_power", 6).alias("osc_power"))
 
 
+_OSC = f"""{telemetry_sql('ATT', by='type')}, {_welch_sql('ATT', 'flight_id', 'timestamp_us', 'roll_deg', 256, '1e6 / median(dt)')},
+top AS (SELECT flight_id, max(psd) FILTER (hz BETWEEN 2.0 AND 10.0) AS osc, quantile_cont(psd, 0.9) AS p90 FROM psd GROUP BY 1),
+c AS (SELECT flight_id, min(timestamp_us) AS timestamp_us FROM ATT GROUP BY 1 HAVING count(*) > 100)
+SELECT flight_id, timestamp_us, round(osc, 6) AS osc_power FROM top JOIN c USING (flight_id) WHERE osc > p90"""
+
+
 def xcorr_lag(spark, sf):
     o = load(spark, sf, "orders").groupBy(micros("o_orderdate").alias("day_us")).agg(F.round(F.sum("o_totalprice"), 2).alias("a"))
     s = load(spark, sf, "lineitem").groupBy(micros("l_shipdate").alias("day_us")).agg(F.round(F.sum("l_extendedprice"), 2).alias("b"))
@@ -116,9 +141,9 @@ SELECT user_id, axis, round(r, 8) AS rms, CASE WHEN r < 5 THEN 'GOOD' WHEN r < 1
 
 QUERIES = [
     Query("welch_psd", welch_psd, _WELCH),
-    Query("spectral_peaks", spectral_peaks),
+    Query("spectral_peaks", spectral_peaks, _PEAKS),
     Query("vibration_report", vibration_report, _VIB),
-    Query("control_oscillation", control_oscillation),
+    Query("control_oscillation", control_oscillation, _OSC),
     Query("axis_levels", axis_levels, _LEVELS),
     Query("xcorr_lag", xcorr_lag, _XCORR),
     Query("changepoints", changepoints, _CHANGE),

@@ -10,16 +10,19 @@ from pyspark.sql import functions as F
 _WORD = r"[\p{L}\p{N}_]"
 
 
-def mentions(text: Column, keyword: str) -> Column:
-    """A single word matches on word boundaries, a phrase anywhere.  ``text`` is lower case."""
-    if " " in keyword:
-        return text.contains(keyword)
-    return text.contains(keyword) & text.rlike(f"(?<!{_WORD})\\Q{keyword}\\E(?!{_WORD})")
+def known_words(text: Column, keywords: Iterable[str]) -> Column:
+    """Those single-word keywords that occur as whole words: one pass, however many there are."""
+    single = sorted({k for k in keywords if " " not in k})
+    return F.array_intersect(F.split(text, f"[^{_WORD[1:-1]}]+"), F.array(*[F.lit(k) for k in single]))
 
 
-def first_mention(text: Column, keywords: Iterable[str]) -> Column:
-    """The first keyword, in alphabetical order, that the text mentions."""
-    return F.coalesce(*[F.when(mentions(text, k), F.lit(k)) for k in sorted(keywords)])
+def first_mention(text: Column, found: Column, keywords: Iterable[str]) -> Column:
+    """The first keyword, in alphabetical order, that the text mentions.
+
+    A single word counts when it is among ``found``, a phrase when it occurs anywhere."""
+    return F.coalesce(*[
+        F.when(text.contains(k) if " " in k else F.array_contains(found, k), F.lit(k)) for k in sorted(keywords)
+    ])
 
 
 def strip(text: Column) -> Column:

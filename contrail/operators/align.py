@@ -18,6 +18,7 @@ def _timeline(
     seq: str,
     max_rows: int | None,
     main_first: bool = False,
+    sized_by: Sequence[DataFrame] | None = None,
 ) -> Series:
     """Main rows and the rows of every other table on one ordered line.
 
@@ -33,7 +34,7 @@ def _timeline(
             F.lit(False).alias("_own"), payload.alias(f"_p_{name}"),
         )
         all_rows = all_rows.unionByName(part, allowMissingColumns=True)
-    s = open_series(all_rows, keys, [ts, "_tag", "_tie"], max_rows)
+    s = open_series(all_rows, keys, [ts, "_tag", "_tie"], max_rows, sized_by)
     return s.carry({name: f"_p_{name}" for name in others})
 
 
@@ -113,13 +114,13 @@ def count_following(
     """Rows of ``other`` inside [ts, ts + within]: two positions on a running count."""
     s = open_series(other.select(*keys, ts, seq), keys, [ts, seq], max_rows)
     counted = s.number("_c").df.drop(BLOCK)
-    start = _timeline(main, {"a": (counted, ["_c"])}, keys, ts, seq, max_rows, main_first=True)
+    start = _timeline(main, {"a": (counted, ["_c"])}, keys, ts, seq, max_rows, True, [main, other])
     lead = start.df.where("_own").select(
         *main.columns, F.coalesce(F.col("a_prev")["_c"], F.lit(0)).alias("_c0")
     )
     # the window's far end becomes the order column; the original time rides along
     far = lead.withColumn("_at", F.col(ts)).withColumn(ts, F.col(ts) + within)
-    end = _timeline(far, {"b": (counted, ["_c"])}, keys, ts, seq, max_rows)
+    end = _timeline(far, {"b": (counted, ["_c"])}, keys, ts, seq, max_rows, sized_by=[main, other])
     n = F.coalesce(F.col("b_prev")["_c"], F.lit(0)) - F.col("_c0")
     return end.df.where("_own").select(
         *[F.col("_at").alias(ts) if c == ts else F.col(c) for c in main.columns], n.cast("long").alias(name)
@@ -135,10 +136,11 @@ def assign_segment(
     seq: str = "seq",
     start: str = "start_us",
     max_rows: int | None = None,
+    sized_by: Sequence[DataFrame] | None = None,
 ) -> DataFrame:
     """Give each row the last segment that starts at or before it (struct ``segment``)."""
     seg = segments.select(*keys, F.col(start).alias(ts), F.lit(0).cast("long").alias(seq), *fields)
-    s = _timeline(rows, {"segment": (seg, fields)}, keys, ts, seq, max_rows)
+    s = _timeline(rows, {"segment": (seg, fields)}, keys, ts, seq, max_rows, sized_by=sized_by)
     return s.df.where("_own").select(*rows.columns, F.col("segment_prev").alias("segment"))
 
 

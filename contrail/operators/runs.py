@@ -56,7 +56,9 @@ def violation_groups(series: Series, checks: Sequence[Check]) -> DataFrame:
         F.min("_rn").alias("_a"), F.max("_rn").alias("_b"), F.count(F.lit(1)).alias("n"),
         F.max("v").alias("v_max"), F.min("v").alias("v_min"), F.sum("v").alias("v_sum"),
         F.count("v").alias("v_n"),
-        F.min_by(F.struct("v", "aside"), "_rn").alias("first"),
+        # plain doubles keep this a hash aggregate; _new marks the first row of a group
+        F.max(F.when(F.col("_new") == 1, F.col("v"))).alias("v_first"),
+        F.max(F.when(F.col("_new") == 1, F.col("aside"))).alias("aside"),
     )
     if series.split:
         groups = _stitch(groups, series, gap_of, max(c.gap for c in checks))
@@ -65,7 +67,7 @@ def violation_groups(series: Series, checks: Sequence[Check]) -> DataFrame:
     return groups.where(F.col("end") - F.col("start") >= floor).select(
         *series.keys, names.alias("check"), "start", "end", "n", "v_max", "v_min",
         F.try_divide("v_sum", "v_n").alias("v_mean"),
-        F.col("first.v").alias("v_first"), F.col("first.aside").alias("aside"),
+        "v_first", "aside",
     )
 
 
@@ -82,7 +84,7 @@ def _stitch(groups: DataFrame, series: Series, gap_of: Column, widest: int) -> D
     placed = groups.join(series.offsets(), series.part, "left")
     near = (F.col("_a") <= F.col("_blk_before") + widest) | (F.col("_b") > F.col("_blk_before") + F.col("_blk_n") - widest)
     placed = placed.withColumn("_near", near)
-    keep = [*series.keys, "check", "start", "end", "_a", "_b", "n", "v_max", "v_min", "v_sum", "v_n", "first"]
+    keep = [*series.keys, "check", "start", "end", "_a", "_b", "n", "v_max", "v_min", "v_sum", "v_n", "v_first", "aside"]
     w = Window.partitionBy(*series.keys, "check").orderBy("_a")
     fresh = F.coalesce(F.col("_a") - F.lag("_b").over(w) > gap_of, F.lit(True))
     edge = placed.where("_near").select(*keep).withColumn("_new", fresh.cast("int"))
@@ -93,7 +95,7 @@ def _stitch(groups: DataFrame, series: Series, gap_of: Column, widest: int) -> D
             F.min("start").alias("start"), F.max("end").alias("end"),
             F.min("_a").alias("_a"), F.max("_b").alias("_b"), F.sum("n").alias("n"),
             F.max("v_max").alias("v_max"), F.min("v_min").alias("v_min"), F.sum("v_sum").alias("v_sum"),
-            F.sum("v_n").alias("v_n"), F.min_by("first", "_a").alias("first"),
+            F.sum("v_n").alias("v_n"), F.min_by("v_first", "_a").alias("v_first"), F.min_by("aside", "_a").alias("aside"),
         )
         .drop("_g")
     )

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,8 @@ from contrail.session import BROADCAST_ROWS
 
 BLOCK = "_blk"
 MAX_ROWS = 5_000_000
+QUANTILE_ROWS = 1_000_000
+SMALL_BYTES = 64 << 20
 MAX_ROWS_CONF = "spark.contrail.maxSeriesRows"
 CELLS = 65_536  # grid cells per long series; the block table never exceeds this per series
 CELLS_BROADCAST_SERIES = 16
@@ -167,16 +170,34 @@ class Series:
         return self.with_df(out.drop("_pos", "_home", "_run"))
 
 
+def _estimated_bytes(df: DataFrame) -> int:
+    """Optimizer's size estimate; files give their sizes, joins the product of their sides."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _fits_one_task(df: DataFrame, keys: tuple[str, ...], limit: int, sized_by: Sequence[DataFrame]) -> bool:
+    if sum(d.count() for d in sized_by) <= limit:
+        return True
+    rows = reduce(DataFrame.unionByName, [d.select(*keys) for d in sized_by])
+    return rows.groupBy(*keys).count().where(F.col("count") > limit).limit(1).count() == 0
+
+
 def open_series(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None,
+    sized_by: Sequence[DataFrame] | None = None,
 ) -> Series:
     """Check the largest series and cut the long ones into blocks.
 
-    Keys and the first order column must not be NULL.  ``order`` must be unique within a series."""
+    Input the optimizer puts under ``SMALL_BYTES`` in all is not counted.  ``sized_by`` names
+    tables with the same keys whose rows together bound those of ``df`` per key; they are counted
+    in place of a costly ``df``.  Keys and the first order column must not be NULL, and ``order``
+    must be unique within a series."""
     keys, order = tuple(keys), tuple(order)
     limit = max_rows or max_series_rows(df.sparkSession)
     whole = Series(df, keys, order, False, limit)
-    if df.count() <= limit:
+    if max_rows is None and _estimated_bytes(df) <= SMALL_BYTES:
+        return whole
+    if _fits_one_task(df, keys, limit, sized_by or [df]):
         return whole
     pos = order[0]
     long_ones = (
@@ -214,10 +235,16 @@ def open_series(
     return Series(blocked, keys, order, True, limit)
 
 
-def exact_quantile(df: DataFrame, keys: Sequence[str], value: str, q: float, max_rows: int | None = None) -> DataFrame:
+def exact_quantile(
+    df: DataFrame, keys: Sequence[str], value: str, q: float, max_rows: int | None = None,
+    sized_by: Sequence[DataFrame] | None = None,
+) -> DataFrame:
     """Linear-interpolated quantile per key: (keys, value).  Long groups are ranked in blocks."""
     src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    s = open_series(src, keys, ["_v"], max_rows)
+    # an exact percentile holds a group's distinct values in memory, hence the lower limit
+    small = max_rows is None and _estimated_bytes(src) <= SMALL_BYTES
+    limit = max_rows or min(max_series_rows(df.sparkSession), QUANTILE_ROWS)
+    s = Series(src, tuple(keys), ("_v",), False, limit) if small else open_series(src, keys, ["_v"], limit, sized_by)
     if not s.split:
         return src.groupBy(*keys).agg(F.percentile("_v", F.lit(q)).alias(value))
     ranked = s.number("_r").totals({"_n": F.count(F.lit(1))}).df

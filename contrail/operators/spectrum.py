@@ -23,7 +23,7 @@ def sample_rates(df: DataFrame, keys: Sequence[str], order: Sequence[str], lo: f
     keys, ts = list(keys), order[0]
     s = open_series(df.select(*keys, *order), keys, order, max_rows).shift({"_t0": ts})
     steps = s.df.select(*keys, (F.col(ts) - F.col("_t0")).alias("_dt"))
-    mid = exact_quantile(steps, keys, "_dt", 0.5, max_rows).where("_dt > 0")
+    mid = exact_quantile(steps, keys, "_dt", 0.5, max_rows, [df]).where("_dt > 0")
     n = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
     fs = F.least(F.greatest(F.lit(1e6) / F.col("_dt"), F.lit(lo)), F.lit(hi))
     return mid.join(n, keys).select(*keys, fs.alias("fs"), "n")

@@ -203,13 +203,12 @@ def _tree_depth(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
 
 def isolation_scores(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], unique: Sequence[str],
-    n_trees: int = 100, min_rows: int = 20, seed: int = 42, chunk_rows: int = 100_000,
+    n_trees: int = 100, min_rows: int = 20, seed: int = 42, chunk_rows: int = 50_000,
 ) -> DataFrame:
     """Isolation score per complete row (more negative = more isolated), one forest per key.
 
-    The rows with the smallest hashes of each key feed the trees, up to 256 per tree; the number
-    kept per key is fixed, so the group limit applies before the shuffle.  Rows are then scored in
-    chunks of bounded size next to a copy of their forest's sample, so a key of any size is spread."""
+    The rows with the smallest hashes of each key feed the trees, up to 256 per tree.  Rows are
+    then scored in chunks of bounded size next to a copy of their forest's sample, so a key of any size is spread."""
     keys, features = list(keys), list(features)
     if len(features) < 2 or any(f not in df.columns for f in features):
         return df.limit(0).withColumn("score", F.lit(None).cast("double"))
@@ -217,39 +216,56 @@ def isolation_scores(
     for f in features:
         whole = whole.where(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")))
     order = F.xxhash64(*unique, F.lit(seed))
-    w = Window.partitionBy(*keys).orderBy(order, *unique)
-    cap = min(n_trees * SAMPLE, 25_600)
+    cap = n_trees * SAMPLE
+    sizes = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
+    # a hash threshold leaves about four times the cap per key, so ranking never sees a whole key
+    share = F.least(F.lit(1.0), F.lit(4.0 * cap) / F.col("_n"))
+    low = whole.join(sizes, keys).where(F.pmod(order, F.lit(1 << 53)) / float(1 << 53) <= share)
+    w = Window.partitionBy(*keys).orderBy(F.pmod(order, F.lit(1 << 53)), *unique)
     cols = [F.col(f).cast("double").alias(f) for f in features]
     sample = (
-        whole.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap)
+        low.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap)
         .select(*keys, F.col("_k").alias("_rank"), *cols)
     )
-    sizes = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
     chunks = F.greatest(F.ceil(F.col("_n") / chunk_rows), F.lit(1))
     sized = sizes.select(*keys, chunks.alias("_chunks"))
     rows = whole.join(sized, keys).withColumn("_chunk", F.pmod(order, F.col("_chunks")).cast("long"))
-    copies = sample.join(sized, keys).select(
-        *[F.col(k).alias(f"_to_{k}") for k in keys], "_rank", *features,
+    names, feature_names = list(df.columns), features
+    fields = [df.schema[k] for k in keys]
+    forest_schema = T.StructType([
+        *fields, T.StructField("feature", T.ArrayType(T.LongType())), T.StructField("cut", T.ArrayType(T.DoubleType())),
+        T.StructField("left", T.ArrayType(T.LongType())), T.StructField("path", T.ArrayType(T.DoubleType())),
+        T.StructField("size", T.LongType()),
+    ])
+
+    def fit(train: pd.DataFrame) -> pd.DataFrame:
+        pool = train.sort_values("_rank")[feature_names].to_numpy(dtype=float)
+        size = min(SAMPLE, len(pool))
+        trees = []
+        for i in range(n_trees):
+            rng = np.random.default_rng([seed, i])
+            trees.append(_grow_tree(pool[rng.choice(len(pool), size, replace=False)], rng))
+        head = {k: np.full(n_trees, train[k].iloc[0], dtype=object) for k in keys}
+        return pd.DataFrame({**head, **{c: [t[c] for t in trees] for c in ("feature", "cut", "left", "path")}, "size": size})
+
+    # one fit per key on a bounded sample; a forest of flat arrays is then copied to each chunk
+    forest = sample.groupBy(*keys).applyInPandas(fit, forest_schema)
+    copies = forest.join(sized, keys).select(
+        *[F.col(k).alias(f"_to_{k}") for k in keys], "feature", "cut", "left", "path", "size",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_to_chunk"),
     )
     schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
-    names = list(df.columns)
 
-    def score(data: pd.DataFrame, train: pd.DataFrame) -> pd.DataFrame:
-        if data.empty or train.empty:
+    def score(data: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        if data.empty or trees.empty:
             return data[names].astype(object).head(0).assign(score=0.0)
-        pool = train.sort_values("_rank")[features].to_numpy(dtype=float)
-        x = data[features].to_numpy(dtype=float)
-        per_tree = min(SAMPLE, len(pool))
+        x = data[feature_names].to_numpy(dtype=float)
         depth = np.zeros(len(x))
-        for i in range(n_trees):
-            rng = np.random.default_rng([seed, i])
-            pick = rng.choice(len(pool), per_tree, replace=False)
-            depth += _tree_depth(_grow_tree(pool[pick], rng), x)
-        scale = float(_mean_path(per_tree)) or 1.0
-        out = data[names].copy()
-        out["score"] = -np.power(2.0, -depth / n_trees / scale)
-        return out
+        for row in trees.itertuples(index=False):
+            tree = {c: np.asarray(getattr(row, c)) for c in ("feature", "cut", "left", "path")}
+            depth += _tree_depth(tree, x)
+        scale = float(_mean_path(trees["size"].iloc[0])) or 1.0
+        return data[names].assign(score=-np.power(2.0, -depth / len(trees) / scale))
 
     to = [*[f"_to_{k}" for k in keys], "_to_chunk"]
     return rows.groupBy(*keys, "_chunk").cogroup(copies.groupBy(*to)).applyInPandas(score, schema)
