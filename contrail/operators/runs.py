@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,6 +14,8 @@ from pyspark.sql.window import Window
 from contrail.operators.series import BLOCK, Series, open_series
 from contrail.session import ensure_checkpoint_dir
 
+FOLD_ROWS = 500  # longest island folded as an array
+
 
 @dataclass(frozen=True)
 class Check:
@@ -166,8 +170,9 @@ def spaced_events(series: Series, spacing: int) -> DataFrame:
     """Keep an event only when it comes more than ``spacing`` after the last kept one.
 
     The choice depends on all earlier choices.  Series that fit a task are cut into islands at
-    gaps wider than ``spacing`` and folded in order; longer ones follow next-kept pointers,
-    doubling the stride each round, so no task needs the whole series."""
+    gaps wider than ``spacing``; short islands are folded in order, long ones jump from kept event
+    to kept event.  Longer series follow next-kept pointers, doubling the stride each round, so no
+    task needs the whole series."""
     ts = series.order[0]
     if series.split:
         return _spaced_by_pointers(series, spacing)
@@ -175,11 +180,29 @@ def spaced_events(series: Series, spacing: int) -> DataFrame:
     fresh = F.coalesce(F.col(ts) - F.col("_t0") > spacing, F.lit(True)).cast("int")
     s = s.with_df(s.df.withColumn("_new", fresh))
     s = s.with_columns({"_isle": F.sum("_new").over(s.window)})
-    payload = [c for c in s.df.columns if c not in (*series.keys, "_t0", "_new", "_isle")]
-    first = [*series.order, *[c for c in payload if c not in series.order]]
-    isle = s.df.groupBy(*series.keys, "_isle").agg(
-        F.sort_array(F.collect_list(F.struct(*first))).alias("_rows")
-    )
+    isle = [*series.keys, "_isle"]
+    size = F.count(F.lit(1)).over(Window.partitionBy(*isle))
+    rows = s.df.drop("_t0", "_new").withColumn("_size", size)
+    short = _fold_islands(rows.where(F.col("_size") <= FOLD_ROWS), isle, series, spacing)
+    columns = series.df.columns
+
+    def jump(island: pd.DataFrame) -> pd.DataFrame:
+        island = island.sort_values(list(series_order))
+        times, kept, i = island[ts].to_numpy(), [], 0
+        while i < len(times):
+            kept.append(i)
+            i = int(np.searchsorted(times, times[i] + spacing, side="right"))
+        return island.iloc[kept][columns]
+
+    series_order = tuple(series.order)
+    long_ = rows.where(F.col("_size") > FOLD_ROWS).groupBy(*isle).applyInPandas(jump, series.df.schema)
+    return short.select(*columns).unionByName(long_)
+
+
+def _fold_islands(rows: DataFrame, isle: list[str], series: Series, spacing: int) -> DataFrame:
+    ts = series.order[0]
+    rest = [c for c in series.df.columns if c not in series.keys and c not in series.order]
+    lists = rows.groupBy(*isle).agg(F.sort_array(F.collect_list(F.struct(*series.order, *rest))).alias("_rows"))
     kept = F.aggregate(
         "_rows",
         F.slice("_rows", 1, 0),
@@ -188,8 +211,7 @@ def spaced_events(series: Series, spacing: int) -> DataFrame:
             F.concat(acc, F.array(x)),
         ).otherwise(acc),
     )
-    out = isle.select(*series.keys, F.explode(kept).alias("_r")).select(*series.keys, "_r.*")
-    return out.select(*[c for c in series.df.columns])
+    return lists.select(*series.keys, F.explode(kept).alias("_r")).select(*series.keys, "_r.*")
 
 
 def _spaced_by_pointers(series: Series, spacing: int) -> DataFrame:

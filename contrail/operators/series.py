@@ -82,19 +82,19 @@ class Series:
         aggs, edge, local, names = [], [], {}, {}
         if prev:
             row = F.struct(*[F.col(c).alias(n) for n, c in prev.items()])
-            aggs.append(F.max_by(row, key).alias("_last"))
-            edge.append(F.lag("_last").over(self._block_window()).alias("_edge_prev"))
-            local["_prev"] = F.lag(row).over(w)
-            names |= {n: F.coalesce("_prev", "_edge_prev")[n] for n in prev}
+            aggs.append(F.max_by(row, key).alias("_blk_last"))
+            edge.append(F.lag("_blk_last").over(self._block_window()).alias("_blk_edge_prev"))
+            local["_blk_prev"] = F.lag(row).over(w)
+            names |= {n: F.coalesce("_blk_prev", "_blk_edge_prev")[n] for n in prev}
         if nxt:
             row = F.struct(*[F.col(c).alias(n) for n, c in nxt.items()])
-            aggs.append(F.min_by(row, key).alias("_first"))
-            edge.append(F.lead("_first").over(self._block_window()).alias("_edge_next"))
-            local["_next"] = F.lead(row).over(w)
-            names |= {n: F.coalesce("_next", "_edge_next")[n] for n in nxt}
+            aggs.append(F.min_by(row, key).alias("_blk_first"))
+            edge.append(F.lead("_blk_first").over(self._block_window()).alias("_blk_edge_next"))
+            local["_blk_next"] = F.lead(row).over(w)
+            names |= {n: F.coalesce("_blk_next", "_blk_edge_next")[n] for n in nxt}
         edges = self._blocks(*aggs).select(*self.part, *edge)
         out = self.df.withColumns(local).join(edges, self.part, "left").withColumns(names)
-        return self.with_df(out.drop("_prev", "_next", "_edge_prev", "_edge_next"))
+        return self.with_df(out.drop("_blk_prev", "_blk_next", "_blk_edge_prev", "_blk_edge_next"))
 
     def offsets(self) -> DataFrame:
         """Rows of the series that precede each block, and the rows in it."""
@@ -155,19 +155,19 @@ class Series:
         if not self.split:
             return self.with_df(fn(self.df, self.window))
         size = max(self.max_rows // 2, 2 * halo, 1)
-        pos = F.col("_pos") - 1
+        pos = F.col("_blk_pos") - 1
         home = F.floor(pos / size)
-        sent = self.number("_pos").df.withColumn("_home", home).withColumn(
-            "_run",
+        sent = self.number("_blk_pos").df.withColumn("_blk_home", home).withColumn(
+            "_blk_run",
             F.explode(
                 F.array_distinct(
                     F.array(F.floor(F.greatest(pos - halo, F.lit(0)) / size), home, F.floor((pos + halo) / size))
                 )
             ),
         )
-        w = Window.partitionBy(*self.keys, "_run").orderBy("_pos")
-        out = fn(sent, w).where(F.col("_run") == F.col("_home"))
-        return self.with_df(out.drop("_pos", "_home", "_run"))
+        w = Window.partitionBy(*self.keys, "_blk_run").orderBy("_blk_pos")
+        out = fn(sent, w).where(F.col("_blk_run") == F.col("_blk_home"))
+        return self.with_df(out.drop("_blk_pos", "_blk_home", "_blk_run"))
 
 
 def _estimated_bytes(df: DataFrame) -> int:
@@ -202,10 +202,10 @@ def open_series(
     pos = order[0]
     long_ones = (
         df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(pos).alias("_lo"), F.max(pos).alias("_hi"))
-        .where(F.col("_n") > limit)
-        .withColumn("_width", F.greatest((F.col("_hi") - F.col("_lo")) / CELLS, F.lit(1e-300)))
-        .select(*keys, "_lo", "_width")
+        .agg(F.count(F.lit(1)).alias("_blk_n"), F.min(pos).alias("_blk_lo"), F.max(pos).alias("_blk_hi"))
+        .where(F.col("_blk_n") > limit)
+        .withColumn("_blk_width", F.greatest((F.col("_blk_hi") - F.col("_blk_lo")) / CELLS, F.lit(1e-300)))
+        .select(*keys, "_blk_lo", "_blk_width")
     )
     found = long_ones.limit(BROADCAST_ROWS + 1).collect()
     if not found:
@@ -214,23 +214,23 @@ def open_series(
     if few:
         long_ones = F.broadcast(df.sparkSession.createDataFrame(found, long_ones.schema))
     placed = df.join(long_ones, list(keys), "left").withColumn(
-        "_cell",
-        F.least(F.floor((F.col(pos) - F.col("_lo")) / F.col("_width")), F.lit(CELLS - 1)).cast("int"),
+        "_blk_cell",
+        F.least(F.floor((F.col(pos) - F.col("_blk_lo")) / F.col("_blk_width")), F.lit(CELLS - 1)).cast("int"),
     )
-    upto = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(*keys).orderBy("_blk_cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = (
-        placed.where(F.col("_cell").isNotNull())
-        .groupBy(*keys, "_cell")
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0)))
-        .select(*keys, "_cell", F.floor(F.col("_before") / max(limit // 2, 1)).alias(BLOCK))
+        placed.where(F.col("_blk_cell").isNotNull())
+        .groupBy(*keys, "_blk_cell")
+        .agg(F.count(F.lit(1)).alias("_blk_n"))
+        .withColumn("_blk_before", F.coalesce(F.sum("_blk_n").over(upto), F.lit(0)))
+        .select(*keys, "_blk_cell", F.floor(F.col("_blk_before") / max(limit // 2, 1)).alias(BLOCK))
     )
     if few and len(found) <= CELLS_BROADCAST_SERIES:
         cells = F.broadcast(cells)
     blocked = (
-        placed.join(cells, [*keys, "_cell"], "left")
+        placed.join(cells, [*keys, "_blk_cell"], "left")
         .withColumn(BLOCK, F.coalesce(BLOCK, F.lit(0)))
-        .drop("_cell", "_lo", "_width")
+        .drop("_blk_cell", "_blk_lo", "_blk_width")
     )
     return Series(blocked, keys, order, True, limit)
 
@@ -247,8 +247,8 @@ def exact_quantile(
     s = Series(src, tuple(keys), ("_v",), False, limit) if small else open_series(src, keys, ["_v"], limit, sized_by)
     if not s.split:
         return src.groupBy(*keys).agg(F.percentile("_v", F.lit(q)).alias(value))
-    ranked = s.number("_r").totals({"_n": F.count(F.lit(1))}).df
-    at = (F.col("_n") - 1) * F.lit(float(q))
+    ranked = s.number("_r").totals({"_blk_n": F.count(F.lit(1))}).df
+    at = (F.col("_blk_n") - 1) * F.lit(float(q))
     lo = F.floor(at)
     near = ranked.where((F.col("_r") - 1 == lo) | (F.col("_r") - 1 == F.ceil(at)))
     g = near.groupBy(*keys).agg(

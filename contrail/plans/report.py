@@ -151,19 +151,34 @@ def hypothesis(df: DataFrame, title: Column, description: Column, source: str, c
 
 
 def gps_hypotheses(scores: DataFrame, anomalies: DataFrame) -> DataFrame:
-    """``scores``: (flight, integrity_score, confidence, summary, causal_to_ekf_failure)."""
-    # distinct descriptions per flight; each rule contributes few, and the gathered list is capped by them
+    """``scores``: (flight, integrity_score, confidence, summary, causal_to_ekf_failure).
+
+    ``evidence_for`` holds the first critical line of each rule; every line is in
+    ``gps_hypothesis_evidence``, as rows."""
     crit = anomalies.where("category = 'GPS' and severity = 'CRITICAL'")
-    lines = first_rows(crit, [FLIGHT], [TS, "rule_name", "channel"], CRITICAL_CAP).groupBy(FLIGHT).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(TS, "rule_name", "description"))), lambda x: x["description"]).alias("_for")
+    per_rule = crit.groupBy(FLIGHT, "rule_name").agg(
+        F.min(TS).alias("_t"), F.min_by("description", F.struct(TS, "channel")).alias("_d")
+    )
+    lines = per_rule.groupBy(FLIGHT).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("_t", "rule_name", "_d"))), lambda x: x["_d"]).alias("_for")
     )
-    bad = scores.where((F.col("integrity_score") < 50) | F.col("causal_to_ekf_failure")).join(lines, FLIGHT, "left")
+    bad = _doubtful(scores).join(lines, FLIGHT, "left")
     return hypothesis(
         bad, F.format_string("GPS degradation (score=%.0f/100)", "integrity_score"), F.col("summary"), "GPSIntegrityAgent",
         F.col("confidence"), "supported", F.coalesce("_for", F.array().cast("array<string>")),
     )
 
 
+def gps_hypothesis_evidence(scores: DataFrame, anomalies: DataFrame) -> DataFrame:
+    """(flight, timestamp_us, rule_name, description) of all critical GPS anomalies behind a hypothesis."""
+    crit = anomalies.where("category = 'GPS' and severity = 'CRITICAL'")
+    return crit.join(_doubtful(scores).select(FLIGHT), FLIGHT, "left_semi").select(FLIGHT, TS, "rule_name", "description")
+
+
+def _doubtful(scores: DataFrame) -> DataFrame:
+    return scores.where((F.col("integrity_score") < 50) | F.col("causal_to_ekf_failure"))
+
+
 def filter_hypotheses(health: DataFrame) -> DataFrame:
     """``health``: (flight, filter_health, confidence, summary, evidence)."""
     bad = health.where(F.col("filter_health").isin("DEGRADED", "FAILED"))

@@ -126,7 +126,8 @@ class TelemetryStore:
     def write_derived(self, name: str, df: DataFrame, mode: str = "append") -> None:
         """Derived results by name, one row set per flight, bucketed like the telemetry."""
         rows = df.withColumn(BUCKET, self._bucket(F.col(FLIGHT)))
-        rows.repartition(BUCKET, F.pmod(F.xxhash64(*[c for c in df.columns if not _is_map(df, c)]), F.lit(8))).write.mode(mode).partitionBy(BUCKET).parquet(f"{self.root}/derived/{name}")
+        order = [BUCKET, FLIGHT, *[c for c in (TS, "start_us") if c in df.columns]]
+        rows.repartitionByRange(*order).write.mode(mode).partitionBy(BUCKET).parquet(f"{self.root}/derived/{name}")
 
     def read_derived(self, name: str, flight: str | None = None) -> DataFrame:
         df = self.spark.read.parquet(f"{self.root}/derived/{name}")
@@ -138,10 +139,6 @@ class TelemetryStore:
         df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
-def _is_map(df: DataFrame, column: str) -> bool:
-    return "map<" in df.schema[column].dataType.simpleString()
-
-
 def unpivot(df: DataFrame, keep: Sequence[str], channels: dict[str, str]) -> DataFrame:
     """Wide to long in one projection."""
     pairs = F.array(*[F.struct(F.lit(n).alias("channel"), F.col(c).cast("double").alias("value")) for n, c in channels.items()])

@@ -105,6 +105,7 @@ def test_hypotheses(spark):
     sc = spark.createDataFrame([("f", 40.0, 0.8, "bad", False), ("g", 90.0, 0.8, "ok", False)], "flight_id string, integrity_score double, confidence double, summary string, causal_to_ekf_failure boolean")
     an = spark.createDataFrame([("f", "GPS_FIX_DROP", "GPS", "CRITICAL", 5, "y", "lost fix", {})], ANOM)
     got = report.gps_hypotheses(sc, an).collect()
+    assert report.gps_hypothesis_evidence(sc, an).count() == 1
     assert [(r.title, r.evidence_for) for r in got] == [("GPS degradation (score=40/100)", ["lost fix"])]
 
 

@@ -93,8 +93,9 @@ def test_violation_groups(table, samples, limit, thr, gap, dur):
     assert rows(got.select("k", "start", "end", "n", "v_max", "v_first")) == brute_groups(samples, thr, gap, dur)
 
 
-@pytest.mark.parametrize("limit", [PLAIN, SPLIT])
-def test_spaced_events(table, samples, limit):
+@pytest.mark.parametrize("limit,fold", [(PLAIN, 500), (PLAIN, 5), (SPLIT, 500)])
+def test_spaced_events(table, samples, limit, fold, monkeypatch):
+    monkeypatch.setattr(runs, "FOLD_ROWS", fold)
     s = open_series(table, ["k"], ["t", "s"], limit)
     want = []
     for k, seq in by_key(samples).items():

@@ -183,3 +183,17 @@ def test_streams(spark, tmp_path):
     assert run(stateless.point_anomalies(spark, {"IMU": imu}), "pts").count() == df.where("abs(v - 9.81) > 20").count()
     err = src.select("flight_id", F.col("us").alias("timestamp_us"), F.col("s").alias("seq"), F.lit(16).alias("subsys"), F.lit(1).alias("ecode"))
     assert run(stateless.error_stream(spark, err), "errs").where("severity = 'CRITICAL'").count() == 300
+
+
+def test_ingest(spark, tmp_path):
+    from contrail.plans.ingest import ingest
+
+    S = 1_000_000
+    rows = [("MODE", {"TimeUS": 0, "Mode": 5, "Rsn": 1}), ("MODE", {"TimeUS": 5 * S, "Mode": 6, "Rsn": 4}), ("ERR", {"TimeUS": 6 * S, "Subsys": 16, "ECode": 2})]
+    rows += [("GPS", {"TimeUS": i * S // 5, "HDop": 6.0, "NSats": 12, "Status": 3, "RelAlt": 10}) for i in range(60)]
+    st = TelemetryStore(spark, str(tmp_path / "store"), 4)
+    assert "GPS" in ingest(raw(spark, rows), "ardupilot_bin", st)
+    assert {r.rule_name for r in st.read_derived("anomalies").collect()} == {"GPS_HDOP_DEGRADATION", "EKF_LANE_SWITCH", "UNEXPECTED_MODE_CHANGE"}
+    assert {r.name for r in st.read_derived("phases").collect()} == {"HOVER", "RTL"}
+    assert {r.event_type for r in st.read_derived("events").collect()} == {"ARM", "MODE_CHANGE", "ERROR"}
+    assert st.load("GPS").count() == 60
