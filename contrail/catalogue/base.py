@@ -30,7 +30,8 @@ def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
 
 
 def micros(column: str) -> Column:
-    return F.unix_micros(F.col(column).cast("timestamp"))
+    """Microseconds of a zone-less timestamp, whatever zone the session has."""
+    return F.unix_micros(F.from_utc_timestamp(F.col(column).cast("timestamp"), F.current_timezone()))
 
 
 def events(spark: SparkSession, sf: str) -> DataFrame:

@@ -137,3 +137,20 @@ def test_control_oscillation(spark):
     t = np.arange(600)
     df = series_df(spark, osc=(t * 20_000, 10 * np.sin(2 * np.pi * 5 * t / 50)), brief=(t[:50], t[:50]))
     assert [r.k for r in spectrum.control_oscillation(df, K, O, "v").collect()] == ["osc"]
+
+
+def test_tree_depth_equals_row_by_row_descent():
+    rng = np.random.default_rng(4)
+    x = rng.normal(0, 1, (120, 3))
+    tree = stats._grow_tree(x, rng)
+    assert len(tree["feature"]) > 20
+
+    def descend(row):
+        node = 0
+        while tree["feature"][node] >= 0:
+            node = tree["left"][node] + int(row[tree["feature"][node]] > tree["cut"][node])
+        return tree["path"][node]
+
+    assert np.allclose(stats._tree_depth(tree, x), [descend(r) for r in x])
+    # expected path among n points: 2 H(n-1) - 2 (n-1) / n
+    assert float(stats._mean_path(256)) == pytest.approx(2 * sum(1 / i for i in range(1, 256)) - 2 * 255 / 256, rel=1e-3)
