@@ -21,17 +21,15 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from contrail.llm.common import column_values, map_batches, text_or_empty
+from contrail.llm.common import append_columns, texts_of
 from contrail.llm.pieces import EXOTIC, PieceTable
 
 DEAD = -1
@@ -208,33 +206,23 @@ def automaton_tokenizer(path: str) -> AutomatonTokenizer:
 
 def bpe_encode(df: DataFrame, tokenizer: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """All columns and ``ids`` (array of int) of every whole text."""
-    kept = df.select(*[c for c in df.columns if c not in (ids, text)], text_or_empty(text).alias(text))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = automaton_tokenizer(tokenizer)
-        for batch in batches:
-            encoded = tok.encode(column_values(batch, text))
-            ends = np.cumsum([0, *(len(b) // 4 for b in encoded)], dtype=np.int64).astype(np.int32)
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(encoded))])
-            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([*batch.columns, lists], names=[*batch.schema.names, ids])
+    def encode(batch: pa.RecordBatch) -> list[pa.Array]:
+        encoded = automaton_tokenizer(tokenizer).encode(texts_of(batch, text))
+        ends = np.cumsum([0, *(len(b) // 4 for b in encoded)], dtype=np.int64).astype(np.int32)
+        values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(encoded))])
+        return [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)]
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return map_batches(kept, run, f"{fields}, `{ids}` array<int>")
+    return append_columns(df, f"`{ids}` array<int>", encode)
 
 
 def bpe_decode(df: DataFrame, tokenizer: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """All columns and ``decoded``, the text that the ids spell."""
-    kept = df.select(*[c for c in df.columns if c not in (ids, decoded)],
-                     F.coalesce(F.col(ids), F.array().cast("array<int>")).alias(ids))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = automaton_tokenizer(tokenizer)
-        for batch in batches:
-            lists = batch.column(batch.schema.get_field_index(ids))
-            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False).cumsum()
-            texts = [tok.decode(part) for part in np.split(flat, ends[:-1])] if len(ends) else []
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, decoded])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema)
-    return map_batches(kept, run, f"{fields}, `{decoded}` string")
+    """All columns and ``decoded``, the text that the ids spell; null ids are none."""
+
+    def decode(batch: pa.RecordBatch) -> list[pa.Array]:
+        tok, lists = automaton_tokenizer(tokenizer), batch.column(batch.schema.get_field_index(ids))
+        flat = lists.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+        ends = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).cumsum()
+        return [pa.array([tok.decode(part) for part in np.split(flat, ends[:-1])] if len(ends) else [], pa.string())]
+
+    return append_columns(df, f"`{decoded}` string", decode)

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from contrail.session import shared_folder
 
@@ -26,10 +27,35 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
-def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     return small_batches(df).mapInArrow(fn, schema)
 
 
+def append_columns(df: DataFrame, fields: str, fn: Callable[[pa.RecordBatch], list[pa.Array]]) -> DataFrame:
+    """All columns of ``df`` and those that ``fn`` makes of a batch; columns of the same names are replaced."""
+    added = T.StructType.fromDDL(fields)
+    kept = df.select(*[c for c in df.columns if c not in added.names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *fn(batch)], names=[*batch.schema.names, *added.names])
+
+    return map_batches(kept, run, T.StructType([*kept.schema.fields, *added.fields]))
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
+    """Whole texts, null as empty."""
+    return [t or "" for t in column_values(batch, column)]
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

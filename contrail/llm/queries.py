@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import automaton, id_files, packing, token_counts
+from contrail.llm import automaton, id_files, packing, quality, simhash, token_counts, toxicity
 from contrail.llm.common import fresh_path, load
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -23,6 +23,11 @@ def op1_bpe_automaton(spark: SparkSession, sf: str) -> DataFrame:
                           F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    groups = simhash.simhash_groups(load(spark, sf, "documents"))
+    return groups.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op3_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     counted = token_counts.count_tokens(load(spark, sf, "documents"), public_tokenizers.path(BYTE_BPE), fresh_path(spark, "token-counts"))
     return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
@@ -33,11 +38,23 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, load(spark, sf, "labels")))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                         (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op7_id_files(spark: SparkSession, sf: str) -> DataFrame:
     return id_files.round_trip(load(spark, sf, "documents"), public_tokenizers.path(WORD_BPE))
 
 
+def op8_quality_bands(spark: SparkSession, sf: str) -> DataFrame:
+    judged = quality.quality(load(spark, sf, "documents").select("doc_id", "text"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_automaton, op3_token_counts, op4_best_fit_packing, op7_id_files)
+    f.__name__: f for f in (op1_bpe_automaton, op2_simhash, op3_token_counts, op4_best_fit_packing, op6_toxicity, op7_id_files, op8_quality_bands)
 }
 SQL: dict[str, str] = {}

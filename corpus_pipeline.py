@@ -2,20 +2,38 @@
 
 from __future__ import annotations
 
-from contrail.llm import packing
-from contrail.llm.common import fresh_path
+from contrail.llm import packing, quality, simhash, toxicity
+from contrail.llm.common import fresh_path, load
 from contrail.llm.queries import BYTE_BPE
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Train on the labelled documents of the corpus, drop what scores as toxic."""
+    return toxicity.drop_toxic(docs, toxicity.fit(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")))
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep_good(docs)
+
+
+def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return simhash.keep_one(docs)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     packed = packing.pack(docs, public_tokenizers.path(BYTE_BPE), keep_ids=False)
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", keep_good),
+    ("simhash_near_dedup", keep_one_of_near_copies),
+    ("best_fit_packing", best_fit_packing),
+]
 ORACLE_SQL = None
 
 
