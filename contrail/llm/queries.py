@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import automaton, id_files, packing, quality, simhash, token_counts, toxicity
+from contrail.llm import automaton, id_files, packing, quality, simhash, token_counts, topk, toxicity, warc
 from contrail.llm.common import fresh_path, load
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
@@ -38,6 +38,10 @@ def op4_best_fit_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
+def op5_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    return topk.top_k(load(spark, sf, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
+
+
 def op6_toxicity(spark: SparkSession, sf: str) -> DataFrame:
     docs = load(spark, sf, "documents").select("doc_id", "text")
     scored = toxicity.score(docs, toxicity.fit(docs, load(spark, sf, "labels")))
@@ -54,7 +58,12 @@ def op8_quality_bands(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(load(spark, sf, "pages")).drop("payload")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe_automaton, op2_simhash, op3_token_counts, op4_best_fit_packing, op6_toxicity, op7_id_files, op8_quality_bands)
+    f.__name__: f for f in (op1_bpe_automaton, op2_simhash, op3_token_counts, op4_best_fit_packing, op5_top_k, op6_toxicity, op7_id_files, op8_quality_bands,
+                              op9_warc)
 }
 SQL: dict[str, str] = {}
