@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window
 
 from contrail.llm.common import column_values, fresh_path, map_batches, materialise, open_folder
 from contrail.session import broadcast_if_small
@@ -31,6 +32,7 @@ VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 REVISIT_BYTES = 100
 FILE_BYTES, SPLIT_BYTES, HEAD_BYTES = 64 << 20, 8 << 20, 16_384
+PLACES = 1 << 38  # more than a file's bytes, and a multiple of SPLIT_BYTES
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*$", re.M)
 ROW_FIELDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
@@ -100,14 +102,17 @@ def parse_head(raw: bytes) -> tuple[dict[bytes, bytes], int] | None:
     return fields, end + len(END)
 
 
-def candidates(manifest: DataFrame, folder: str) -> DataFrame:
-    """file, at, next: every place in the files that looks like a record, with the place after that record."""
-    files = manifest.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(SPLIT_BYTES).cast("long"))))
-    splits = files.select("path", "size", "first").repartition(F.col("path"), F.col("first"))
+def candidates(files: DataFrame, folder: str) -> DataFrame:
+    """at, next: every place in the files that looks like a record, and the place after that record.
+
+    ``files``: file (a number), path, size.  A place is the file's number times PLACES plus the offset.
+    """
+    ranges = files.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(SPLIT_BYTES).cast("long"))))
+    splits = ranges.select("file", "path", "size", "first").repartition(F.col("file"), F.col("first"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_folder(folder)
-        for path, size, first in (r for b in batches for r in zip(*(column_values(b, c) for c in ("path", "size", "first")))):
+        for file, path, size, first in (r for b in batches for r in zip(*(column_values(b, c) for c in ("file", "path", "size", "first")))):
             with fs.open_input_file(path) as stream:
                 stream.seek(first)
                 raw = stream.read(min(SPLIT_BYTES + HEAD_BYTES, size - first))
@@ -117,36 +122,38 @@ def candidates(manifest: DataFrame, folder: str) -> DataFrame:
                 if head:
                     after = first + at + head[1] + int(head[0][b"content-length"]) + len(END)
                     if after <= size:
-                        out.append((first + at, after))
+                        out.append((file * PLACES + first + at, file * PLACES + after))
                 at = raw.find(VERSION, at + 1)
-            yield pa.RecordBatch.from_arrays([pa.array([path] * len(out), pa.string()), *(pa.array([o[k] for o in out], pa.int64()) for k in (0, 1))],
-                                             names=["path", "at", "next"])
+            yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["at", "next"])
 
-    return map_batches(splits, scan, "path string, at bigint, next bigint")
+    return map_batches(splits, scan, "at bigint, next bigint")
 
 
 def reachable(edges: DataFrame) -> DataFrame:
-    """path, at, next of the edges that lie on the chain from offset 0 of their file.
+    """The edges (at, next) that lie on the chain from offset 0 of their file.
 
     After k rounds the jumps are 2^k records long and the first 2^k records of every chain are marked, so the
     rounds are the logarithm of the longest file's records.
     """
     edges = materialise(edges, "warc-edges")
-    jumps = edges.select("path", "at", F.col("next").alias("to"))
-    marked = edges.where("at = 0").select("path", "at")
+    jumps = edges.select("at", F.col("next").alias("to"))
+    marked = edges.where(F.col("at") % PLACES == 0).select("at")
     while True:
-        landed = marked.join(jumps, ["path", "at"]).select("path", F.col("to").alias("at"))
-        more = materialise(landed.join(edges.select("path", "at"), ["path", "at"], "left_semi"), "warc-marked")
+        landed = marked.join(jumps, "at").select(F.col("to").alias("at"))
+        more = materialise(landed.join(edges.select("at"), "at", "left_semi"), "warc-marked")
         if more.isEmpty():
-            return edges.join(marked, ["path", "at"], "left_semi")
+            return edges.join(marked, "at", "left_semi")
         marked = marked.unionByName(more)
-        twice = jumps.join(jumps.select("path", F.col("at").alias("to"), F.col("to").alias("over")), ["path", "to"])
-        jumps = materialise(twice.select("path", "at", F.col("over").alias("to")), "warc-jumps")
+        twice = jumps.join(jumps.select(F.col("at").alias("to"), F.col("to").alias("over")), "to")
+        jumps = materialise(twice.select("at", F.col("over").alias("to")), "warc-jumps")
 
 
-def read_records(records: DataFrame, folder: str) -> DataFrame:
+def read_records(records: DataFrame, files: DataFrame, folder: str) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type, refers_to and payload of verified records."""
-    dealt = records.withColumn("split", F.floor(F.col("at") / SPLIT_BYTES)).repartition("path", "split").sortWithinPartitions("path", "at")
+    split = F.shiftright(F.col("at"), SPLIT_BYTES.bit_length() - 1)  # files are whole numbers of splits apart
+    dealt = records.withColumn("file", F.shiftright(F.col("at"), PLACES.bit_length() - 1)).join(files.select("file", "path"), "file")
+    dealt = dealt.select("path", F.col("at") % PLACES, F.col("next") % PLACES, split).toDF("path", "at", "next", "split")
+    dealt = dealt.repartition("split").sortWithinPartitions("split", "at")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_folder(folder)
@@ -191,7 +198,9 @@ def _page(urn: bytes | None) -> int | None:
 
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
-    return read_records(reachable(candidates(manifest, folder)), folder)
+    numbers = F.row_number().over(Window.orderBy("path")).cast("long")  # a row for each file
+    files = materialise(manifest.select(numbers.alias("file"), "path", "size"), "warc-files")
+    return read_records(reachable(candidates(files, folder)), files, folder)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
