@@ -2,7 +2,7 @@
 
 State 0 is the start and has an arc for every base symbol.  The gadget of a merge (u, v) -> w
 
-* gives every state with an arc u an arc w, which leads where v led;
+* gives every state with an arc u an arc w, which leads where v led (no gadget if no v can follow u);
 * moves all arcs u to a new state: a copy of the old target without the arc v.
 
 A token sequence is accepted exactly when it is the sequence that the merges produce, so a word has
@@ -32,7 +32,7 @@ from tokenizers import Tokenizer
 from contrail.llm.common import append_columns, texts_of
 from contrail.llm.pieces import EXOTIC, PieceTable
 
-DEAD = -1
+DEAD, NEVER = -1, -2
 TABLE_ARCS = 1_500_000
 
 
@@ -46,6 +46,8 @@ class MergeAutomaton:
         self.size = size
         self.target = [0] * size  # state that all arcs of a token lead to
         self.made = [-1] * size  # merge that made a token; -1: base symbol
+        for a, b in merges:
+            self.made[vocab[a + b]] = NEVER
         self.left = [-1] * size
         self.parent, self.lost, self.born = [-1], [-1], [-1]
         for time, (a, b) in enumerate(merges):
@@ -56,8 +58,9 @@ class MergeAutomaton:
         self.arcs: dict[int, int] = {}
 
     def _gadget(self, time: int, u: int, v: int, w: int) -> None:
-        if self.made[w] < 0:
-            self.made[w], self.left[w], self.target[w] = time, u, self.target[v]
+        if self.made[w] != NEVER or not self._has(self.target[u], v):
+            return
+        self.made[w], self.left[w], self.target[w] = time, u, self.target[v]
         self.parent.append(self.target[u])
         self.lost.append(v)
         self.born.append(time)
@@ -77,6 +80,8 @@ class MergeAutomaton:
         parent, lost, born = self.parent, self.lost, self.born
         while True:
             made = self.made[token]
+            if made == NEVER:
+                return False
             while born[state] > made:  # a copy has the arc unless this state or one between lost it
                 if lost[state] == token:
                     return False
