@@ -59,7 +59,7 @@ def write_archives(pages: DataFrame, folder: str, page_id: str = "page_id", url:
     # Payloads stay where they are: only ids and digests are compared, with a row per task and digest in the shuffle.
     keys = rows.where(F.octet_length("payload") >= REVISIT_BYTES).select("page_id", "digest").where("page_id IS NOT NULL")
     firsts = keys.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    firsts = broadcast_if_small(materialise(firsts, "warc-firsts")).hint("merge")
+    firsts = broadcast_if_small(materialise(firsts, "warc-firsts"))
     marked = rows.join(firsts, "digest", "left").withColumn("refers_to", F.when(F.col("first") < F.col("page_id"), F.col("first")))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
