@@ -20,7 +20,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm.common import column_values, map_batches, text_or_empty
+from contrail.llm.common import column_values, map_batches, materialise, text_or_empty
 from contrail.llm.pieces import text_encoder
 
 CACHE_SCHEMA = "tokenizer binary, digest binary, n_tokens bigint"
@@ -79,6 +79,6 @@ def count_tokens(docs: DataFrame, tokenizer: str, cache: str, doc_id: str = "doc
     add_missing(docs, tokenizer, cache, doc_id, text)
     keyed = docs.select(F.col(doc_id).alias("doc_id"), content_digest(text).alias("digest"),
                         F.octet_length(text_or_empty(text)).cast("long").alias("n_bytes"))
-    stored = read_cache(docs.sparkSession, cache, tokenizer)
+    stored = materialise(read_cache(docs.sparkSession, cache, tokenizer), "token-counts-stored")
     # Many documents may share one digest: an own exchange on both sides lets the engine split a hot one.
     return keyed.join(stored.hint("merge"), "digest", "left").select("doc_id", "n_bytes", "n_tokens")
