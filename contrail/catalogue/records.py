@@ -99,9 +99,8 @@ def report_evidence(spark, sf):
 
 
 _EVIDENCE = f"""WITH {_ANOM}, s AS (SELECT *, CASE WHEN severity IN ('CRITICAL', 'FATAL') THEN 'critical' ELSE 'other' END AS section FROM anom
-  UNION ALL SELECT *, 'parameter' FROM anom WHERE rule_name LIKE 'PARAM\\_%' ESCAPE '\\'),
-r AS (SELECT *, row_number() OVER (PARTITION BY flight_id, section ORDER BY timestamp_us, rule_name, channel) AS rn FROM s)
-SELECT flight_id, section, rule_name, severity, timestamp_us FROM r WHERE rn <= CASE section WHEN 'critical' THEN 100 WHEN 'other' THEN 20 ELSE 5 END"""
+  UNION ALL SELECT *, 'parameter' FROM anom WHERE rule_name LIKE 'PARAM\\_%' ESCAPE '\\')
+SELECT flight_id, section, rule_name, severity, timestamp_us FROM s"""
 
 
 def domain_matrix(spark, sf):
@@ -129,13 +128,13 @@ def flight_profile(spark, sf):
 
 def log_profile(spark, sf):
     names = F.create_map(*[F.lit(x) for p in (("click", "ATT"), ("view", "GPS"), ("error", "ERR"), ("purchase", "MODE"), ("signup", "PARM")) for x in p])
-    e = events(spark, sf).where("value > 120").select(F.col("user_id").cast("string").alias("flight_id"), "ts_us", F.col("event_id").alias("seq"), names[F.col("event_type")].alias("msg_type"))
+    e = events(spark, sf).select(F.col("user_id").cast("string").alias("flight_id"), "ts_us", F.col("event_id").alias("seq"), names[F.col("event_type")].alias("msg_type"))
     p = profile.log_profile(e, "ts_us")
     return p.select("flight_id", "log_start_us", "log_end_us", "duration_us", "parameter_count", F.array_join("message_types", ",").alias("types"),
                     F.array_join("missing_critical", ",").alias("missing"))
 
 
-_LOG = f"""WITH {EV}, m AS (SELECT *, CASE event_type WHEN 'click' THEN 'ATT' WHEN 'view' THEN 'GPS' WHEN 'error' THEN 'ERR' WHEN 'purchase' THEN 'MODE' ELSE 'PARM' END AS t FROM ev WHERE value > 120)
+_LOG = f"""WITH {EV}, m AS (SELECT *, CASE event_type WHEN 'click' THEN 'ATT' WHEN 'view' THEN 'GPS' WHEN 'error' THEN 'ERR' WHEN 'purchase' THEN 'MODE' ELSE 'PARM' END AS t FROM ev)
 SELECT CAST(user_id AS VARCHAR) AS flight_id, min(ts_us) AS log_start_us, max(ts_us) AS log_end_us, max(ts_us) - min(ts_us) AS duration_us,
   count(*) FILTER (t = 'PARM') AS parameter_count, array_to_string(list_sort(list(DISTINCT t)), ',') AS types,
   array_to_string(list_filter(['ATT', 'GPS', 'IMU', 'BAT', 'RCOU', 'MODE', 'ERR'], lambda x: NOT list_contains(list(DISTINCT t), x)), ',') AS missing FROM m GROUP BY user_id"""
@@ -343,7 +342,7 @@ def time_normalize(spark, sf):
 
 
 def _raw(spark, sf, message, fields):
-    e = events(spark, sf).where("value > 10")
+    e = events(spark, sf)
     pairs = [c for k, v in fields.items() for c in (F.lit(k), F.expr(v).cast("string"))]
     return e.select(F.col("user_id").cast("string").alias("flight_id"), F.col("event_id").alias("seq"), message.alias("msg_type"), F.create_map(*pairs).alias("fields"))
 
@@ -371,7 +370,7 @@ def _dataflash_sql():
   CASE event_type WHEN 'error' THEN 'ERR' WHEN 'view' THEN 'MODE' ELSE 'BAT' END AS msg,
   CASE event_type WHEN 'error' THEN {_lookup('k % 30', ERR_SUBSYSTEMS, "'UNKNOWN'")} WHEN 'view' THEN {_lookup('k % 30', FLIGHT_MODES, "'UNKNOWN_' || (k % 30)")} END AS name,
   CASE event_type WHEN 'click' THEN round(CASE WHEN k > 50 THEN value + 1 ELSE value END, 4) ELSE k % 30 END AS v
-FROM ev WHERE value > 10 AND event_type IN ('error', 'view', 'click')"""
+FROM ev WHERE event_type IN ('error', 'view', 'click')"""
 
 
 def ulog_tables(spark, sf):
@@ -391,7 +390,7 @@ def _ulog_sql():
 
     return f"""WITH {EV} SELECT CAST(user_id AS VARCHAR) AS flight_id, ts_us AS timestamp_us, CASE event_type WHEN 'error' THEN 'GPS' WHEN 'view' THEN 'BAT' ELSE 'MODE' END AS msg,
   CASE WHEN event_type NOT IN ('error', 'view') THEN {_lookup('k % 20', NAV_STATES, "'UNKNOWN'")} END AS name,
-  CASE event_type WHEN 'error' THEN 2.0 * k WHEN 'view' THEN k ELSE k % 20 END AS v FROM ev WHERE value > 10"""
+  CASE event_type WHEN 'error' THEN 2.0 * k WHEN 'view' THEN k ELSE k % 20 END AS v FROM ev"""
 
 
 def mavlink_tables(spark, sf):
@@ -408,7 +407,7 @@ def mavlink_tables(spark, sf):
 
 _MAVLINK = f"""WITH {EV} SELECT CAST(user_id AS VARCHAR) AS flight_id, ts_us // 1000000 * 1000000 AS timestamp_us,
   CASE event_type WHEN 'error' THEN 'BAT_SYS' WHEN 'view' THEN 'ATT' ELSE 'GPS' END AS msg,
-  round(CASE event_type WHEN 'error' THEN k * 0.1::DOUBLE + k * 0.01::DOUBLE WHEN 'view' THEN degrees(k / 100e0) ELSE k * 0.01::DOUBLE + k * 0.1::DOUBLE END, 6) AS v FROM ev WHERE value > 10"""
+  round(CASE event_type WHEN 'error' THEN k * 0.1::DOUBLE + k * 0.01::DOUBLE WHEN 'view' THEN degrees(k / 100e0) ELSE k * 0.01::DOUBLE + k * 0.1::DOUBLE END, 6) AS v FROM ev"""
 
 
 def channel_unpivot(spark, sf):

@@ -32,15 +32,16 @@ def _claims_sql(src, keep, column="text"):
         for d, (kws, _) in LANGUAGES.items())
 
 
-_BACKED = """i AS (SELECT DISTINCT source, lang FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND toxic = 0 AND n_chars > 2500),
+GOOD = 4  # documents of a language that back it for a source
+_BACKED = f"""i AS (SELECT source, lang FROM labels JOIN documents USING (doc_id) WHERE quality = 1 AND toxic = 0 GROUP BY 1, 2 HAVING count(*) >= {GOOD}),
 k(prefix, domain) AS (VALUES ('en', 'ENGLISH'), ('fr', 'FRENCH'), ('de', 'GERMAN'), ('es', 'SPANISH')),
 b AS (SELECT DISTINCT source, domain FROM i JOIN k ON starts_with(lang, prefix))"""
 
 
 def _evidence(spark, sf):
-    docs = load(spark, sf, "documents").where("n_chars > 2500").select("doc_id", "source", "lang")
+    docs = load(spark, sf, "documents").select("doc_id", "source", "lang")
     good = load(spark, sf, "labels").where("quality = 1 and toxic = 0").join(docs, "doc_id")
-    return good.select("source", F.col("lang").alias("evidence_id")).distinct()
+    return good.groupBy("source", F.col("lang").alias("evidence_id")).count().where(F.col("count") >= GOOD).drop("count")
 
 
 def keyword_claims(spark, sf):
@@ -115,11 +116,11 @@ def narrative_violations(spark, sf):
     r = load(spark, sf, "documents").select("doc_id", "source", "text")
     backed = grounding.evidence_domains(_evidence(spark, sf), "source", LANGUAGES)
     v = grounding.narrative_violations(r, backed, "source", ("text",), LANGUAGES)
-    return v.groupBy("source", "domain", "keyword").agg(F.count(F.lit(1)).alias("n"), F.min("text_excerpt").alias("first_excerpt"))
+    return v.groupBy("source", "domain", "keyword").agg(F.count(F.lit(1)).alias("n"), F.sum("position").cast("long").alias("positions"))
 
 
 _NARR = f"""WITH {_BACKED}, c AS ({_claims_sql('documents', 'source, text')})
-SELECT source, domain, keyword, count(*) AS n, min(substr(text, 1, 120)) AS first_excerpt FROM c WHERE (source, domain) NOT IN (SELECT (source, domain) FROM b) GROUP BY 1, 2, 3"""
+SELECT source, domain, keyword, count(*) AS n, CAST(sum(strpos(lower(text), keyword)) AS BIGINT) AS positions FROM c WHERE (source, domain) NOT IN (SELECT (source, domain) FROM b) GROUP BY 1, 2, 3"""
 
 
 def narrative_gate(spark, sf):

@@ -8,7 +8,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contrail.operators.runs import first_rows
 from contrail.plans.grounding import starts_with_any
 from contrail.plans.metrics import dedupe
 from contrail.schema import FLIGHT, TS, severity_rank
@@ -24,7 +23,6 @@ EVIDENCE_MATRIX = {
     "Power/Battery": (["BAT_"], ["PowerSystemAgent"]), "Vibration/IMU": (["VIBE_", "IMU_"], ["VibrationAnalysisAgent"]),
     "Motor/ESC": (["MOTOR_", "ESC_"], ["ESCMotorAgent"]), "Failsafe": (["FAILSAFE_"], []),
 }
-CRITICAL_CAP, OTHER_CAP, PARAMETER_CAP = 100, 20, 5
 SEVERE = ["CRITICAL", "FATAL"]
 
 
@@ -92,15 +90,16 @@ def causal_bounds(anomalies: DataFrame, key: str = FLIGHT) -> DataFrame:
 
 
 def report_evidence(anomalies: DataFrame, key: str = FLIGHT) -> DataFrame:
-    """What a report shows per flight: 100 critical and 20 other anomalies by time, 5 parameter ones."""
+    """All anomalies by section: critical, other, and once more the parameter ones.
+
+    ``report_order`` is the order to show them in; what is left off is up to the reader."""
     section = F.when(F.col("severity").isin(SEVERE), "critical").otherwise("other")
     rows = anomalies.withColumn("section", section)
-    order = [TS, "rule_name", "channel"]
-    return (
-        first_rows(rows.where("section = 'critical'"), [key], order, CRITICAL_CAP)
-        .unionByName(first_rows(rows.where("section = 'other'"), [key], order, OTHER_CAP))
-        .unionByName(first_rows(rows.where(F.col("rule_name").startswith("PARAM_")).withColumn("section", F.lit("parameter")), [key], order, PARAMETER_CAP))
-    )
+    return rows.unionByName(rows.where(F.col("rule_name").startswith("PARAM_")).withColumn("section", F.lit("parameter")))
+
+
+def report_order(key: str = FLIGHT) -> list[Column]:
+    return [F.col(key), F.col("section"), F.col(TS), F.col("rule_name")]
 
 
 def anchor(anomalies: DataFrame, key: str = FLIGHT, tie: Sequence[str] = ("rule_name",)) -> DataFrame:
