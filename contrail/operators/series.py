@@ -2,8 +2,9 @@
 
 ``open_series`` checks how many rows the largest series has.  When every series fits one task,
 plain windows over the series key are used: one exchange serves all later steps.  When some series
-is too long, it is cut into contiguous time blocks of bounded size.  Windows then run inside
-(key, block), and the little that crosses a block edge (row offsets, edge rows, carried values)
+is too long, it is cut into contiguous blocks of bounded size: at equal shares of its rows, again
+wherever a piece is still too full, and among equal positions by the next order column.  Windows
+then run inside (key, block), and the little that crosses a block edge (row offsets, edge rows, carried values)
 travels through a table with one row per block.  Both ways give the same rows.
 """
 
@@ -17,15 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
-from contrail.session import BROADCAST_ROWS
+from contrail.session import broadcast_if_small, ensure_checkpoint_dir
 
-BLOCK = "_blk"
+BLOCK, CELL = "_blk", "_blk_cell"
 MAX_ROWS = 5_000_000
-QUANTILE_ROWS = 1_000_000
-SMALL_BYTES = 64 << 20
 MAX_ROWS_CONF = "spark.contrail.maxSeriesRows"
-CELLS = 65_536  # grid cells per long series; the block table never exceeds this per series
-CELLS_BROADCAST_SERIES = 16
+SHARES, ACCURACY = 32, 1_000  # a cell that is too full is cut at this many shares, each within a thousandth
 
 
 def max_series_rows(spark: SparkSession) -> int:
@@ -170,11 +168,6 @@ class Series:
         return self.with_df(out.drop("_blk_pos", "_blk_home", "_blk_run"))
 
 
-def _estimated_bytes(df: DataFrame) -> int:
-    """Optimizer's size estimate; files give their sizes, joins the product of their sides."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
 def _fits_one_task(df: DataFrame, keys: tuple[str, ...], limit: int, sized_by: Sequence[DataFrame]) -> bool:
     if sum(d.count() for d in sized_by) <= limit:
         return True
@@ -186,72 +179,94 @@ def open_series(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None,
     sized_by: Sequence[DataFrame] | None = None,
 ) -> Series:
-    """Check the largest series and cut the long ones into blocks.
+    """Check the largest series and cut the long ones into blocks of at most ``max_rows`` rows.
 
-    Input the optimizer puts under ``SMALL_BYTES`` in all is not counted.  ``sized_by`` names
-    tables with the same keys whose rows together bound those of ``df`` per key; they are counted
-    in place of a costly ``df``.  Keys and the first order column must not be NULL, and ``order``
-    must be unique within a series."""
+    ``sized_by`` names tables with the same keys whose rows together bound those of ``df`` per key;
+    they are counted in place of a costly ``df``.  Keys and the first order column must not be NULL,
+    and ``order`` must be unique within a series."""
     keys, order = tuple(keys), tuple(order)
     limit = max_rows or max_series_rows(df.sparkSession)
-    whole = Series(df, keys, order, False, limit)
-    if max_rows is None and _estimated_bytes(df) <= SMALL_BYTES:
-        return whole
     if _fits_one_task(df, keys, limit, sized_by or [df]):
-        return whole
-    pos = order[0]
-    long_ones = (
-        df.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_blk_n"), F.min(pos).alias("_blk_lo"), F.max(pos).alias("_blk_hi"))
-        .where(F.col("_blk_n") > limit)
-        .withColumn("_blk_width", F.greatest((F.col("_blk_hi") - F.col("_blk_lo")) / CELLS, F.lit(1e-300)))
-        .select(*keys, "_blk_lo", "_blk_width")
-    )
-    found = long_ones.limit(BROADCAST_ROWS + 1).collect()
-    if not found:
-        return whole
-    few = len(found) <= BROADCAST_ROWS
-    if few:
-        long_ones = F.broadcast(df.sparkSession.createDataFrame(found, long_ones.schema))
-    placed = df.join(long_ones, list(keys), "left").withColumn(
-        "_blk_cell",
-        F.least(F.floor((F.col(pos) - F.col("_blk_lo")) / F.col("_blk_width")), F.lit(CELLS - 1)).cast("int"),
-    )
-    upto = Window.partitionBy(*keys).orderBy("_blk_cell").rowsBetween(Window.unboundedPreceding, -1)
+        return Series(df, keys, order, False, limit)
+    return Series(_blocked(df, keys, order, limit), keys, order, True, limit)
+
+
+def _blocked(df: DataFrame, keys: tuple[str, ...], order: tuple[str, ...], limit: int) -> DataFrame:
+    """Adds ``BLOCK``: contiguous runs of neighbouring cells, at most ``limit`` rows each."""
+    placed = df.withColumn(CELL, F.array().cast("array<int>"))
+    for column in order:
+        while True:
+            bounds = _cell_bounds(placed, keys, column, limit)
+            if bounds is None:
+                break
+            placed = _place(placed, bounds, keys, column)
+    upto = Window.partitionBy(*keys).orderBy(CELL).rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_blk_n").over(upto), F.lit(0))
     cells = (
-        placed.where(F.col("_blk_cell").isNotNull())
-        .groupBy(*keys, "_blk_cell")
+        placed.where(F.size(CELL) > 0)
+        .groupBy(*keys, CELL)
         .agg(F.count(F.lit(1)).alias("_blk_n"))
-        .withColumn("_blk_before", F.coalesce(F.sum("_blk_n").over(upto), F.lit(0)))
-        .select(*keys, "_blk_cell", F.floor(F.col("_blk_before") / max(limit // 2, 1)).alias(BLOCK))
+        .select(*keys, CELL, F.floor(before / max(limit // 2, 1)).alias(BLOCK))
+        .checkpoint()
     )
-    if few and len(found) <= CELLS_BROADCAST_SERIES:
-        cells = F.broadcast(cells)
-    blocked = (
-        placed.join(cells, [*keys, "_blk_cell"], "left")
-        .withColumn(BLOCK, F.coalesce(BLOCK, F.lit(0)))
-        .drop("_blk_cell", "_blk_lo", "_blk_width")
+    blocked = placed.join(broadcast_if_small(cells), [*keys, CELL], "left")
+    return blocked.withColumn(BLOCK, F.coalesce(BLOCK, F.lit(0))).drop(CELL)
+
+
+def _cell_bounds(placed: DataFrame, keys: tuple[str, ...], column: str, limit: int) -> DataFrame | None:
+    """(keys, cell, bounds): values of ``column`` at equal shares of each cell that is too full.
+
+    A cell with one value has no bounds here; the next order column cuts it."""
+    values, n = F.count(column), F.count(F.lit(1))
+    room = F.when(F.size(CELL) == 0, F.lit(limit)).otherwise(F.lit(max(limit // 2, 1)))
+    full = (
+        placed.groupBy(*keys, CELL)
+        .agg(
+            n.alias("_blk_n"), values.alias("_blk_values"), F.min(column).alias("_blk_lo"), F.max(column).alias("_blk_hi"),
+            F.percentile_approx(column, [k / SHARES for k in range(SHARES + 1)], ACCURACY).alias("_blk_bounds"),
+        )
+        .where(F.col("_blk_n") > room)
+        .where((F.col("_blk_lo") < F.col("_blk_hi")) | F.col("_blk_values").between(1, F.col("_blk_n") - 1))
+        .select(*keys, CELL, F.array_sort(F.array_distinct("_blk_bounds")).alias("_blk_bounds"))
     )
-    return Series(blocked, keys, order, True, limit)
+    # every later step must see the same bounds
+    ensure_checkpoint_dir(placed.sparkSession)
+    full = full.checkpoint()
+    return None if full.isEmpty() else full
+
+
+def _place(placed: DataFrame, bounds: DataFrame, keys: tuple[str, ...], column: str) -> DataFrame:
+    """Extend the cell of each row: bounds are cells of their own, and so is what lies between two."""
+    out = placed.join(broadcast_if_small(bounds), [*keys, CELL], "left")
+    v = F.col(column)
+    below = F.size(F.filter("_blk_bounds", lambda x: x < v))
+    at = F.when(v.isNull(), -1).otherwise(2 * below + F.array_contains("_blk_bounds", v).cast("int"))
+    cell = F.when(F.col("_blk_bounds").isNull(), F.col(CELL)).otherwise(F.array_append(CELL, at.cast("int")))
+    return out.withColumn(CELL, cell).drop("_blk_bounds")
 
 
 def exact_quantile(
     df: DataFrame, keys: Sequence[str], value: str, q: float, max_rows: int | None = None,
     sized_by: Sequence[DataFrame] | None = None,
 ) -> DataFrame:
-    """Linear-interpolated quantile per key: (keys, value).  Long groups are ranked in blocks."""
+    """Linear-interpolated quantile per key: (keys, value).
+
+    Equal values are counted before they are ranked, so a value that fills a group is one row."""
     src = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
-    # an exact percentile holds a group's distinct values in memory, hence the lower limit
-    small = max_rows is None and _estimated_bytes(src) <= SMALL_BYTES
-    limit = max_rows or min(max_series_rows(df.sparkSession), QUANTILE_ROWS)
-    s = Series(src, tuple(keys), ("_v",), False, limit) if small else open_series(src, keys, ["_v"], limit, sized_by)
-    if not s.split:
-        return src.groupBy(*keys).agg(F.percentile("_v", F.lit(q)).alias(value))
-    ranked = s.number("_r").totals({"_blk_n": F.count(F.lit(1))}).df
-    at = (F.col("_blk_n") - 1) * F.lit(float(q))
-    lo = F.floor(at)
-    near = ranked.where((F.col("_r") - 1 == lo) | (F.col("_r") - 1 == F.ceil(at)))
-    g = near.groupBy(*keys).agg(
-        F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.max(at - lo).alias("_w")
-    )
+    distinct = src.groupBy(*keys, "_v").agg(F.count(F.lit(1)).alias("_c"))
+    s = open_series(distinct, keys, ["_v"], max_rows, sized_by)
+    upto = F.sum("_c").over(s.window.rowsBetween(Window.unboundedPreceding, 0))
+    if s.split:
+        earlier = F.sum("_blk_c").over(s._block_window().rowsBetween(Window.unboundedPreceding, -1))
+        edges = s._blocks(F.sum("_c").alias("_blk_c")).select(*s.part, F.coalesce(earlier, F.lit(0)).alias("_blk_before"))
+        s = s.with_df(s.df.withColumn("_r", upto).join(edges, s.part, "left"))
+        s = s.with_columns({"_r": F.col("_r") + F.col("_blk_before")})
+    else:
+        s = s.with_columns({"_r": upto})
+    # ranks from 0 of the rows a value stands for: _r - _c up to _r - 1
+    ranked = s.totals({"_n": F.sum("_c")}).df
+    at = (F.col("_n") - 1) * F.lit(float(q))
+    lo, hi = F.floor(at), F.ceil(at)
+    near = ranked.where((F.col("_r") > lo) & (F.col("_r") - F.col("_c") <= hi))
+    g = near.groupBy(*keys).agg(F.min("_v").alias("_a"), F.max("_v").alias("_b"), F.max(at - lo).alias("_w"))
     return g.select(*keys, (F.col("_a") + (F.col("_b") - F.col("_a")) * F.col("_w")).alias(value))

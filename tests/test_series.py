@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -187,8 +188,42 @@ def test_disagreement(spark, samples, limit):
 @pytest.mark.parametrize("limit", [PLAIN, SPLIT])
 @pytest.mark.parametrize("q", [0.05, 0.5, 0.9])
 def test_exact_quantile(table, samples, limit, q):
-    import numpy as np
-
     got = {r.k: r.v for r in exact_quantile(table, ["k"], "v", q, limit).collect()}
     for k, seq in by_key(samples).items():
         assert got[k] == pytest.approx(float(np.quantile([x[2] for x in seq], q)))
+
+
+def rows_of_shape(shape: str, n: int = 3000) -> list[tuple]:
+    if shape == "stray time":
+        return [("a", 0 if i == 0 else 10**15 + i, i, float(i % 7)) for i in range(n)]
+    if shape == "one time":
+        return [("a", 5, i, 1.0) for i in range(n)]
+    if shape == "two times":
+        return [("a", 5 if i < 2 * n // 3 else 6, i, float(i % 2)) for i in range(n)]
+    if shape == "missing seq":
+        return [("a", 5, None if i == 0 else i, 1.0) for i in range(n)]
+    return [("a" if i % 3 else f"k{i % 30}", i * i, 0, float(i)) for i in range(n)]
+
+
+@pytest.mark.parametrize("shape", ["stray time", "one time", "two times", "missing seq", "spread"])
+def test_blocks_stay_within_their_limit(spark, shape):
+    rows = rows_of_shape(shape)
+    df = spark.createDataFrame(rows, "k string, t long, s long, v double").repartition(3)
+    s = open_series(df, ["k"], ["t", "s"], 100)
+    assert s.split
+    assert s.df.groupBy(*s.part).count().agg({"count": "max"}).first()[0] <= 100
+    got = {(r.k, r.t, r.s): (r.rn, r.t0) for r in s.number("rn").shift({"t0": "t"}).df.collect()}
+    want = {}
+    for k in {r[0] for r in rows}:
+        mine = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], -1 if r[2] is None else r[2]))
+        want |= {r[:3]: (i + 1, mine[i - 1][1] if i else None) for i, r in enumerate(mine)}
+    assert got == want
+
+
+@pytest.mark.parametrize("values", [[2.5] * 500, [1.0] * 400 + [9.0] * 100, [float(i % 50) for i in range(500)]])
+@pytest.mark.parametrize("q", [0.0, 0.05, 0.5, 0.801, 1.0])
+def test_quantile_of_repeated_values(spark, values, q):
+    df = spark.createDataFrame([("a", v) for v in values] + [("b", None), ("c", 3.0)], "k string, v double")
+    got = {r.k: r.v for r in exact_quantile(df, ["k"], "v", q, 20).collect()}
+    assert got.keys() == {"a", "c"}
+    assert got["a"] == pytest.approx(float(np.quantile(values, q))) and got["c"] == 3.0
