@@ -65,7 +65,7 @@ def unbacked_claims(spark, sf):
 
 
 _UNBACKED = f"""WITH {_BACKED}, c AS ({_claims_sql('documents', 'doc_id, source')})
-SELECT doc_id, source, domain, keyword, 'claim mentions ''' || prefix || ''' domain but no ' || prefix || '-domain evidence exists in this flight' AS warning
+SELECT doc_id, source, domain, keyword, 'speaks of ' || prefix || ', for which this flight has no evidence' AS warning
 FROM c JOIN k USING (domain) WHERE (source, domain) NOT IN (SELECT (source, domain) FROM b)"""
 
 
@@ -76,13 +76,13 @@ def factor_check(spark, sf):
 
 def _reasons(docs, evidence_ok, cited):
     return ", ".join(
-        f"CASE WHEN {_first('lower(text)', kws)} IS NOT NULL AND NOT ({evidence_ok(p[0])}) THEN 'claims ''{p[0]}'' domain but evidence [' || {cited} || '] has no {p[0]}-domain IDs' END"
+        f"CASE WHEN {_first('lower(text)', kws)} IS NOT NULL AND NOT ({evidence_ok(p[0])}) THEN 'speaks of {p[0]}, which none of its evidence (' || {cited} || ') supports' END"
         for kws, p in LANGUAGES.values())
 
 
 _FACTOR = f"""WITH r AS (SELECT doc_id, concat_ws('; ', {_reasons('documents', lambda p: f"starts_with(source, '{p}') OR starts_with(lang, '{p}')", "source || ', ' || lang")}) AS r,
   {' OR '.join(f"{_first('lower(text)', kws)} IS NOT NULL" for kws, _ in LANGUAGES.values())} AS claimed FROM documents)
-SELECT doc_id, r = '' AS admissible, CASE WHEN NOT claimed THEN 'no domain keywords detected' WHEN r = '' THEN 'ok' ELSE r END AS reason FROM r"""
+SELECT doc_id, r = '' AS admissible, CASE WHEN NOT claimed THEN 'no known subject' WHEN r = '' THEN 'ok' ELSE r END AS reason FROM r"""
 
 
 def factor_split(spark, sf):
@@ -97,7 +97,7 @@ m AS (SELECT *, concat_ws(', ', CASE WHEN own THEN lang END, CASE WHEN en THEN '
 r AS (SELECT *, concat_ws('; ', {_reasons('m', lambda p: f"(own AND starts_with(lang, '{p}')) OR (en AND 'en' = '{p}')", 'cited')}) AS why FROM m)
 SELECT CAST(doc_id AS VARCHAR) AS factor_id, cited <> '' AND why = '' AS grounded, CASE WHEN cited = '' THEN 'evidence' WHEN why <> '' THEN 'domain' END AS rejected_because,
   CASE WHEN cited = '' THEN lang || ',made_up,en' ELSE replace(cited, ', ', ',') END AS evidence,
-  length(text) + CASE WHEN cited <> '' AND why <> '' THEN length(' [domain mismatch: ' || why || ']') ELSE 0 END AS factor_chars FROM r"""
+  length(text) + CASE WHEN cited <> '' AND why <> '' THEN length(' [unsupported: ' || why || ']') ELSE 0 END AS factor_chars FROM r"""
 
 
 def citation_ids(spark, sf):
@@ -135,8 +135,8 @@ def narrative_gate(spark, sf):
 _GATE = f"""WITH k(lang, domain) AS (VALUES ('en', 'ENGLISH'), ('de', 'GERMAN'), ('es', 'SPANISH')), c AS ({_claims_sql('documents', 'doc_id, lang')}),
 v AS (SELECT c.doc_id, count(*) AS n FROM c LEFT JOIN k USING (lang, domain) WHERE k.domain IS NULL GROUP BY 1),
 a AS (SELECT d.*, n, coalesce(k.domain, '') AS allowed FROM documents d LEFT JOIN v USING (doc_id) LEFT JOIN k USING (lang))
-SELECT CAST(doc_id AS VARCHAR) AS report, n IS NULL AS narrative_valid, allowed, md5(CASE WHEN n IS NULL THEN text ELSE '[ANOMALY/HIGH] ' || source || '. Contributing factors: ' || source ||
-  ' (HIGH). Active evidence domains: ' || CASE WHEN allowed = '' THEN 'None' ELSE allowed END || '.' END) AS summary, CAST(n AS INT) AS n_violations FROM a"""
+SELECT CAST(doc_id AS VARCHAR) AS report, n IS NULL AS narrative_valid, allowed, md5(CASE WHEN n IS NULL THEN text ELSE 'ANOMALY, confidence HIGH: ' || source || '. With it: ' || source ||
+  ' (HIGH). Evidence covers: ' || CASE WHEN allowed = '' THEN 'nothing' ELSE allowed END || '.' END) AS summary, CAST(n AS INT) AS n_violations FROM a"""
 
 QUERIES = [
     Query("keyword_claims", keyword_claims, f"WITH c AS ({_claims_sql('documents', 'doc_id')}) SELECT * FROM c"),

@@ -213,16 +213,16 @@ def vibration_report(
                                       F.coalesce("_loose", F.array().cast("array<double>"))))
     notes = [
         F.when(vibration_level(F.col(f"rms_{a.lower()}")).isin("WARNING", "CRITICAL"),
-               F.format_string(f"Axis {a}: %.1f m/s² RMS (%s)", f"rms_{a.lower()}", vibration_level(F.col(f"rms_{a.lower()}"))))
+               F.format_string(f"{a} vibrates at %.1f m/s² (%s)", f"rms_{a.lower()}", vibration_level(F.col(f"rms_{a.lower()}"))))
         for a in names
     ]
-    notes.append(F.when(motor.isNotNull(), F.format_string("Motor fundamental identified: %.1f Hz", motor)))
+    notes.append(F.when(motor.isNotNull(), F.format_string("shaft rate near %.1f Hz", motor)))
     notes.append(F.when(F.col("_unknown") > 0, F.format_string(
-        "%d unidentified frequency peaks (possible structural resonance or bent prop)", "_unknown")))
-    note = F.concat_ws(". ", *notes)
+        "%d peaks fit no multiple of the shaft rate", "_unknown")))
+    note = F.concat_ws("; ", *notes)
     out = one.withColumns({
         "notch_frequencies_hz": F.slice(F.sort_array(notch), 1, 5),
-        "analysis_note": F.when(note == "", "Vibration within normal parameters.").otherwise(note),
+        "analysis_note": F.when(note == "", "nothing unusual").otherwise(note),
     })
     out = out.withColumn(
         "notch_filter_recommended",

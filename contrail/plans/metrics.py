@@ -123,6 +123,6 @@ def baseline_deviation(current: DataFrame, neighbours: DataFrame, key: str = "qu
         "error": F.lit(None).cast("string"),
     })
     alone = current.select(key).join(neighbours.select(key).distinct(), key, "left_anti").withColumn(
-        "error", F.lit("No baseline flights found for comparison")
+        "error", F.lit("no matched baseline")
     )
     return found.unionByName(alone, allowMissingColumns=True)

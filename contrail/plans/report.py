@@ -111,7 +111,7 @@ def anchor(anomalies: DataFrame, key: str = FLIGHT, tie: Sequence[str] = ("rule_
 
 def anchored_cause() -> Column:
     return F.format_string(
-        "%s [anchored to %s at T+%.1fs; LLM claim contained inadmissible domain reference]",
+        "%s (shown by %s at %.1f s; the proposed cause had no evidence)",
         F.col("description"), F.col("rule_name"), F.col(TS) / 1e6,
     )
 
@@ -163,7 +163,7 @@ def gps_hypotheses(scores: DataFrame, anomalies: DataFrame) -> DataFrame:
     )
     bad = _doubtful(scores).join(lines, FLIGHT, "left")
     return hypothesis(
-        bad, F.format_string("GPS degradation (score=%.0f/100)", "integrity_score"), F.col("summary"), "GPSIntegrityAgent",
+        bad, F.format_string("Satellite positioning is doubtful, score %.0f of 100", "integrity_score"), F.col("summary"), "GPSIntegrityAgent",
         F.col("confidence"), "supported", F.coalesce("_for", F.array().cast("array<string>")),
     )
 
@@ -181,7 +181,7 @@ def _doubtful(scores: DataFrame) -> DataFrame:
 def filter_hypotheses(health: DataFrame) -> DataFrame:
     """``health``: (flight, filter_health, confidence, summary, evidence)."""
     bad = health.where(F.col("filter_health").isin("DEGRADED", "FAILED"))
-    return hypothesis(bad, F.format_string("EKF filter %s during flight", "filter_health"), F.col("summary"),
+    return hypothesis(bad, F.format_string("State estimator was %s", "filter_health"), F.col("summary"),
                       "EKFDiagnosticsAgent", F.col("confidence"), "supported", F.col("evidence"))
 
 
@@ -191,7 +191,7 @@ def safety_hypotheses(audit: DataFrame) -> DataFrame:
         F.min_by(F.struct("parameter", "actual", "check", "required"), "rank").alias("v"), F.count(F.lit(1)).alias("n"),
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "description"))), lambda x: x["description"]).alias("_for"),
     )
-    text = F.format_string("%s = %s but expected %s %s. %d violation(s) total.", "v.parameter", F.col("v.actual").cast("string"),
+    text = F.format_string("%s is %s, check: %s %s; failed checks: %d", "v.parameter", F.col("v.actual").cast("string"),
                            "v.check", F.coalesce(F.col("v.required").cast("string"), F.lit("None")), "n")
-    return hypothesis(bad, F.concat(F.lit("Safety parameter non-compliance: "), F.col("v.parameter")), text, "SafetyComplianceAgent",
-                      0.60, "forming", F.col("_for"), ["Full parameter history across flight"])
+    return hypothesis(bad, F.concat(F.lit("Failed safety check on "), F.col("v.parameter")), text, "SafetyComplianceAgent",
+                      0.60, "forming", F.col("_for"), ["later values of the parameters"])

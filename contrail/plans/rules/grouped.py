@@ -51,60 +51,60 @@ def _beyond(field: str, limit: float) -> Callable[[], Column]:
     return lambda: F.abs(field) > limit
 
 
-_SAG_HINT = "Correlate with RCOU throttle commands and ESC current draw"
-_CLIP_HINT = "Check EKF innovation ratios during this period — clipping corrupts IMU data"
+_SAG_HINT = "Compare throttle outputs and current at the same time"
+_CLIP_HINT = "State estimates of this interval rest on cut-off accelerations"
 
-# Thresholds, durations, severities and message formats.
+# Rule names, thresholds, durations and severities.
 GROUP_RULES: list[GroupRule] = [
     GroupRule("EKF_INNOV_VEL", "EKF", "NKF4|XKF4", "var_ratio_vel", _above("var_ratio_vel", 0.5), "WARNING",
-              "EKF velocity innovation ratio high (mean=%.2f) for %.1fs — GPS/IMU disagreement",
+              "Velocity test ratio averaged %.2f over %.1f s (limit 0.5)",
               ("mean", "seconds"), 5 * SECOND),
     GroupRule("EKF_INNOV_VEL", "EKF", "NKF4|XKF4", "var_ratio_vel", _above("var_ratio_vel", 1.0), "CRITICAL",
-              "EKF velocity innovation ratio EXCEEDED 1.0 (max=%.2f) for %.1fs — FILTER DIVERGENCE",
+              "Velocity test ratio reached %.2f within %.1f s above 1.0; velocity updates are refused",
               ("max", "seconds"), 2 * SECOND),
     GroupRule("EKF_INNOV_POS", "EKF", "NKF4|XKF4", "var_ratio_pos", _above("var_ratio_pos", 1.0), "CRITICAL",
-              "EKF position innovation ratio exceeded 1.0 (max=%.2f) for %.1fs", ("max", "seconds"), 2 * SECOND),
+              "Position test ratio reached %.2f within %.1f s above 1.0", ("max", "seconds"), 2 * SECOND),
     GroupRule("EKF_HEIGHT_INNOV", "EKF", "NKF4|XKF4", "var_ratio_hgt", _above("var_ratio_hgt", 1.0), "WARNING",
-              "EKF height innovation ratio exceeded 1.0 for %.1fs — baro/GPS altitude disagreement",
+              "Height test ratio stayed above 1.0 during %.1f s; the height sources differ",
               ("seconds",), 3 * SECOND),
     *[
         GroupRule("EKF_POS_OFFSET_GROWTH", "EKF", "NKF4|XKF4", c, _beyond(c, 5.0), "WARNING",
-                  f"EKF GPS offset ({c}) > 5m for %.1fs — GPS position correction large", ("seconds",), 2 * SECOND)
+                  f"{c} stayed beyond 5 m during %.1f s", ("seconds",), 2 * SECOND)
         for c in ("offset_n", "offset_e")
     ],
     GroupRule("EKF_MAG_INNOV", "EKF", "NKF3|XKF3", "innov_heading", _beyond("innov_heading", 0.3), "WARNING",
-              "EKF heading innovation high (mean=%.3f rad) for %.1fs — magnetic anomaly",
+              "Heading residual averaged %.3f rad over %.1f s (limit 0.3)",
               ("mean", "seconds"), 5 * SECOND),
     GroupRule("GPS_HDOP_DEGRADATION", "GPS", "GPS", "hdop", _above("hdop", 2.0), "WARNING",
-              "GPS HDOP degraded (mean=%.2f) for %.1fs — reduced positioning accuracy",
+              "Horizontal dilution averaged %.2f over %.1f s (limit 2)",
               ("mean", "seconds"), 10 * SECOND),
     GroupRule("GPS_HDOP_DEGRADATION", "GPS", "GPS", "hdop", _above("hdop", 5.0), "CRITICAL",
-              "GPS HDOP CRITICAL (max=%.2f) for %.1fs — poor geometry, navigation unreliable",
+              "Horizontal dilution reached %.2f within %.1f s above 5",
               ("max", "seconds"), 5 * SECOND),
     GroupRule("GPS_LOW_SAT_COUNT", "GPS", "GPS", "num_sats", _below("num_sats", 8), "WARNING",
-              "GPS satellite count below 8 (mean=%.1f) for %.1fs", ("mean", "seconds"), 15 * SECOND),
+              "On average %.1f satellites during %.1f s, fewer than 8 throughout", ("mean", "seconds"), 15 * SECOND),
     GroupRule("GPS_FIX_DROP", "GPS", "GPS", "fix_type", _below("fix_type", 3), "CRITICAL",
-              "GPS fix type dropped below 3D (fix=%.0f) for %.1fs — no reliable position",
+              "No 3-D fix (type %.0f) during %.1f s",
               ("mean", "seconds"), 3 * SECOND),
     GroupRule("BAT_LOW_CAPACITY", "POWER", "BAT", "remaining_pct", _below("remaining_pct", 20.0), "WARNING",
-              "Battery below 20%% (mean=%.1f%%) for %.1fs", ("mean", "seconds"), 5 * SECOND),
+              "Remaining charge averaged %.1f %% over %.1f s (limit 20 %%)", ("mean", "seconds"), 5 * SECOND),
     GroupRule("BAT_LOW_CAPACITY", "POWER", "BAT", "remaining_pct", _below("remaining_pct", 10.0), "CRITICAL",
-              "Battery CRITICALLY LOW (mean=%.1f%%) for %.1fs — imminent failsafe", ("mean", "seconds"), 2 * SECOND),
+              "Remaining charge averaged %.1f %% over %.1f s (limit 10 %%)", ("mean", "seconds"), 2 * SECOND),
     *[
         rule
         for c, axis in (("vibe_x", "X"), ("vibe_y", "Y"), ("vibe_z", "Z"))
         for rule in (
             GroupRule("VIBE_HIGH_RMS", "VIBRATION", "VIBE", c, _above(c, 15.0), "WARNING",
-                      f"Vibration {axis} RMS high (mean=%.1f m/s²) for %.1fs — propeller/motor balance check needed",
+                      f"Vibration along {axis} averaged %.1f m/s² over %.1f s (limit 15)",
                       ("mean", "seconds"), 5 * SECOND),
             GroupRule("VIBE_HIGH_RMS", "VIBRATION", "VIBE", c, _above(c, 30.0), "CRITICAL",
-                      f"Vibration {axis} RMS CRITICAL (max=%.1f m/s²) for %.1fs — EKF estimation severely degraded",
+                      f"Vibration along {axis} reached %.1f m/s² within %.1f s above 30",
                       ("max", "seconds"), 3 * SECOND),
         )
     ],
     *[
         GroupRule("MOTOR_OUTPUT_SATURATION", "MOTOR", "RCOU", c, _above(c, 1950), "CRITICAL",
-                  f"Motor {c} at saturation (>1950µs) for %.1fs — loss of control authority",
+                  f"Output {c} held above 1950 µs during %.1f s, nothing left to correct with",
                   ("seconds",), 2 * SECOND)
         for c in ("ch1_us", "ch2_us", "ch3_us", "ch4_us")
     ],
@@ -113,29 +113,29 @@ GROUP_RULES: list[GroupRule] = [
         for c in ("clip0", "clip1", "clip2")
         for rule in (
             GroupRule("IMU_CLIPPING", "VIBRATION", "VIBE", f"{c}_rate", _above(f"{c}_rate", 100), "CRITICAL",
-                      f"IMU {c} clipping rate %.0f/s (CATASTROPHIC) — accelerometer saturating, EKF contamination risk",
+                      f"{c} counts %.0f clipped samples a second (limit 100)",
                       ("peak",), gap=5, raw="peak", hint=_CLIP_HINT),
             GroupRule("IMU_CLIPPING", "VIBRATION", "VIBE", f"{c}_rate",
                       lambda c=c: (F.col(f"{c}_rate") > 50) & (F.col(f"{c}_rate") <= 100), "WARNING",
-                      f"IMU {c} clipping rate %.0f/s (SEVERE) — accelerometer saturating, EKF contamination risk",
+                      f"{c} counts %.0f clipped samples a second (limit 50)",
                       ("peak",), gap=5, raw="peak", hint=_CLIP_HINT),
         )
     ],
     GroupRule("BAT_VOLTAGE_SAG", "POWER", "BAT|CURR", "dv_dt", _below("dv_dt", -1.0), "WARNING",
-              "Battery voltage sag rate %.2f V/s — voltage stress", ("worst",), gap=3, raw="worst", hint=_SAG_HINT),
+              "Voltage changes by %.2f V a second (limit -1)", ("worst",), gap=3, raw="worst", hint=_SAG_HINT),
     GroupRule("BAT_VOLTAGE_SAG", "POWER", "BAT|CURR", "dv_dt", _below("dv_dt", -3.0), "CRITICAL",
-              "Battery voltage sag rate %.2f V/s — brownout risk", ("worst",), gap=3, raw="worst", hint=_SAG_HINT),
+              "Voltage changes by %.2f V a second (limit -3)", ("worst",), gap=3, raw="worst", hint=_SAG_HINT),
     GroupRule("BAT_BROWNOUT", "POWER", "BAT|CURR", "voltage_v",
               lambda: F.col("voltage_v") < F.col("cells") * MIN_CELL_V, "CRITICAL",
-              "BROWNOUT SIGNATURE: voltage below %.1fV (%.0fS × 3.3V) for %.1fs",
+              "Voltage under %.1f V, the least for %.0f cells, during %.1f s",
               ("floor", "aside", "seconds"), SECOND // 2, aside="cells",
-              hint="Check for ESC resets, EKF anomalies, or motor output drops at this timestamp"),
+              hint="Look for outputs or estimates that fail at the same time"),
     GroupRule("BAT_CURRENT_SPIKE", "POWER", "BAT|CURR", "current_a",
               lambda: (F.col("_rows") >= 2 * SPIKE_WINDOW) & (F.col("current_a") > F.col("baseline_a") * SPIKE_FACTOR),
               "WARNING",
-              "Current spike %.1fA (%.1f× baseline %.1fA) — possible motor jam or ESC fault",
+              "Current of %.1f A is %.1f times its moving mean of %.1f A",
               ("peak", "ratio", "aside"), gap=5, aside="baseline_a", raw="peak",
-              hint="Check RCOU motor outputs and ESC telemetry at this timestamp"),
+              hint="Find the output or speed controller that draws it"),
 ]
 
 

@@ -41,7 +41,7 @@ def test_events(flight):
     assert [x for x in seen if x[1] == "ERROR"] == [(31, "ERROR", "CRITICAL"), (33, "ERROR", "INFO"), (34, "ERROR", "WARNING")]
     assert not [x for x in seen if x[1] == "DISARM"]
     desc = {e.event_type: e.description for e in got}
-    assert desc["MODE_CHANGE"] == "Mode changed: LOITER → RTL (reason=4)"
+    assert desc["MODE_CHANGE"] == "From mode LOITER to RTL, reason 4"
     h = timeline.event_horizon(timeline.timeline(flight)).collect()
     assert [(r.flight_id, r.event_horizon_us) for r in h] == [("f1", 5 * S)]
     n = timeline.timeline_counts(timeline.timeline(flight)).first()
@@ -52,9 +52,9 @@ def test_phases(flight):
     got = {(r.flight_id, r.start_us): r for r in timeline.phases(flight).collect()}
     f1 = [(got[k].name, k[1] // S, got[k].end_us // S) for k in sorted(got) if k[0] == "f1"]
     assert f1 == [("PRE_ARM", 0, 5), ("TAKEOFF", 5, 20), ("HOVER", 20, 30), ("RTL", 30, 40), ("CRASH", 40, 45)]
-    assert got[("f1", 5 * S)].notes == "Alt: 10.0–30.0m; Max attitude: roll=5° pitch=25°"
+    assert got[("f1", 5 * S)].notes == "height 10.0 to 30.0 m; tilted up to 5° roll and 25° pitch"
     # the row on the shared boundary belongs to both neighbours
-    assert got[("f1", 30 * S)].notes == "Alt: 30.0–30.0m; Max attitude: roll=70° pitch=0°"
+    assert got[("f1", 30 * S)].notes == "height 30.0 to 30.0 m; tilted up to 70° roll and 0° pitch"
     assert (got[("f2", 5)].name, got[("f2", 5)].end_us) == ("UNKNOWN", 9)
     summary = {r.flight_id: r for r in timeline.flight_summary(timeline.timeline(flight), timeline.phases(flight)).collect()}
     s = summary["f1"]
