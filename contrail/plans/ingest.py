@@ -17,14 +17,16 @@ def ingest(raw: DataFrame, log_format: str, store: TelemetryStore) -> list[str]:
     """Map and store the flights of ``raw``, then derive from what was stored.
 
     Each canonical table reads only its message types, so keep ``raw`` partitioned by
-    ``msg_type``.  Derived tables are computed from the stored columns, pruned to the new flights.
+    ``msg_type``.  Derived tables are computed from the stored columns, pruned to the buckets
+    of the new flights.
     Returns the tables written."""
     spark = raw.sparkSession
     tables = READERS[log_format](raw)
     for name, df in tables.items():
         store.write(name, df)
-    fresh = broadcast_if_small(raw.select(FLIGHT).distinct())
-    stored = {n: store.load(n).join(fresh, FLIGHT, "left_semi") for n in tables}
+    flights = raw.select(FLIGHT).distinct()
+    fresh, buckets = broadcast_if_small(flights), store.buckets_of(flights)
+    stored = {n: store.load(n, buckets=buckets).join(fresh, FLIGHT, "left_semi") for n in tables}
     t = Telemetry(spark, stored)
     store.write_derived("events", timeline(t))
     # phases need only arming and crashes, which they derive on their own

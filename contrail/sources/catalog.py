@@ -55,7 +55,9 @@ class Catalog:
     def _raw(self, table: str) -> DataFrame:
         try:
             return self.spark.read.parquet(f"{self.root}/{table}")
-        except AnalysisException:
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # an unreadable table is not an empty one
+                raise
             return self.spark.createDataFrame([], _DDL[table] + ", _version timestamp")
 
     def read(self, table: str) -> DataFrame:

@@ -19,6 +19,8 @@ from contrail.schema import FLIGHT, ORDER, SEQ, TABLES, TS, conform, empty_table
 
 BUCKET = "flight_bucket"
 BUCKETS = 256
+# Error conditions that mean a table has no files yet.
+NO_FILES = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
 
 class TelemetryStore:
@@ -30,6 +32,10 @@ class TelemetryStore:
     def _bucket(self, flight: Column) -> Column:
         return F.pmod(F.xxhash64(flight), F.lit(self.buckets)).cast("int")
 
+    def buckets_of(self, flights: DataFrame) -> list[int]:
+        """Buckets that hold these flights; at most ``buckets`` numbers."""
+        return sorted(r[0] for r in flights.select(self._bucket(F.col(FLIGHT))).distinct().collect())
+
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
@@ -43,14 +49,17 @@ class TelemetryStore:
         )
 
     def load(self, table: str, flights: str | Sequence[str] | None = None, columns: Sequence[str] | None = None,
-             start_us: int | None = None, end_us: int | None = None) -> DataFrame:
-        """Projection, bucket pruning and time range reach the scan; an absent table is empty."""
+             start_us: int | None = None, end_us: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
+        """Projection, bucket pruning and time range reach the scan; an absent table is empty, and so
+        is one that lacks a column asked for (NULL there)."""
         try:
             df = self.spark.read.parquet(self.path(table))
-        except AnalysisException:
-            df = empty_table(self.spark, table).withColumn(BUCKET, F.lit(0)) if table in TABLES else None
-            if df is None:
+        except AnalysisException as e:
+            if table not in TABLES or e.getCondition() not in NO_FILES:
                 raise
+            df = empty_table(self.spark, table).withColumn(BUCKET, F.lit(0))
+        if buckets is not None:
+            df = df.where(F.col(BUCKET).isin(list(buckets)))
         if flights is not None:
             ids = [flights] if isinstance(flights, str) else list(flights)
             wanted = sorted({r[0] for r in self.spark.createDataFrame([(i,) for i in ids], "f string").select(self._bucket(F.col("f"))).collect()})
@@ -62,7 +71,8 @@ class TelemetryStore:
         df = df.drop(BUCKET)
         if columns is not None:
             if any(c not in df.columns for c in columns):
-                return empty_table(self.spark, table)
+                none = F.lit(None).cast("double")
+                return df.limit(0).select(*[F.col(c) if c in df.columns else none.alias(c) for c in columns])
             df = df.select(*columns)
         return df
 

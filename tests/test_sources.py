@@ -4,6 +4,7 @@ import hashlib
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from contrail.sources import manifest, mapping, profile, tabular
 from contrail.sources.catalog import Catalog
 from contrail.sources.store import TelemetryStore
 from contrail.streaming import stateless
-from contrail.streaming.sustained import sustained_stream
+from contrail.streaming.sustained import _join_runs, sustained_stream
 
 
 def test_manifest(spark, tmp_path):
@@ -197,3 +198,44 @@ def test_ingest(spark, tmp_path):
     assert {r.name for r in st.read_derived("phases").collect()} == {"HOVER", "RTL"}
     assert {r.event_type for r in st.read_derived("events").collect()} == {"ARM", "MODE_CHANGE", "ERROR"}
     assert st.load("GPS").count() == 60
+    plan = st.load("GPS", buckets=[1, 2])._jdf.queryExecution().executedPlan().toString()
+    assert "flight_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
+def test_unreadable_is_not_empty(spark, tmp_path):
+    store, c = TelemetryStore(spark, str(tmp_path / "s")), Catalog(spark, str(tmp_path / "c"))
+    assert store.load("GPS").count() == 0 and c.read("flights").count() == 0
+    assert store.load("GPS", columns=["hdop", "nope"]).columns == ["hdop", "nope"]
+    for folder in (tmp_path / "s" / "GPS", tmp_path / "c" / "tombstones"):
+        folder.mkdir(parents=True)
+        (folder / "part-0.parquet").write_bytes(b"not a table")
+    with pytest.raises(Exception, match="part-0|FAILED_READ|CANNOT_READ"):
+        store.load("GPS").count()
+    with pytest.raises(Exception, match="part-0|FAILED_READ|CANNOT_READ"):
+        c.read("flights").count()
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_runs_over_batches(seed):
+    """Runs found batch by batch equal those of all rows at once, whatever the batches and NULL values."""
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 60))
+    rows = pd.DataFrame({"us": np.arange(n) * 7, "hit": rng.random(n) < 0.6, "v": np.where(rng.random(n) < 0.3, np.nan, rng.normal(size=n))})
+    want, at = [], None
+    for i in range(n + 1):
+        inside = i < n and rows.hit[i]
+        if inside and at is None:
+            at = i
+        if not inside and at is not None:
+            part = rows[at:i]
+            want.append((part.us.iloc[0], part.us.iloc[-1], len(part), part.v.count(), part.v.max(), part.v.sum()))
+            at = None
+    run, got = [0, 0, 0, 0, np.nan, 0.0], []
+    cuts = [0, *sorted(rng.integers(0, n + 1, 4)), n]
+    for a, b in zip(cuts, cuts[1:]):
+        done, run = _join_runs(run, rows[a:b])
+        got += done.values.tolist()
+    got += [run] if run[2] else []
+    assert len(got) == len(want)
+    for g, w in zip(got, want):
+        assert g == pytest.approx(w, nan_ok=True)
