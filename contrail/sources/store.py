@@ -1,11 +1,12 @@
 """Telemetry tables on shared storage.
 
-Layout: ``<root>/<TYPE>/flight_bucket=<n>/*.parquet``.  A directory per flight would leave millions
-of tiny files; buckets keep the file count fixed, and sorting by flight and time lets row-group
-statistics prune to one flight and time range."""
+Layout: ``<root>/<TYPE>/batch=<id>/flight_bucket=<n>/*.parquet``.  A directory per flight would leave
+millions of tiny files; buckets bound the files of a batch, and sorting by flight and time lets
+row-group statistics prune to one flight and time range.  Writing a batch again replaces it."""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -17,7 +18,7 @@ from contrail.operators.runs import every_nth
 from contrail.operators.series import open_series
 from contrail.schema import FLIGHT, ORDER, SEQ, TABLES, TS, conform, empty_table
 
-BUCKET = "flight_bucket"
+BUCKET, BATCH = "flight_bucket", "batch"
 BUCKETS = 256
 # Error conditions that mean a table has no files yet.
 NO_FILES = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
@@ -39,13 +40,18 @@ class TelemetryStore:
     def path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, table: str, df: DataFrame, mode: str = "append") -> None:
-        """Range partitioning on (bucket, flight, time) spreads a long flight over several files."""
+    def _folder(self, path: str, batch: str | None) -> str:
+        return f"{path}/{BATCH}={batch or uuid.uuid4().hex}"
+
+    def write(self, table: str, df: DataFrame, batch: str | None = None) -> None:
+        """Add rows as a new batch, or in place of the batch of that name.
+
+        Range partitioning on (bucket, flight, time) spreads a long flight over several files."""
         rows = conform(df, table).withColumn(BUCKET, self._bucket(F.col(FLIGHT)))
         (
             rows.repartitionByRange(BUCKET, FLIGHT, TS)
             .sortWithinPartitions(BUCKET, FLIGHT, TS, SEQ)
-            .write.mode(mode).partitionBy(BUCKET).parquet(self.path(table))
+            .write.mode("overwrite").partitionBy(BUCKET).parquet(self._folder(self.path(table), batch))
         )
 
     def load(self, table: str, flights: str | Sequence[str] | None = None, columns: Sequence[str] | None = None,
@@ -68,7 +74,7 @@ class TelemetryStore:
             df = df.where(F.col(TS) >= start_us)
         if end_us is not None:
             df = df.where(F.col(TS) <= end_us)
-        df = df.drop(BUCKET)
+        df = df.drop(BATCH, BUCKET)
         if columns is not None:
             if any(c not in df.columns for c in columns):
                 none = F.lit(None).cast("double")
@@ -133,15 +139,16 @@ class TelemetryStore:
         out = nearest_join(base, sides, [FLIGHT], tolerance=window_us) if sides else base
         return out.drop(SEQ, *[f"{t}_{TS}" for t in sides])
 
-    def write_derived(self, name: str, df: DataFrame, mode: str = "append") -> None:
-        """Derived results by name, one row set per flight, bucketed like the telemetry."""
+    def write_derived(self, name: str, df: DataFrame, batch: str | None = None) -> None:
+        """Derived results by name, one row set per flight, laid out like the telemetry."""
         rows = df.withColumn(BUCKET, self._bucket(F.col(FLIGHT)))
         order = [BUCKET, FLIGHT, *[c for c in (TS, "start_us") if c in df.columns]]
-        rows.repartitionByRange(*order).write.mode(mode).partitionBy(BUCKET).parquet(f"{self.root}/derived/{name}")
+        path = self._folder(f"{self.root}/derived/{name}", batch)
+        rows.repartitionByRange(*order).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
 
     def read_derived(self, name: str, flight: str | None = None) -> DataFrame:
         df = self.spark.read.parquet(f"{self.root}/derived/{name}")
-        return (df if flight is None else df.where(F.col(FLIGHT) == flight)).drop(BUCKET)
+        return (df if flight is None else df.where(F.col(FLIGHT) == flight)).drop(BATCH, BUCKET)
 
     def export_json(self, name: str, path: str) -> None:
         """One JSON document per row."""

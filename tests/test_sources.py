@@ -198,6 +198,10 @@ def test_ingest(spark, tmp_path):
     assert {r.name for r in st.read_derived("phases").collect()} == {"HOVER", "RTL"}
     assert {r.event_type for r in st.read_derived("events").collect()} == {"ARM", "MODE_CHANGE", "ERROR"}
     assert st.load("GPS").count() == 60
+    derived = {n: sorted(map(str, st.read_derived(n).collect())) for n in ("events", "phases", "anomalies")}
+    ingest(raw(spark, rows), "ardupilot_bin", st)  # again: the same rows
+    assert st.load("GPS").count() == 60
+    assert derived == {n: sorted(map(str, st.read_derived(n).collect())) for n in derived}
     plan = st.load("GPS", buckets=[1, 2])._jdf.queryExecution().executedPlan().toString()
     assert "flight_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
