@@ -62,7 +62,7 @@ p AS (SELECT e.o_orderpriority, e.bin, any_value(e.hz) AS hz, any_value(e.db) AS
 k AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY db DESC) AS rank FROM p WHERE db - base >= 3.0),
 h AS (SELECT *, arg_min(hz, rank) FILTER (hz BETWEEN 20 AND 200) OVER (PARTITION BY o_orderpriority) AS motor FROM k)
 SELECT o_orderpriority, rank, round(hz, 8) AS hz, round(db, 5) AS db, round(motor, 8) AS motor_hz,
-  list_min(list_filter(range(1, 8), lambda n: abs(hz - motor * n) < motor * 0.05)) AS harmonic_order FROM h WHERE rank <= 10"""
+  list_min(list_filter(range(1, 8), lambda n: abs(hz - motor * n) < motor * 0.05)) AS harmonic_order FROM h"""
 
 
 def vibration_report(spark, sf):

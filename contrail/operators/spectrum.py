@@ -144,14 +144,14 @@ def spectral_peaks(
     return spectrum.groupBy(*keys, "axis").applyInPandas(peaks, schema)
 
 
-def label_peaks(peaks: DataFrame, keys: Sequence[str], expected_hz: Column | None = None, top: int = 10) -> DataFrame:
-    """The ``top`` peaks with the axis fundamental (strongest peak in 20-200 Hz) and harmonic order."""
+def label_peaks(peaks: DataFrame, keys: Sequence[str], expected_hz: Column | None = None) -> DataFrame:
+    """All peaks with the axis fundamental (strongest peak in 20-200 Hz) and harmonic order."""
     part = [*keys, "axis"]
     motor = F.min_by("hz", F.when(F.col("hz").between(20, 200), F.col("rank")))
     base = peaks.groupBy(*part).agg(motor.alias("motor_hz"))
     if expected_hz is not None:
         base = base.withColumn("motor_hz", expected_hz)
-    rows = peaks.where(F.col("rank") <= top).join(base, part)
+    rows = peaks.join(base, part)
     orders = F.filter(
         F.sequence(F.lit(1), F.lit(7)),
         lambda n: F.abs(F.col("hz") - F.col("motor_hz") * n) < F.col("motor_hz") * 0.05,
@@ -221,7 +221,7 @@ def vibration_report(
         "%d peaks fit no multiple of the shaft rate", "_unknown")))
     note = F.concat_ws("; ", *notes)
     out = one.withColumns({
-        "notch_frequencies_hz": F.slice(F.sort_array(notch), 1, 5),
+        "notch_frequencies_hz": F.sort_array(notch),
         "analysis_note": F.when(note == "", "nothing unusual").otherwise(note),
     })
     out = out.withColumn(
