@@ -10,8 +10,8 @@ unit of work, and of the links in it only a spanning forest leaves the task, whi
 ``near_groups`` finds documents whose word shingles have a similarity of 0.8 or more.  There each shingle counts once,
 tiles are classes of shingle counts (sets of similarity s have sizes within a factor s), tiles are compared on
 128 bits within 30, which 99.6 % of pairs at 0.8 meet and more above, and what is left on 512 bits within 100.
-Forest links are taken closest first and then checked exactly on the texts, so a link between documents that
-closer links already connect is not looked at, even where one of those fails the check.
+Forest links are taken closest first and then checked exactly on the texts.  Documents that are connected with a
+link that failed are compared once more, and there every candidate between documents not yet in one group is checked.
 
 Documents without words have fingerprint 0 and link like any other.  Rows with a null doc_id get the group of
 their fingerprint and never name one.  Rows that repeat a doc_id count as one document in links.
@@ -20,7 +20,7 @@ their fingerprint and never name one.  Rows that repeat a doc_id count as one do
 from __future__ import annotations
 
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -33,6 +33,7 @@ from contrail.llm.common import append_columns, column_values, map_batches, mate
 from contrail.session import broadcast_if_small
 
 BLOCK, ROWS = 16_384, 512  # fingerprints of a block, and of the rows compared at a time
+HASHES = 1 << 20  # shingle hashes of a block whose sets are compared
 CHUNK = 32_768  # shingle hashes unpacked at a time
 WORDS, LEAD = 8, 2  # 64-bit words of a set's fingerprint, and those that tiles are compared on
 
@@ -118,27 +119,35 @@ def size_tile(n: str, similarity: float) -> Column:
     return F.floor(F.log(F.col(n) + 1.0) / float(np.log(1 / similarity))).cast("long")
 
 
-def tile_links(nodes: DataFrame, tile: Column, neighbours: Column, radius: int, wide: int = 0, similarity: float = 0.0) -> DataFrame:
-    """a, b: spanning forests of the links within the radius between ``nodes`` (id, fps, n).
+def _block_pairs(nodes: DataFrame, tile: Column, neighbours: Column, blocks: Column, columns: Sequence[str]) -> DataFrame:
+    """A row for every two blocks that may hold links: the columns as lists in order of bit counts, same, and those of the other block.
 
-    With ``wide``, links also have to lie within it on all words and in sizes, and the closest are taken first.
+    ``blocks``: how many a tile is cut into.  Columns that are lists are flattened.
     """
-    spark = nodes.sparkSession
     tiled = nodes.withColumn("tile", tile)
     # One row for each tile there is: at most 17^4, or one for each class of sizes.
-    blocks = tiled.groupBy("tile").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    blocks = tiled.groupBy("tile").agg(blocks.cast("int").alias("blocks"))
     dealt = tiled.join(F.broadcast(blocks), "tile").withColumn("block", F.pmod(F.xxhash64("id", "fps"), F.col("blocks")).cast("int"))
     ones = sum((F.coalesce(F.bit_count(F.get("fps", F.lit(k))), F.lit(0)) for k in range(1, LEAD)), F.bit_count(F.get("fps", F.lit(0))))
-    members = F.sort_array(F.collect_list(F.struct(ones.alias("ones"), "id", "fps", "n")))  # about BLOCK rows
-    packed = materialise(dealt.groupBy("tile", "block").agg(members.alias("m")).select(
-        "tile", "block", F.flatten("m.fps").alias("fps"), F.col("m.id").alias("id"), F.col("m.n").alias("n")), "simhash-blocks")
+    members = F.sort_array(F.collect_list(F.struct(ones.alias("ones"), "id", *[c for c in columns if c != "id"])))  # a block's rows
+    lists = [F.flatten(f"m.{c}").alias(c) if dict(nodes.dtypes)[c].startswith("array") else F.col(f"m.{c}").alias(c) for c in columns]
+    packed = materialise(dealt.groupBy("tile", "block").agg(members.alias("m")).select("tile", "block", *lists), "simhash-blocks")
     # Every block visits the blocks of its own and the neighbouring tiles; a block pair of one tile is met once.
     visits = packed.withColumn("to", F.explode(neighbours)).join(F.broadcast(blocks.select(F.col("tile").alias("to"), "blocks")), "to")
     visits = visits.withColumn("at", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     visits = visits.where((F.col("to") != F.col("tile")) | (F.col("at") >= F.col("block")))
     same = ((F.col("to") == F.col("tile")) & (F.col("at") == F.col("block"))).alias("same")
-    visits = visits.select(F.col("to").alias("tile"), F.col("at").alias("block"), same, *[F.col(c).alias(f"{c}_2") for c in ("fps", "id", "n")])
-    pairs = packed.join(visits.hint("shuffle_hash"), ["tile", "block"]).drop("tile", "block")
+    visits = visits.select(F.col("to").alias("tile"), F.col("at").alias("block"), same, *[F.col(c).alias(f"{c}_2") for c in columns])
+    return packed.join(visits.hint("shuffle_hash"), ["tile", "block"]).drop("tile", "block")
+
+
+def tile_links(nodes: DataFrame, tile: Column, neighbours: Column, radius: int, wide: int = 0, similarity: float = 0.0) -> DataFrame:
+    """a, b: spanning forests of the links within the radius between ``nodes`` (id, fps, n).
+
+    With ``wide``, links also have to lie within it on all words and in sizes, and the closest are taken first.
+    """
+    spark = nodes.sparkSession
+    pairs = _block_pairs(nodes, tile, neighbours, F.ceil(F.count("*") / BLOCK), ("fps", "id", "n"))
     run = partial(_compare, radius=radius, wide=wide, similarity=similarity)
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "64")
@@ -168,11 +177,23 @@ def block_links(rows: np.ndarray, columns: np.ndarray, n: np.ndarray, n2: np.nda
 
     ``rows`` and ``columns`` have 64 bits of each fingerprint in a line, and fingerprints in order of their bit counts.
     """
-    counts, counts2 = (np.bitwise_count(x).sum(axis=0, dtype=np.int64) for x in (rows[:LEAD], columns[:LEAD]))
     size = rows.shape[1]
     parent = np.arange(size + (0 if same else columns.shape[1]))
     shift = 0 if same else size
     out: list[tuple[np.ndarray, np.ndarray]] = []
+    for i, j, d in near_pairs(rows, columns, n, n2, same, radius, wide, similarity):
+        for x, y in _forest(parent, i, j + shift, d if wide else None):
+            out.append((x, y - shift))
+    if not out:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def near_pairs(rows: np.ndarray, columns: np.ndarray, n: np.ndarray, n2: np.ndarray, same: bool, radius: int,
+               wide: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All places (row, column) within the radii and their distances, rows ascending, some rows at a time."""
+    counts, counts2 = (np.bitwise_count(x).sum(axis=0, dtype=np.int64) for x in (rows[:LEAD], columns[:LEAD]))
+    size = rows.shape[1]
     for top in range(0, size, ROWS):
         part = rows[:, top : top + ROWS]
         low = np.searchsorted(counts2, counts[top] - radius, "left")
@@ -195,11 +216,7 @@ def block_links(rows: np.ndarray, columns: np.ndarray, n: np.ndarray, n2: np.nda
             small, large = np.minimum(n[i], n2[j]), np.maximum(n[i], n2[j])
             near = (small >= similarity * large) & (d <= wide)
             i, j, d = i[near], j[near], d[near]
-        for x, y in _forest(parent, i, j + shift, d if wide else None):
-            out.append((x, y - shift))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+        yield i, j, d
 
 
 def _forest(parent: np.ndarray, i: np.ndarray, j: np.ndarray, d: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -275,16 +292,22 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     nodes = materialise(prints.where("doc_id IS NOT NULL").groupBy("digest", "fps", "n").agg(F.min("doc_id").alias("id")), "near-nodes")
     tile = size_tile("n", similarity)
     links = tile_links(nodes.select("id", "fps", "n"), tile, F.array(F.col("tile"), F.col("tile") + 1), radius, wide, similarity)
-    found = components(_verified(links, chosen, nodes, width, similarity))
+    held = _texts_of_links(links, chosen, nodes)
+    passed = materialise(_verified(links, held, width, similarity), "near-passed")
+    found = components(_rechecked(links, passed, held, nodes, width, similarity, radius, wide))
     groups = materialise(nodes.join(found, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id")), "near-groups")
     return prints.join(groups.hint("merge"), "digest", "left").select("doc_id", "component_id")
 
 
-def _verified(links: DataFrame, texts: DataFrame, nodes: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The links whose documents have that similarity; a node's text is that of its digest."""
+def _texts_of_links(links: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """doc_id, text of the nodes that have links; a node's text is that of its digest."""
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
     keys = nodes.join(ends, "id", "left_semi").select(F.col("id").alias("doc_id"), "digest")
-    held = materialise(texts.join(broadcast_if_small(keys), ["doc_id", "digest"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "near-texts")
+    return materialise(texts.join(broadcast_if_small(keys), ["doc_id", "digest"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "near-texts")
+
+
+def _verified(links: DataFrame, held: DataFrame, width: int, similarity: float) -> DataFrame:
+    """The links whose documents have that similarity."""
     both = links.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
@@ -311,6 +334,88 @@ def _verified(links: DataFrame, texts: DataFrame, nodes: DataFrame, width: int,
     return map_batches(both.select("a", "b", "text_a", "text_b"), run, "a bigint, b bigint")
 
 
+def _rechecked(links: DataFrame, passed: DataFrame, held: DataFrame, nodes: DataFrame, width: int, similarity: float, radius: int, wide: int) -> DataFrame:
+    """``passed`` and the links that failed ones have displaced from the forests.
+
+    A candidate outside the forests joins documents that forest links connect; where all of these passed, it adds nothing.
+    So only documents connected with a failed link are compared again, now with their shingle sets at hand: every
+    candidate between two groups is checked, unless a checked one has joined them.
+    """
+    spark = links.sparkSession
+    failed = materialise(links.join(passed, ["a", "b"], "left_anti"), "near-failed")
+    if failed.isEmpty():
+        return passed
+    around = components(links)
+    roots = materialise(around.join(failed.select(F.col("a").alias("id")), "id", "left_semi").select("root").distinct(), "near-roots")
+    members = around.join(broadcast_if_small(roots), "root", "left_semi").select("id").union(roots.select(F.col("root").alias("id")))
+    points = nodes.select("id", "fps", "n").join(members, "id", "left_semi").join(components(passed).withColumnRenamed("root", "label"), "id", "left")
+    points = points.withColumn("label", F.coalesce("label", "id")).join(held.select(F.col("doc_id").alias("id"), "text"), "id")
+
+    def run(batch: pa.RecordBatch) -> list[pa.Array]:
+        sets = [np.unique(shingle_hashes(t, width)) for t in texts_of(batch, "text")]
+        flat = np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)
+        ends = pa.array(np.cumsum([0, *map(len, sets)]), pa.int32())
+        return [pa.ListArray.from_arrays(ends, pa.array(flat, pa.int64()))]
+
+    points = materialise(append_columns(points, "hashes array<bigint>", run).drop("text"), "near-sets")
+    tile, blocks = size_tile("n", similarity), F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / HASHES, F.lit(1)))
+    pairs = _block_pairs(points, tile, F.array(F.col("tile"), F.col("tile") + 1), blocks, ("fps", "id", "n", "label", "hashes"))
+    rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        run = partial(_compare_sets, radius=radius, wide=wide, similarity=similarity)
+        return passed.union(materialise(pairs.mapInArrow(run, "a bigint, b bigint").distinct(), "near-rechecked"))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+
+
+def _compare_sets(batches: Iterator[pa.RecordBatch], radius: int, wide: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in range(batch.num_rows):
+            cells = [batch.column(k)[i] for k in range(11)]
+            same = cells.pop(5).as_py()
+            fps, node, n, label, hashes, fps2, node2, n2, label2, hashes2 = (c.values.to_numpy() for c in cells)
+            rows, columns = (np.ascontiguousarray(f.view(np.uint64).reshape(len(x), -1).T) for f, x in ((fps, node), (fps2, node2)))
+            x, y = checked_links(near_pairs(rows, columns, n, n2, same, radius, wide, similarity), n, n2, label, label2, hashes, hashes2, similarity)
+            a.append(np.maximum(node[x], node2[y]))
+            b.append(np.minimum(node[x], node2[y]))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (a, b)], names=["a", "b"])
+
+
+def checked_links(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n: np.ndarray, n2: np.ndarray, label: np.ndarray,
+                  label2: np.ndarray, hashes: np.ndarray, hashes2: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of that similarity that join all groups (labels) which such pairs join."""
+    _, group = np.unique(np.concatenate([label, label2]), return_inverse=True)
+    names, numbers = np.unique(np.concatenate([hashes, hashes2]), return_inverse=True)
+    parent, marks = np.arange(len(group)), np.zeros(len(names), bool)
+    group, group2, numbers, numbers2 = group[: len(n)], group[len(n) :], numbers[: len(hashes)], numbers[len(hashes) :]
+    start, start2 = (np.cumsum(x) - x for x in (n, n2))
+    out: list[tuple[int, int]] = []
+    for i, j, _ in pairs:
+        apart = parent[group[i]] != parent[group2[j]]
+        i, j = i[apart], j[apart]
+        row, first = np.unique(i, return_index=True)
+        for x, to in zip(row.tolist(), np.split(j, first[1:])):
+            to = to[parent[group2[to]] != parent[group[x]]]
+            if not len(to):
+                continue
+            own = numbers[start[x] : start[x] + n[x]]
+            marks[own] = True
+            ends = np.cumsum(n2[to])
+            places = np.arange(ends[-1]) + np.repeat(start2[to] - ends + n2[to], n2[to])
+            seen = np.concatenate([[0], np.cumsum(marks[numbers2[places]])])
+            marks[own] = False
+            common = seen[ends] - seen[ends - n2[to]]
+            for y in to[common >= similarity * (n[x] + n2[to] - common)].tolist():
+                old, new = parent[group2[y]], parent[group[x]]
+                if old != new:
+                    parent[parent == old] = new
+                    out.append((x, y))
+    links = np.array(out, np.int64).reshape(-1, 2)
+    return links[:, 0], links[:, 1]
+
+
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` but for all documents of a group other than its smallest doc_id.
 
