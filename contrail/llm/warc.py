@@ -9,7 +9,8 @@ double in length every round, keeps exactly the candidates that the chain of rec
 Of pages with equal payloads of at least 100 bytes the one with the smallest page_id is a response and the
 others are revisits without payload; rows that repeat its page_id are responses too.  Null html is an empty
 payload.  Rows with a null page_id are written as responses and come back with a null page_id.  Empty tables
-make no file.  A file that is cut off gives the records before the cut.  Tasks write under new names, and the
+make no file.  A head may be of any length.  A file that gives other than the records its manifest counts, such as
+one that is cut off, is an error.  Tasks write under new names, and the
 manifest (a written table) lists the files of the attempts that counted.
 """
 
@@ -33,6 +34,8 @@ END = b"\r\n\r\n"
 REVISIT_BYTES = 100
 FILE_BYTES, SPLIT_BYTES, HEAD_BYTES = 64 << 20, 8 << 20, 16_384
 PLACES = 1 << 38  # more than a file's bytes, and a multiple of SPLIT_BYTES
+_LINES = re.compile(rb"(?:[A-Za-z-]+:[^\n]*\n)*")
+_CUT = re.compile(rb"\r?|[A-Za-z-]+(?::[^\n]*)?")  # what a head's last line may look like where reading stopped
 _FIELD = re.compile(rb"^([A-Za-z-]+):[ \t]*(.*?)[ \t]*$", re.M)
 ROW_FIELDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint"
 
@@ -102,6 +105,26 @@ def parse_head(raw: bytes) -> tuple[dict[bytes, bytes], int] | None:
     return fields, end + len(END)
 
 
+def head_end(stream, raw: bytes, at: int) -> tuple[bytes, int, int, int]:
+    """Of the head at ``at`` of ``raw``, which is read on as far as the head goes: raw, the place of the head's end (or
+    of a line that no head has), the place of its last Content-Length line (-1 if it has none) and the length.
+
+    Heads that begin later and before that end have the same end, so they share the answer.
+    """
+    seen = at
+    while (end := raw.find(END, seen)) < 0:
+        stop = _LINES.match(raw, at + len(VERSION)).end()
+        more = stream.read(len(raw)) if _CUT.fullmatch(raw, stop) else b""
+        if not more:
+            return raw, stop, -1, 0
+        seen, raw = max(at, len(raw) - len(END) + 1), raw + more
+    line = raw[at:end].lower().rfind(b"\ncontent-length:")
+    value = raw[at + line + 1 : end].split(b"\n", 1)[0].partition(b":")[2].strip(b" \t\r")
+    if line < 0 or not value.isdigit() or len(value) > 15:
+        return raw, end, -1, 0
+    return raw, end, at + line, int(value)
+
+
 def candidates(files: DataFrame, folder: str) -> DataFrame:
     """at, next: every place in the files that looks like a record, and the place after that record.
 
@@ -116,14 +139,15 @@ def candidates(files: DataFrame, folder: str) -> DataFrame:
             with fs.open_input_file(path) as stream:
                 stream.seek(first)
                 raw = stream.read(min(SPLIT_BYTES + HEAD_BYTES, size - first))
-            at, out = raw.find(VERSION), []
-            while 0 <= at < SPLIT_BYTES:
-                head = parse_head(raw[at : at + HEAD_BYTES])
-                if head:
-                    after = first + at + head[1] + int(head[0][b"content-length"]) + len(END)
-                    if after <= size:
-                        out.append((file * PLACES + first + at, file * PLACES + after))
-                at = raw.find(VERSION, at + 1)
+                at, end, out = raw.find(VERSION), 0, []
+                while 0 <= at < SPLIT_BYTES:
+                    if at >= end:
+                        raw, end, line, length = head_end(stream, raw, at)
+                    if at < line:
+                        after = first + end + len(END) + length + len(END)
+                        if after <= size:
+                            out.append((file * PLACES + first + at, file * PLACES + after))
+                    at = raw.find(VERSION, at + 1)
             yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], pa.int64()) for k in (0, 1)], names=["at", "next"])
 
     return map_batches(splits, scan, "at bigint, next bigint")
@@ -199,8 +223,13 @@ def _page(urn: bytes | None) -> int | None:
 
 def read_archives(manifest: DataFrame, folder: str) -> DataFrame:
     numbers = F.row_number().over(Window.orderBy("path")).cast("long")  # a row for each file
-    files = materialise(manifest.select(numbers.alias("file"), "path", "size"), "warc-files")
-    return read_records(reachable(candidates(files, folder)), files, folder)
+    files = materialise(manifest.select(numbers.alias("file"), "path", "size", "n_records"), "warc-files")
+    records = materialise(reachable(candidates(files, folder)), "warc-records")
+    found = records.groupBy(F.shiftright(F.col("at"), PLACES.bit_length() - 1).alias("file")).agg(F.count("*").alias("n"))
+    short = files.join(found, "file", "left").withColumn("n", F.coalesce("n", F.lit(0))).where("n <> n_records").first()
+    if short:
+        raise ValueError(f"{short['path']} gives {short['n']} records, its manifest says {short['n_records']}")
+    return read_records(records, files, folder)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:

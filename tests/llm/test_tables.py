@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from contrail.llm import chat, topk, warc
@@ -121,6 +122,22 @@ def test_records_over_splits(spark, monkeypatch):
     assert warc.candidates(files, folder).count() > 150  # the payloads hold heads that chains reject
 
 
+def test_long_heads(spark, tmp_path, monkeypatch):
+    """Urls longer than a window or a split, and urls that look like a head's first line."""
+    rows = [(i, f"http://a/{i}?" + "q" * n + end, f"page {i} " * 20 + FAKE) for i, (n, end) in enumerate(
+        [(5, ""), (20_000, ""), (7, "WARC/1.1"), (300_000, "WARC/1.1"), (70_000, "\r\n\r\nWARC/1.1\r\n"), (9, ""), (40_000, "Content-Length: 3")])]
+    rows += [(20, "u", "WARC/1.1\r\n" * 3000 + "a:WARC/1.1\r\n" * 3000), (21, "v", "WARC/1.1\r\nA: " + "b" * 50_000)]
+    df = _frame_pages(spark, rows).coalesce(1)
+    assert sorted(map(tuple, op9_warc(spark, table(tmp_path, "pages", df)).collect()), key=repr) == _records(rows)
+    monkeypatch.setattr(warc, "SPLIT_BYTES", 1 << 10)
+    monkeypatch.setattr(warc, "HEAD_BYTES", 64)
+    folder = fresh_path(spark, "warc-test")
+    manifest = warc.write_archives(df, folder)
+    assert sorted(map(tuple, warc.read_archives(manifest, folder).drop("payload").collect()), key=repr) == _records(rows)
+    with pytest.raises(ValueError, match="manifest"):
+        warc.read_archives(manifest.withColumn("n_records", F.col("n_records") + 1), folder)
+
+
 def test_no_pages(spark):
     folder = fresh_path(spark, "warc-test")
     manifest = warc.write_archives(_frame_pages(spark, []), folder)
