@@ -2,8 +2,9 @@
 
 A text is compressed with zstandard whole and in fixed chunks.  Repetitive text compresses far better than
 prose of its length and random characters far worse, so a ratio (compressed / plain bytes) has to lie
-within the limits for the length.  A document also goes when more than a quarter of its full chunks lie
-outside the chunk limits: repeated or random passages that the whole ratio averages away.
+within the limits for the length.  A document also goes when more than a quarter of its bytes lie in
+chunks outside the chunk limits: repeated or random passages that the whole ratio averages away.  The last part
+counts as a chunk with the limits of texts of its length.
 
 Words are runs of characters other than ASCII white space.  Null and empty texts have no words and fail the
 base rule.  Repeated rows are judged each; every other column is passed on.
@@ -24,7 +25,7 @@ WINDOW = 8
 CHUNK_BYTES = 4096
 # Least and greatest ratio of texts below so many bytes; short frames are mostly overhead.
 BANDS = ((128, 0.00, 9.00), (256, 0.35, 1.10), (512, 0.32, 0.95), (1024, 0.30, 0.82), (65_536, 0.30, 0.72), (float("inf"), 0.25, 0.70))
-CHUNK_BAND = (0.20, 0.75)
+CHUNK_BAND = (0.20, 0.70)  # of full chunks; random letters, digits and spaces have 0.75
 SYMBOLS = "#*$%&|<>"
 FIELDS = ("n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, base_failed boolean, "
           "ratio double, odd_chunks bigint, n_chunks bigint, kept boolean")
@@ -59,6 +60,16 @@ def repeated_words(words: list[bytes]) -> int:
     return int((np.cumsum(marks) > 0).sum())
 
 
+def _band(size: int) -> tuple[float, float]:
+    return next((a, b) for below, a, b in BANDS if size < below)
+
+
+def _odd(chunk: bytes, pack: zstandard.ZstdCompressor) -> bool:
+    """Whether a chunk's ratio lies outside its limits: those of full chunks, or of texts of its length for the last part."""
+    low, high = CHUNK_BAND if len(chunk) == CHUNK_BYTES else _band(len(chunk))
+    return not low <= len(pack.compress(chunk)) / len(chunk) <= high
+
+
 def measure(text: str, pack: zstandard.ZstdCompressor) -> tuple:
     raw = text.encode("utf-8", "replace")
     words = raw.split()
@@ -67,13 +78,13 @@ def measure(text: str, pack: zstandard.ZstdCompressor) -> tuple:
     repeat = repeated_words(words)
     failed = n_words < 20 or 100 * repeat > 30 * n_words
     ratio = len(pack.compress(raw)) / len(raw) if raw else 0.0
-    low, high = next((a, b) for below, a, b in BANDS if len(raw) < below)
-    chunks = [len(pack.compress(raw[i : i + CHUNK_BYTES])) / CHUNK_BYTES for i in range(0, len(raw) - CHUNK_BYTES + 1, CHUNK_BYTES)]
-    odd = sum(not CHUNK_BAND[0] <= c <= CHUNK_BAND[1] for c in chunks)
-    kept = not failed and low <= ratio <= high and 4 * odd <= len(chunks)
+    low, high = _band(len(raw))
+    chunks = [raw[i : i + CHUNK_BYTES] for i in range(0, len(raw), CHUNK_BYTES)]
+    odd = [len(c) for c in chunks if _odd(c, pack)]
+    kept = not failed and low <= ratio <= high and 4 * sum(odd) <= len(raw)
     white = sum(map(text.count, " \t\n\r\x0b\x0c"))
     return (n_words, len(text) - white, sum(map(text.count, SYMBOLS)), len(lines) - len(set(lines)), repeat, failed,
-            ratio, odd, len(chunks), kept)
+            ratio, len(odd), len(chunks), kept)
 
 
 def quality(df: DataFrame, text: str = "text") -> DataFrame:

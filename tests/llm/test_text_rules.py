@@ -57,6 +57,18 @@ def test_bands_by_chunk():
     assert verdict == [True, False]
 
 
+def test_bands_judge_the_last_part():
+    import zstandard
+
+    r = random.Random(1)
+    pack = zstandard.ZstdCompressor(level=3, write_content_size=False)
+    words = ["".join(r.choice("etaoinshrdlu") for _ in range(r.randrange(2, 9))) for _ in range(4000)]
+    prose = " ".join(r.choice(words) for _ in range(4000))
+    noise = "".join(r.choice(string.ascii_letters + string.digits + " ") for _ in range(4096))
+    verdict = [quality.measure(t, pack)[-1] for t in (prose[:4096], prose[:4096] + noise[:4095], prose[:8192] + noise, prose[:16_000] + noise[:3000])]
+    assert verdict == [True, False, False, True]
+
+
 def test_keep_good(spark):
     docs = documents(spark)
     kept = quality.keep_good(docs)
