@@ -276,3 +276,17 @@ def test_near_copies_in_a_template_family(spark, monkeypatch):
         monkeypatch.setattr(simhash, "HASHES", size, raising=False)
         got = {x["doc_id"]: x["component_id"] for x in simhash.near_groups(documents(spark, rows)).collect()}
         assert got == want
+
+
+def test_near_copies_of_short_texts(spark):
+    """Four of five shingles shared: 8 words against 9; and pairs at 0.8 of longer texts."""
+    r = random.Random(11)
+    rows = []
+    for p in range(150):
+        words = [f"p{p}w{r.randrange(10**6)}" for _ in range(8 if p < 100 else 49)]
+        more = [*words, "more"] if p < 100 else [*words[:20], "x", *words[21:]]
+        rows += [(2 * p + 1, " ".join(words)), (2 * p + 2, " ".join(more))]
+    want = _groups_of(rows)
+    assert sum(i != g for i, g in want.items()) == 150
+    got = {x["doc_id"]: x["component_id"] for x in simhash.near_groups(documents(spark, rows)).collect()}
+    assert got == want
