@@ -15,7 +15,8 @@ Forest links are taken closest first and then checked exactly on the texts.  Doc
 link that failed are compared once more, and there every candidate between documents not yet in one group is checked.
 
 Documents without words have fingerprint 0 and link like any other.  Rows with a null doc_id get the group of
-their fingerprint and never name one.  Rows that repeat a doc_id count as one document in links.
+their fingerprint and never name one.  In ``simhash_groups`` rows that repeat a doc_id count as one document in links;
+``near_groups`` links texts, whatever their doc_ids.
 """
 
 from __future__ import annotations
@@ -288,30 +289,40 @@ def simhash_groups(docs: DataFrame, radius: int = 2, width: int = 3, doc_id: str
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 48, wide: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, component_id of every row: documents connected by links of at least that similarity of shingle sets."""
+    """doc_id, digest, component_id, first of every row: texts connected by links of at least that similarity of shingle sets.
+
+    ``first``: the row's text is that of the group's smallest doc_id, the smallest digest where that id has several of its texts.
+    """
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     prints = materialise(set_fingerprints(chosen, width).select("doc_id", "digest", "fps", "n"), "near-prints")
-    nodes = materialise(prints.where("doc_id IS NOT NULL").groupBy("digest", "fps", "n").agg(F.min("doc_id").alias("id")), "near-nodes")
+    nodes = prints.where("doc_id IS NOT NULL").groupBy("digest", "fps", "n").agg(F.min("doc_id").alias("least"))
+    nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "near-nodes")  # one for each text, whatever its doc_id
     tile = size_tile("n", similarity)
     links = tile_links(nodes.select("id", "fps", "n"), tile, F.array(F.col("tile"), F.col("tile") + 1), radius, wide, similarity)
     held = _texts_of_links(links, chosen, nodes)
     passed = materialise(_verified(links, held, width, similarity), "near-passed")
     found = components(_rechecked(links, passed, held, nodes, width, similarity, radius, wide))
-    groups = materialise(nodes.join(found, "id", "left").select("digest", F.coalesce("root", "id").alias("component_id")), "near-groups")
-    return prints.join(groups.hint("merge"), "digest", "left").select("doc_id", "component_id")
+    found = materialise(found, "near-found")
+    rooted = nodes.join(found.union(found.select("root", "root").distinct()), "id", "left").select("digest", "least", "root")
+    # A row for each group of two texts or more.
+    firsts = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("least", "digest")).alias("group"))
+    groups = rooted.join(broadcast_if_small(materialise(firsts, "near-firsts")), "root", "left")
+    component, is_first = F.coalesce("group.least", "least"), F.coalesce(F.col("group.digest") == F.col("digest"), F.lit(True))
+    groups = materialise(groups.select("digest", component.alias("component_id"), is_first.alias("first")), "near-groups")
+    return prints.join(groups.hint("merge"), "digest", "left").select("doc_id", "digest", "component_id", "first")
 
 
 def _texts_of_links(links: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """doc_id, text of the nodes that have links; a node's text is that of its digest."""
+    """id, text of the nodes that have links."""
     ends = links.select(F.col("a").alias("id")).union(links.select(F.col("b").alias("id"))).distinct()
-    keys = nodes.join(ends, "id", "left_semi").select(F.col("id").alias("doc_id"), "digest")
-    return materialise(texts.join(broadcast_if_small(keys), ["doc_id", "digest"], "left_semi").groupBy("doc_id").agg(F.first("text").alias("text")), "near-texts")
+    keys = nodes.join(ends, "id", "left_semi").select("id", F.col("least").alias("doc_id"), "digest")
+    return materialise(texts.join(broadcast_if_small(keys), ["doc_id", "digest"]).groupBy("id").agg(F.first("text").alias("text")), "near-texts")
 
 
 def _verified(links: DataFrame, held: DataFrame, width: int, similarity: float) -> DataFrame:
     """The links whose documents have that similarity."""
-    both = links.join(held.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(held.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    both = links.join(held.select(F.col("id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(held.select(F.col("id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: OrderedDict[int, np.ndarray] = OrderedDict()
@@ -351,7 +362,7 @@ def _rechecked(links: DataFrame, passed: DataFrame, held: DataFrame, nodes: Data
     roots = materialise(around.join(failed.select(F.col("a").alias("id")), "id", "left_semi").select("root").distinct(), "near-roots")
     members = around.join(broadcast_if_small(roots), "root", "left_semi").select("id").union(roots.select(F.col("root").alias("id")))
     points = nodes.select("id", "fps", "n").join(members, "id", "left_semi").join(components(passed).withColumnRenamed("root", "label"), "id", "left")
-    points = points.withColumn("label", F.coalesce("label", "id")).join(held.select(F.col("doc_id").alias("id"), "text"), "id")
+    points = points.withColumn("label", F.coalesce("label", "id")).join(held, "id")
 
     def run(batch: pa.RecordBatch) -> list[pa.Array]:
         sets = [np.unique(shingle_hashes(t, width)) for t in texts_of(batch, "text")]
@@ -419,15 +430,22 @@ def checked_links(pairs: Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]], n:
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` but for all documents of a group other than its smallest doc_id.
+    """The rows of ``docs`` whose text is that of the smallest doc_id of its group.
 
-    Rows with a null doc_id stay, and of rows that repeat a doc_id one stays.
+    Rows with a null doc_id stay, and of rows that repeat a doc_id with the same text one stays: that with the smallest
+    hash of all columns.  Rows that repeat a doc_id with a text of another group stay as well.
     """
     grouped = near_groups(docs, doc_id=doc_id, text=text)
-    dropped = materialise(grouped.where("doc_id <> component_id").select(F.col("doc_id").alias("__dropped")).distinct(), "near-dropped")
-    left = docs.join(broadcast_if_small(dropped), F.col(doc_id).cast("long") == F.col("__dropped"), "left_anti")
-    repeated = materialise(docs.where(F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__repeated")).count().where("count > 1").select("__repeated"), "near-repeated")
+    row = ["__doc_id", "__digest"]
+    keyed = docs.withColumns({"__doc_id": F.col(doc_id).cast("long"), "__digest": F.unhex(F.sha2(text_or_empty(text), 256))})
+    # The smallest doc_id of a text; larger ones are copies.
+    others = grouped.where("doc_id IS NOT NULL AND (NOT first OR doc_id <> component_id)").select(F.col("doc_id").alias("__doc_id"), F.col("digest").alias("__digest"))
+    left = keyed.join(broadcast_if_small(materialise(others.distinct(), "near-dropped")), row, "left_anti")
+    repeated = keyed.where("__doc_id IS NOT NULL").groupBy(*row).count().where("count > 1").select(*row)
+    repeated = materialise(repeated, "near-repeated")
     if repeated.isEmpty():
-        return left
-    again = left.join(broadcast_if_small(repeated), F.col(doc_id) == F.col("__repeated"), "left_semi")
-    return left.join(broadcast_if_small(repeated), F.col(doc_id) == F.col("__repeated"), "left_anti").unionByName(again.dropDuplicates([doc_id]))
+        return left.select(*docs.columns)
+    again = left.join(broadcast_if_small(repeated), row, "left_semi")
+    hashed = [c for c, kind in docs.dtypes if "map<" not in kind]
+    again = again.groupBy(*row).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*hashed)).alias("r")).select("r.*")
+    return left.join(broadcast_if_small(repeated), row, "left_anti").select(*docs.columns).unionByName(again)

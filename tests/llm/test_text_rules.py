@@ -1,3 +1,4 @@
+import hashlib
 import random
 import re
 import string
@@ -290,3 +291,17 @@ def test_near_copies_of_short_texts(spark):
     assert sum(i != g for i, g in want.items()) == 150
     got = {x["doc_id"]: x["component_id"] for x in simhash.near_groups(documents(spark, rows)).collect()}
     assert got == want
+
+
+def test_repeated_ids_with_other_texts(spark):
+    """Texts under one doc_id are judged each; of equal rows one stays, the same one in every order."""
+    r = random.Random(12)
+    a, b, c, d = (" ".join(f"w{r.randrange(9000)}" for _ in range(120)) for _ in range(4))
+    near = a.rsplit(" ", 1)[0] + " end"
+    rows = [(1, a), (1, b), (1, b), (2, near), (3, b), (3, c), (5, d), (5, d + " more"), (None, a)]
+    docs = documents(spark, rows)
+    want = sorted([(1, a), (1, b), (3, c), (5, min(d, d + " more", key=lambda t: hashlib.sha256(t.encode()).digest())), (None, a)], key=repr)
+    assert sorted(((x["doc_id"], x["text"]) for x in simhash.keep_one(docs).collect()), key=repr) == want
+    numbered = [spark.createDataFrame(v, "doc_id long, text string, n int").repartition(3) for v in
+                ([(1, a, k) for k in range(9)], [(1, a, k) for k in reversed(range(9))])]
+    assert simhash.keep_one(numbered[0]).collect() == simhash.keep_one(numbered[1]).collect()
