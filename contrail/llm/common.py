@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -15,6 +15,8 @@ from contrail.session import shared_folder
 
 # Texts may be long, so a batch holds few of them.
 BATCH_ROWS = 1000
+# Consecutive ranks that meet their group's row in one place, so that a hot group is spread.
+RANKS = 1024
 
 
 def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -78,3 +80,30 @@ def open_folder(uri: str) -> tuple[pafs.FileSystem, str]:
 
 def column_values(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
+
+
+def ranked(df: DataFrame, order: list[str], kept: list[Column], name: str) -> DataFrame:
+    """The columns ``kept`` and ``rank``, the place of each row (from 0) in the order of the columns ``order``.
+
+    One range shuffle and one written table; equal rows may come in any order.  Nulls come first.
+    """
+    sorted_rows = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = materialise(sorted_rows.select(*kept, F.monotonically_increasing_id().alias("rank")), name)
+    part = F.shiftright("rank", 33)
+    sizes = placed.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    # One row for each partition of the written table.
+    before = F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("part", F.coalesce(before, F.lit(0)).alias("before"))
+    joined = placed.join(F.broadcast(starts), part == F.col("part"))
+    return joined.withColumn("rank", F.col("before") + F.col("rank").bitwiseAND((1 << 33) - 1)).drop("part", "before")
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """Ranked rows with the columns of their group (key, start, n): the group of ``n`` ranks from ``start`` on.
+
+    A group's row meets its rows by blocks of ranks, so the rows of a hot group are spread.
+    """
+    spread = groups.withColumn("block", F.explode(F.sequence(F.expr(f"start div {RANKS}"), F.expr(f"(start + n - 1) div {RANKS}"))))
+    spread = spread.withColumnRenamed(key, "group_key")
+    same = F.col("group_key").eqNullSafe(F.col(key)) & (F.col("block") == F.expr(f"rank div {RANKS}"))
+    return rows.join(spread, same).drop("group_key", "block")

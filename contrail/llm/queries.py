@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from contrail.llm import automaton, id_files, packing, quality, simhash, token_counts, topk, toxicity, warc
+from contrail.llm import automaton, id_files, langid, merkle, packing, quality, simhash, token_counts, topk, toxicity, trie, warc
 from contrail.llm.chat_query import CHAT_SQL, op10_chat_formatting
 from contrail.llm.common import fresh_path, load
+from contrail.llm.tree_sql import MERKLE_SQL, TRIE_SQL
 
 WORD_BPE, BYTE_BPE = "word_bpe_49k.json", "byte_bpe_50k.json"
 TOKEN_LIMIT = 512
@@ -63,9 +64,26 @@ def op9_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.round_trip(load(spark, sf, "pages")).drop("payload")
 
 
+def op11_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "text", "lang")
+    found = langid.identify(docs.select("doc_id", "text"), langid.fit(docs))
+    return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op12_merkle(spark: SparkSession, sf: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0
+    rows = merkle.manifest_rows(load(spark, sf, "documents"), tampered)
+    return rows.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", F.col("proof").alias("proof_sha256"), "folded_root", "verified")
+
+
+def op13_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    head = F.crc32(F.col("c").cast("string").cast("binary")) % 4
+    return trie.prefix_trie(load(spark, sf, "conversations"), F.col("c") - F.col("c") % 20, head)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_bpe_automaton, op2_simhash, op3_token_counts, op4_best_fit_packing, op5_top_k, op6_toxicity, op7_id_files, op8_quality_bands,
-                              op9_warc, op10_chat_formatting)
+                              op9_warc, op10_chat_formatting, op11_language_id, op12_merkle, op13_prefix_trie)
 }
 TOP_K_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings
@@ -84,4 +102,4 @@ SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha256(html) AS p
     CASE WHEN first < page_id THEN first END AS refers_to FROM m
 """
 
-SQL: dict[str, str] = {"op5_top_k": TOP_K_SQL, "op9_warc": WARC_SQL, "op10_chat_formatting": CHAT_SQL}
+SQL: dict[str, str] = {"op5_top_k": TOP_K_SQL, "op9_warc": WARC_SQL, "op10_chat_formatting": CHAT_SQL, "op12_merkle": MERKLE_SQL, "op13_prefix_trie": TRIE_SQL}
