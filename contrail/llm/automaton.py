@@ -33,7 +33,7 @@ from contrail.llm.common import append_columns, texts_of
 from contrail.llm.pieces import EXOTIC, PieceTable
 
 DEAD, NEVER = -1, -2
-TABLE_ARCS = 1_500_000
+TABLE_ARCS, TABLE_WORDS = 600_000, 100_000  # a worker's tables: about 100 and 20 MB
 
 
 class MergeAutomaton:
@@ -174,7 +174,7 @@ class AutomatonTokenizer:
             if ids is None:
                 ids = self.automaton.word(w)
                 if len(w) <= 32:
-                    if len(self.words) >= 300_000:
+                    if len(self.words) >= TABLE_WORDS:
                         self.words.clear()
                     self.words[w] = ids
             out += ids

@@ -21,8 +21,10 @@ TABLE_PIECES, PIECE_CHARS = 800_000, 48
 
 # Punctuation that may follow a word in a piece; it makes tokens of its own.
 _TAIL = ".,;:!?"
-# Up to here composition does nothing, lower case is letter by letter and letter classes are settled.
-EXOTIC = re.compile("[^\x00-\u024f]")
+# Up to here composition does nothing and letter classes are settled; lower case is letter by letter but for those found here.
+_PLAIN_END = 0x24F
+_UNEVEN = [c for c in map(chr, range(_PLAIN_END + 1)) if len(c.lower()) != 1 or c.lower().isalpha() != c.isalpha()]
+EXOTIC = re.compile(f"[^\x00-{chr(_PLAIN_END)}]|[{''.join(map(re.escape, _UNEVEN))}]")
 # str.split() also splits at these, the tokenizers don't.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 

@@ -14,7 +14,7 @@ from contrail.llm.queries import op1_bpe_automaton, op3_token_counts, op4_best_f
 from tests.llm.helpers import TEXTS, documents, table
 
 WORD, BYTE = public_tokenizers.path("word_bpe_49k.json"), public_tokenizers.path("byte_bpe_50k.json")
-ODD = [t or "" for _, t in TEXTS] + ["foo  <|endoftext|>", " lead", "a\n\nb", "\n", "x\u2003y", "''''s's't''ll", "don't I'LL 'S", "é x\u0301,", "ab " * 50 + "\n"]
+ODD = [t or "" for _, t in TEXTS] + ["foo  <|endoftext|>", " lead", "a\n\nb", "\n", "x\u2003y", "''''s's't''ll", "don't I'LL 'S", "é x\u0301,", "ab " * 50 + "\n", "ALİ. gel", "İ! İ, Aİ? 9İ."]
 
 
 def _random_texts(n: int) -> list[str]:
@@ -33,6 +33,18 @@ def test_text_encoder_is_the_library(path):
     assert own.counts(texts) == [len(w) for w in want]
 
 
+@pytest.mark.parametrize("path", [WORD, BYTE])
+def test_each_character_beside_each_mark_is_as_in_the_library(path):
+    """Every code point up to U+024F before, after and between letters, next to each mark that pieces are cut at."""
+    lib, r = Tokenizer.from_file(path), random.Random(7)
+    texts = [f"{lead}{chr(c)}{tail}{mark} {mark}{chr(c)}" for c in range(0x250) for mark in ".,;:!?" for lead, tail in (("", ""), ("aB", ""), ("", "Ab"))]
+    r.shuffle(texts)
+    own = [TextEncoder(path).ids(texts)] + ([automaton.AutomatonTokenizer(path).encode(texts)] if path == WORD else [])
+    want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+    for got in own:
+        assert [np.frombuffer(b, "<u4").tolist() for b in got] == want
+
+
 def test_piece_table_stays_bounded(monkeypatch):
     monkeypatch.setattr("contrail.llm.pieces.TABLE_PIECES", 50)
     table = PieceTable(lambda many, lead: [p.encode() for p in many], spaced=False)
