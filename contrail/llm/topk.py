@@ -14,14 +14,15 @@ Products of the rest are verified exactly: components are integers, products are
 they stay below 2^53 and in whole numbers of any size beyond.  Results of the cells are merged by score, ties
 to the smaller id.
 
-Vectors that are null or hold a null or a value that is not finite, or of another length than most, take no
-part; rows with a null id neither.  Rows that repeat an id are candidates each,
-and the smallest of their vectors is the query.  Fewer candidates than k: all.
+Vectors that are null or empty or hold a null or a value that is not finite take no part; rows with a null id
+neither.  A query meets the vectors of its own width.  Rows that repeat an id are candidates each,
+and the smallest of their vectors is the query.  Fewer candidates than k: all.  Components or products beyond 64 bits
+are errors.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import partial
 
 import numpy as np
@@ -31,46 +32,60 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from contrail.llm.common import materialise
+from contrail.session import broadcast_if_small
 
-CELL, QUERIES, BUCKETS = 8192, 2048, 16
+CELL, QUERIES, BUCKETS, SPREAD = 8192, 2048, 16, 16
 STEEP, FOCUS = 0.8, 4  # local threshold from which coordinates are looked at, and how many
 
 
 def usable(df: DataFrame, is_query: Column, scale: float, vec_id: str, embedding: str) -> DataFrame:
-    """id, asked, v (whole numbers), norm2 (a double) of the vectors that take part."""
+    """id, asked, v (whole numbers), width, norm2 (a double) of the vectors that take part."""
     x = F.col(embedding)
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c.cast("double")) & (F.abs(c.cast("double")) < float("inf")))
     rows = df.where(F.col(vec_id).isNotNull() & x.isNotNull() & finite & (F.size(x) > 0))
-    whole = F.transform(x, lambda c: F.floor(F.least(F.greatest(c.cast("double") * scale, F.lit(-(2.0**60))), F.lit(2.0**60))).cast("long"))
+    large = F.raise_error(F.lit("a component is beyond 64 bits"))
+    whole = F.transform(x, lambda c: F.when(F.abs(c.cast("double") * scale) < 2.0**63, F.floor(c.cast("double") * scale)).otherwise(large.cast("long")))
     v = rows.select(F.col(vec_id).cast("long").alias("id"), F.coalesce(is_query, F.lit(False)).alias("asked"), whole.alias("v"))
-    return v.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double")))
+    return v.withColumns({"width": F.size("v"), "norm2": _norm2("v")})
 
 
-def _blocks(rows: DataFrame, group: str, size: int) -> DataFrame:
-    """``rows`` in blocks of about ``size``, from long to short: group, block, id, v (flat), longest."""
-    counts = rows.groupBy(group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))  # a row for each bucket
-    dealt = rows.join(F.broadcast(counts), group).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
+def _norm2(v: str) -> Column:
+    return F.aggregate(v, F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))
+
+
+def _blocks(rows: DataFrame, group: Sequence[str], size: int) -> DataFrame:
+    """``rows`` in blocks of about ``size``, from long to short: the group, block, id, v (flat), longest."""
+    counts = rows.groupBy(*group).agg(F.ceil(F.count("*") / size).cast("int").alias("blocks"))  # a row for each bucket of a width
+    dealt = rows.join(broadcast_if_small(counts), list(group)).withColumn("block", F.pmod(F.xxhash64("id", "v"), F.col("blocks")).cast("int"))
     members = F.sort_array(F.collect_list(F.struct((-F.col("norm2")).alias("order"), "id", "v")))
-    packed = dealt.groupBy(group, "block").agg(members.alias("m"), F.sqrt(F.max("norm2")).alias("longest"))
-    return packed.select(group, "block", F.col("m.id").alias("id"), F.flatten("m.v").alias("v"), "longest")
+    packed = dealt.groupBy(*group, "block").agg(members.alias("m"), F.sqrt(F.max("norm2")).alias("longest"))
+    return packed.select(*group, "block", F.col("m.id").alias("id"), F.flatten("m.v").alias("v"), "longest")
 
 
 def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id, score: the k candidates with the highest products for each query."""
     spark = df.sparkSession
     rows = materialise(usable(df, is_query, scale, vec_id, embedding), "topk-vectors")
-    width = rows.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), F.desc("w")).first()
-    if width is None:
+    most = rows.agg(F.max(F.greatest(F.array_max("v"), -(F.array_min("v") + 1)))).first()[0]
+    if most is None:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
-    rows = rows.where(F.size("v") == width["w"])
-    bounds = sorted(set(rows.agg(F.percentile_approx("norm2", [i / BUCKETS for i in range(1, BUCKETS)], 1000)).first()[0]))
-    bucket = sum((F.when(F.col("norm2") <= b, 1).otherwise(0) for b in bounds), F.lit(0))  # 0: the longest
-    cells = materialise(_blocks(rows.withColumn("bucket", bucket), "bucket", CELL), "topk-cells")
-    asked = rows.where("asked").groupBy("id").agg(F.min("v").alias("v"))
-    asked = asked.withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, c: a + c.cast("double") * c.cast("double"))).withColumn("part", F.lit(0))
-    blocks = _blocks(asked, "part", QUERIES).select(F.col("block").alias("q_block"), F.col("id").alias("q_id"), F.col("v").alias("q_v"), F.col("longest").alias("q_longest"))
+    kind = next(t for t, bits in (("smallint", 15), ("int", 31), ("bigint", 63)) if most < 2**bits)
+    rows = rows.withColumn("v", F.col("v").cast(f"array<{kind}>"))
+    # Bounds of the buckets of each width.
+    bounds = rows.groupBy("width").agg(F.percentile_approx("norm2", [i / BUCKETS for i in range(1, BUCKETS)], 1000).alias("bounds"))
+    bucket = F.size(F.filter("bounds", lambda b: F.col("norm2") <= b))  # 0: the longest
+    cells = rows.join(broadcast_if_small(materialise(bounds, "topk-bounds")), "width").withColumn("bucket", bucket)
+    cells = materialise(_blocks(cells, ("width", "bucket"), CELL), "topk-cells")
+    # Of rows that repeat an id and a width the smallest vector asks.
+    asked = rows.where("asked").groupBy("id", "width").agg(F.min("v").alias("v"))
+    asked = asked.join(asked.groupBy("id").agg(F.min(F.struct("v")).alias("least")), "id").where("v = least.v").withColumn("norm2", _norm2("v"))
+    blocks = _blocks(asked, ("width",), QUERIES).select(F.concat_ws("/", "width", "block").alias("q_block"), "width", F.col("id").alias("q_id"), F.col("v").alias("q_v"),
+                                                       F.col("longest").alias("q_longest"))
     blocks = materialise(blocks, "topk-queries")
-    first = _search(cells.orderBy("bucket", "block").limit(1), blocks.withColumn("known", F.array().cast("array<struct<query_id:bigint,bound:bigint>>")), k)
+    at = F.struct("bucket", "block")
+    longest = cells.groupBy("width").agg(F.min(at).alias("at")).select("width", "at.*")  # a cell of the longest vectors of each width
+    first = cells.join(broadcast_if_small(longest), ["width", "bucket", "block"], "left_semi")
+    first = _search(first, blocks.withColumn("known", F.array().cast("array<struct<query_id:bigint,bound:bigint>>")), k)
     # Lower bounds of the k-th scores, k results of the first cell at least; one row for each query block.
     kth = first.groupBy("q_block", "query_id").agg(F.min("score").alias("bound"), F.count("*").alias("n")).where(F.col("n") >= k)
     known = kth.groupBy("q_block").agg(F.collect_list(F.struct("query_id", "bound")).alias("known"))
@@ -83,25 +98,24 @@ def top_k(df: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0, vec
 def _search(cells: DataFrame, blocks: DataFrame, k: int) -> DataFrame:
     """Every block of queries against every cell of candidates that its bounds leave: a stated set against all rows."""
     spark = cells.sparkSession
-    # One entry for each bucket, and the number of query blocks.
-    layout = cells.groupBy("bucket").agg(F.max("block").alias("last"), F.max("longest").alias("reach")).collect()
-    n_blocks = blocks.agg(F.max("q_block")).first()[0]
-    if not layout or n_blocks is None:
-        return spark.createDataFrame([], "q_block int, query_id bigint, vec_id bigint, score bigint")
-    buckets = F.array(*[F.struct(F.lit(r["bucket"]).alias("bucket"), F.lit(r["last"]).alias("last"), F.lit(r["reach"]).alias("reach")) for r in layout])
-    wanted = blocks.withColumn("b", F.explode(buckets))
-    # A block skips a bucket when even its longest query can't reach its least bound there.
+    # Which query block wants which bucket is settled on numbers alone; only then vectors are copied.
     least = F.when(F.size("known") == F.size("q_id"), F.array_min(F.transform("known", lambda x: x["bound"])))
-    wanted = wanted.where(least.isNull() | (least <= F.col("q_longest") * F.col("b.reach") * (1 + 1e-9)))
-    wanted = wanted.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("b.last")))).withColumn("bucket", F.col("b.bucket")).drop("b")
-    offered = cells.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks))))
-    pairs = wanted.join(offered.hint("shuffle_hash"), ["q_block", "bucket", "block"])
+    layout = cells.groupBy("width", "bucket").agg(F.max("longest").alias("reach"))
+    wanted = blocks.select("q_block", "width", "q_longest", least.alias("least")).join(layout, "width")
+    # A block skips a bucket when even its longest query can't reach its least bound there.
+    wanted = wanted.where(F.col("least").isNull() | (F.col("least") <= F.col("q_longest") * F.col("reach") * (1 + 1e-9)))
+    wanted = materialise(wanted.select("q_block", "width", "bucket"), "topk-wanted")
+    # The cells that a query block wants are dealt to SPREAD tasks, to each of which the block goes once.
+    spread = F.pmod(F.xxhash64("bucket", "block"), F.lit(SPREAD)).alias("spread")
+    offered = cells.select("width", "bucket", spread, "id", "v").join(wanted, ["width", "bucket"]).select("q_block", "spread", "id", "v")
+    asking = blocks.select("q_block", "q_id", "q_v", "known").withColumn("spread", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SPREAD - 1).cast("long"))))
+    pairs = offered.join(asking.hint("shuffle_hash"), ["q_block", "spread"])
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     try:
         run = partial(_cells, k=k)
         columns = ("q_block", "q_id", "q_v", "known", "id", "v")
-        return materialise(pairs.select(*columns).mapInArrow(run, "q_block int, query_id bigint, vec_id bigint, score bigint"), "topk-found")
+        return materialise(pairs.select(*columns).mapInArrow(run, "q_block string, query_id bigint, vec_id bigint, score bigint"), "topk-found")
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
@@ -113,7 +127,7 @@ def _cells(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
             q_id, q_v, c_id, c_v = (batch.column(c)[i].values.to_numpy() for c in (1, 2, 4, 5))
             bounds = {x["query_id"]: x["bound"] for x in known}
             query, candidate, score = search_cell(q_id, q_v.reshape(len(q_id), -1), c_id, c_v.reshape(len(c_id), -1), bounds, k)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(query), block, np.int32)), pa.array(query), pa.array(candidate), pa.array(score)],
+            yield pa.RecordBatch.from_arrays([pa.array([block] * len(query), pa.string()), pa.array(query), pa.array(candidate), pa.array(score)],
                                              names=["q_block", "query_id", "vec_id", "score"])
 
 
@@ -131,7 +145,9 @@ def search_cell(q_id: np.ndarray, q: np.ndarray, c_id: np.ndarray, c: np.ndarray
     def verify(queries: np.ndarray, rows: np.ndarray | slice) -> None:
         score = qs[queries] @ cs[rows].T
         if not exact:
-            score = np.clip(score, -(2**63), 2**63 - 1).astype(np.int64)
+            if max(map(abs, score.ravel().tolist()), default=0) >= 2**63:
+                raise OverflowError("a product is beyond 64 bits")
+            score = score.astype(np.int64)
         ids = c_id[rows]
         if not len(ids):
             return

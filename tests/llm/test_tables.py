@@ -41,6 +41,20 @@ def test_op5(spark, tmp_path, monkeypatch):
     assert sorted(map(tuple, got.collect())) == _top(_whole(rows))
 
 
+def test_each_width_is_searched_by_itself(spark, tmp_path):
+    r = np.random.default_rng(4)
+    wide, thin = _vectors(70, 8, r), [(i + 100, v) for i, v in _vectors(50, 3, r)]
+    rows = wide + thin + [(500, [1.5])]  # the last one asks, and no other has its width
+    got = op5_top_k(spark, table(tmp_path, "embeddings", _frame(spark, rows)))
+    assert sorted(map(tuple, got.collect())) == sorted(_top(_whole(wide)) + _top(_whole(thin)))
+
+
+@pytest.mark.parametrize("rows", [[(0, [1e30]), (1, [1.0])], [(0, [1e16, 1.0]), (1, [1e16, 1.0])]], ids=["component", "product"])
+def test_what_does_not_fit_is_an_error(spark, rows):
+    with pytest.raises(Exception, match="beyond 64 bits"):
+        topk.top_k(_frame(spark, rows), F.col("vec_id") % 20 == 0).collect()
+
+
 def test_cells_and_prunes(spark, monkeypatch):
     monkeypatch.setattr(topk, "CELL", 50)
     monkeypatch.setattr(topk, "QUERIES", 7)
