@@ -5,9 +5,10 @@ the noisy-or of its sentences: one minus the product of what each leaves.  The d
 weights through that formula, so the sentences behind a label are found without having been marked.
 
 The model is fitted on the driver to a bounded sample: at most SAMPLE_DOCS labelled documents of each class,
-in the order of a hash of their ids, none longer than SAMPLE_CHARS.  Documents whose crc32(doc_id) mod 4 is
-2 are held out and never among them; only the text makes a score.  Classes are weighted by their share of
-all labelled documents.  Where a class has no labels the model is empty and every score is 0.
+in the order of a hash of their ids, none longer than SAMPLE_CHARS and of each class SAMPLE_TOTAL characters in all.
+Documents whose crc32(doc_id) mod 4 is 2 are held out and never among them; only the text makes a score.  Classes are
+weighted by their share of all labelled documents.  Where a class has no labels, or no labelled document is at hand,
+the model is empty and every score is 0.  Of rows that repeat an id the smallest text counts.
 
 Empty and null texts have no sentences and score 0; repeated rows are scored each.
 """
@@ -20,12 +21,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contrail.llm.common import append_columns, free_name, text_or_empty, texts_of
 
-SAMPLE_DOCS, SAMPLE_CHARS = 3000, 100_000
+SAMPLE_DOCS, SAMPLE_CHARS, SAMPLE_TOTAL = 3000, 100_000, 12_000_000
 FEATURES, ROUNDS, PENALTY = 6000, 150, 2e-6
 THRESHOLD = 0.3
 TABLE_PIECES = 300_000
@@ -98,7 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     order = [F.xxhash64("id"), F.col("id")]
     ids = known.where("toxic").orderBy(*order).limit(SAMPLE_DOCS).union(known.where("not toxic").orderBy(*order).limit(SAMPLE_DOCS))
     short = docs.select(F.col(doc_id).alias("id"), text_or_empty(text).alias("text")).where(F.length("text") <= SAMPLE_CHARS)
-    sample = short.join(F.broadcast(ids), "id").dropDuplicates(["id"])  # at most two times SAMPLE_DOCS ids
+    sample = short.join(F.broadcast(ids), "id").groupBy("id", "toxic").agg(F.min("text").alias("text"))  # at most two times SAMPLE_DOCS ids
+    so_far = F.sum(F.length("text")).over(Window.partitionBy("toxic").orderBy(*order))
+    sample = sample.withColumn("chars", so_far).where(F.col("chars") <= SAMPLE_TOTAL).drop("chars")
 
     def bags(batch: pa.RecordBatch) -> list[pa.Array]:
         bagged = [[sorted({f for p in s.split() for f in piece_features(p)}) for s in _SENTENCE.findall(t)] for t in texts_of(batch, "text")]
@@ -107,24 +111,25 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     # Only features that several sampled documents have can get a weight, so the others stay on the executors.
     bagged = append_columns(sample, "bags array<array<string>>", bags).select("id", "toxic", "bags").cache()
     try:
-        chosen = _choose(bagged)
+        sizes = {r["toxic"]: r["n"] for r in bagged.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+        if len(sizes) < 2:
+            return Model()
+        chosen = _choose(bagged, float(sizes[True]), float(sizes[False]))
         numbers = {f: i for i, f in enumerate(chosen)}
 
         def numbered(batch: pa.RecordBatch) -> list[pa.Array]:
             lists = batch.column(batch.schema.get_field_index("bags")).to_pylist()
             return [pa.array([[[numbers[f] for f in s if f in numbers] for s in d] for d in lists], pa.list_(pa.list_(pa.int32())))]
 
-        rows = append_columns(bagged, "numbers array<array<int>>", numbered).select("id", "toxic", "numbers").orderBy("id").collect()
+        rows = append_columns(bagged, "numbers array<array<int>>", numbered).select("id", "toxic", "numbers").orderBy("id").toArrow()
     finally:
         bagged.unpersist()
-    return _train([(r["toxic"], r["numbers"]) for r in rows], chosen, totals)
+    return _train(rows, chosen, totals)
 
 
-def _choose(bagged: DataFrame) -> list[str]:
+def _choose(bagged: DataFrame, p: float, n: float) -> list[str]:
     """The features whose share of documents differs most between the classes (chi square)."""
     each = bagged.select("toxic", F.explode(F.array_distinct(F.flatten("bags"))).alias("f"))
-    sizes = {r["toxic"]: r["n"] for r in bagged.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    p, n = float(sizes.get(True, 0)), float(sizes.get(False, 0))
     counts = each.groupBy("f").agg(F.sum(F.col("toxic").cast("double")).alias("a"), F.count("*").alias("all")).where("all >= 3")
     b = F.col("all") - F.col("a")
     cross = F.col("a") * (n - b) - b * (p - F.col("a"))
@@ -132,24 +137,24 @@ def _choose(bagged: DataFrame) -> list[str]:
     return [r["f"] for r in counts.select("f", chi.alias("chi")).orderBy(F.desc("chi"), "f").limit(FEATURES).collect()]
 
 
-def _train(docs: list[tuple[bool, list[list[int]]]], chosen: list[str], totals: dict[bool, int]) -> Model:
+def _train(rows: pa.Table, chosen: list[str], totals: dict[bool, int]) -> Model:
     """Gradient steps (Adam) on the weighted log-likelihood of the noisy-or."""
-    docs = [d for d in docs if d[1]]
-    if not docs or not chosen:
+    rows = rows.filter(pc.greater(pc.list_value_length(rows.column("numbers")), 0))
+    if not rows.num_rows or not chosen:
         return Model()
-    sentences = [s for _, d in docs for s in d]
-    lengths = np.array([len(s) for s in sentences])
-    of_sentence = np.repeat(np.arange(len(sentences)), lengths)
-    features = np.concatenate([np.array(s, np.int64) for s in sentences if s] or [np.zeros(0, np.int64)])
-    of_doc = np.repeat(np.arange(len(docs)), [len(d) for _, d in docs])
-    label = np.array([t for t, _ in docs])
+    numbers = rows.column("numbers").combine_chunks()
+    inner = numbers.flatten()
+    lengths, per_doc = (x.value_lengths().to_numpy(zero_copy_only=False) for x in (inner, numbers))
+    features = inner.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+    of_sentence, of_doc = np.repeat(np.arange(len(lengths)), lengths), np.repeat(np.arange(len(per_doc)), per_doc)
+    label = rows.column("toxic").to_numpy()
     share = {t: totals[t] / sum(totals.values()) / max(1, (label == t).sum()) for t in (True, False)}
     weight = np.where(label, share[True], share[False])
     weights, bias = np.zeros(len(chosen)), -5.0
     m, v, mb, vb = np.zeros_like(weights), np.zeros_like(weights), 0.0, 0.0
     for step in range(1, ROUNDS + 1):
-        logit = np.clip(bias + np.bincount(of_sentence, weights[features], len(sentences)), -50, 50)
-        left = np.bincount(of_doc, np.logaddexp(0, logit), len(docs))  # minus the log of the product
+        logit = np.clip(bias + np.bincount(of_sentence, weights[features], len(lengths)), -50, 50)
+        left = np.bincount(of_doc, np.logaddexp(0, logit), len(per_doc))  # minus the log of the product
         # d loss / d left: a clean document pays left, a toxic one gains log(1 - exp(-left)).
         slope = weight * np.where(label, -1 / np.expm1(np.maximum(left, 1e-9)), 1.0)
         by_sentence = slope[of_doc] / (1 + np.exp(-logit))
