@@ -11,12 +11,14 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from contrail.session import shared_folder
+from contrail.session import broadcast_if_small, shared_folder
 
 # Texts may be long, so a batch holds few of them.
 BATCH_ROWS = 1000
 # Consecutive ranks that meet their group's row in one place, so that a hot group is spread.
 RANKS = 1024
+# Copies of a key from which its rows are joined apart from the others.
+COPIES = 500
 
 
 def load(spark: SparkSession, sf: str, table: str) -> DataFrame:
@@ -107,3 +109,16 @@ def join_groups(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
     spread = spread.withColumnRenamed(key, "group_key")
     same = F.col("group_key").eqNullSafe(F.col(key)) & (F.col("block") == F.expr(f"rank div {RANKS}"))
     return rows.join(spread, same).drop("group_key", "block")
+
+
+def join_copies(rows: DataFrame, groups: DataFrame, key: str) -> DataFrame:
+    """``rows`` with the columns of their group (left join); ``groups`` has unique keys and counts of their ``copies``.
+
+    Keys with COPIES rows or more, at most one in COPIES of all, meet their rows where these are: their rows aren't
+    dealt by the key.
+    """
+    values = [c for c in groups.columns if c not in (key, "copies")]
+    large = materialise(groups.where(F.col("copies") >= COPIES).select(key, F.struct(*values).alias("large")), "large-groups")
+    marked = rows.join(broadcast_if_small(large), key, "left")
+    common = marked.where("large IS NULL").drop("large").join(groups.drop("copies").hint("merge"), key, "left")
+    return marked.where("large IS NOT NULL").select(*rows.columns, "large.*").unionByName(common.select(*rows.columns, *values))

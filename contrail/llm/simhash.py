@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contrail.llm.common import append_columns, column_values, map_batches, materialise, text_or_empty, texts_of
+from contrail.llm.common import append_columns, column_values, join_copies, map_batches, materialise, text_or_empty, texts_of
 from contrail.session import broadcast_if_small
 
 BLOCK, ROWS = 16_384, 512  # fingerprints of a block, and of the rows compared at a time
@@ -281,11 +281,12 @@ def simhash_groups(docs: DataFrame, radius: int = 2, width: int = 3, doc_id: str
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text"))
     prints = materialise(fingerprints(chosen, width).select("doc_id", "fp"), "simhash-prints")
     # A fingerprint's node is its smallest doc_id, so the smallest node of a component is its name.
-    nodes = materialise(prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id")), "simhash-nodes")
+    nodes = prints.where("doc_id IS NOT NULL").groupBy("fp").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies"))
+    nodes = materialise(nodes, "simhash-nodes")
     points = nodes.select("id", "fp", F.array("fp").alias("fps"), F.lit(0).cast("long").alias("n"))
     found = components(tile_links(points, popcount_tile("fp"), popcount_neighbours("tile", radius), radius))
-    groups = materialise(nodes.join(found, "id", "left").select("fp", F.coalesce("root", "id").alias("component_id")), "simhash-groups")
-    return prints.join(groups.hint("merge"), "fp", "left").select("doc_id", "fp", "component_id")
+    groups = materialise(nodes.join(found, "id", "left").select("fp", "copies", F.coalesce("root", "id").alias("component_id")), "simhash-groups")
+    return join_copies(prints, groups, "fp").select("doc_id", "fp", "component_id")
 
 
 def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius: int = 48, wide: int = 128, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -295,7 +296,7 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     """
     chosen = docs.select(F.col(doc_id).cast("long").alias("doc_id"), text_or_empty(text).alias("text")).withColumn("digest", F.unhex(F.sha2("text", 256)))
     prints = materialise(set_fingerprints(chosen, width).select("doc_id", "digest", "fps", "n"), "near-prints")
-    nodes = prints.where("doc_id IS NOT NULL").groupBy("digest", "fps", "n").agg(F.min("doc_id").alias("least"))
+    nodes = prints.where("doc_id IS NOT NULL").groupBy("digest", "fps", "n").agg(F.min("doc_id").alias("least"), F.count("*").alias("copies"))
     nodes = materialise(nodes.withColumn("id", F.monotonically_increasing_id()), "near-nodes")  # one for each text, whatever its doc_id
     tile = size_tile("n", similarity)
     links = tile_links(nodes.select("id", "fps", "n"), tile, F.array(F.col("tile"), F.col("tile") + 1), radius, wide, similarity)
@@ -303,13 +304,13 @@ def near_groups(docs: DataFrame, width: int = 5, similarity: float = 0.8, radius
     passed = materialise(_verified(links, held, width, similarity), "near-passed")
     found = components(_rechecked(links, passed, held, nodes, width, similarity, radius, wide))
     found = materialise(found, "near-found")
-    rooted = nodes.join(found.union(found.select("root", "root").distinct()), "id", "left").select("digest", "least", "root")
+    rooted = nodes.join(found.union(found.select("root", "root").distinct()), "id", "left").select("digest", "least", "root", "copies")
     # A row for each group of two texts or more.
     firsts = rooted.where("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("least", "digest")).alias("group"))
     groups = rooted.join(broadcast_if_small(materialise(firsts, "near-firsts")), "root", "left")
     component, is_first = F.coalesce("group.least", "least"), F.coalesce(F.col("group.digest") == F.col("digest"), F.lit(True))
-    groups = materialise(groups.select("digest", component.alias("component_id"), is_first.alias("first")), "near-groups")
-    return prints.join(groups.hint("merge"), "digest", "left").select("doc_id", "digest", "component_id", "first")
+    groups = materialise(groups.select("digest", component.alias("component_id"), is_first.alias("first"), "copies"), "near-groups")
+    return join_copies(prints, groups, "digest").select("doc_id", "digest", "component_id", "first")
 
 
 def _texts_of_links(links: DataFrame, texts: DataFrame, nodes: DataFrame) -> DataFrame:

@@ -305,3 +305,60 @@ def test_repeated_ids_with_other_texts(spark):
     numbered = [spark.createDataFrame(v, "doc_id long, text string, n int").repartition(3) for v in
                 ([(1, a, k) for k in range(9)], [(1, a, k) for k in reversed(range(9))])]
     assert simhash.keep_one(numbered[0]).collect() == simhash.keep_one(numbered[1]).collect()
+
+
+def test_toxicity_of_documents_of_one_class_and_of_none(spark):
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id long, toxic int")
+    for rows in ([(i, f"some words {i}") for i in range(0, 40, 2)], [(i, "") for i in range(40)], [], [(99, "no label")]):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        model = toxicity.fit(docs, labels)
+        assert not model.weights
+        got = toxicity.score(docs, model).collect()
+        assert len(got) == len(rows) and all(r["score"] == pytest.approx(0.0, abs=0.02) for r in got)
+
+
+def test_toxicity_fit_is_the_plain_one(spark):
+    """The fitted weights are those of gradient steps over plain lists of sentences."""
+    rows = [(i, f"fine words here {i % 5}. more {'bad' if i % 3 == 0 else 'good'} things. the end") for i in range(90)] + [(3, "zz repeated id")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    held = {r["doc_id"] for r in docs.where(toxicity.held_out()).collect()}
+    bags = [(i % 3 == 0, [{f for p in s.split() for f in toxicity.piece_features(p)} for s in toxicity._SENTENCE.findall(t)]) for i, t in rows[:90] if i not in held]
+    names = sorted(model.weights)
+    size = {t: sum(y == t for y, _ in bags) for t in (True, False)}
+    w, b = dict.fromkeys({f for _, d in bags for s in d for f in s}, 0.0), -5.0
+    m, v, mb, vb = dict.fromkeys(w, 0.0), dict.fromkeys(w, 0.0), 0.0, 0.0
+    frequent = {f for f in w if sum(any(f in s for s in d) for _, d in bags) >= 3}
+    for step in range(1, toxicity.ROUNDS + 1):
+        g, gb = {f: toxicity.PENALTY * w[f] for f in frequent}, 0.0
+        for y, d in bags:
+            logits = [b + sum(w[f] for f in s if f in frequent) for s in d]
+            left = sum(np.logaddexp(0, z) for z in logits)
+            slope = (size[y] / len(bags) / size[y]) * (-1 / np.expm1(max(left, 1e-9)) if y else 1.0)
+            for s, z in zip(d, logits):
+                gb += slope / (1 + np.exp(-z))
+                for f in s & frequent:
+                    g[f] += slope / (1 + np.exp(-z))
+        rate = 0.2 / (1 - 0.9**step) * np.sqrt(1 - 0.99**step)
+        for f in frequent:
+            m[f], v[f] = 0.9 * m[f] + 0.1 * g[f], 0.99 * v[f] + 0.01 * g[f] ** 2
+            w[f] -= rate * m[f] / (np.sqrt(v[f]) + 1e-9)
+        mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
+        b -= rate * mb / (np.sqrt(vb) + 1e-9)
+    assert model.bias == pytest.approx(b, abs=0.05) and names
+    assert all(model.weights[f] == pytest.approx(w[f], abs=0.05) for f in names)
+
+
+def test_hot_copies_are_joined_apart(spark, monkeypatch):
+    monkeypatch.setattr("contrail.llm.common.COPIES", 3)
+    rows = [(i, "the very same text in many rows of the table" if i % 2 else f"another text {i} that has other words") for i in range(40)]
+    docs = spark.createDataFrame([*rows, (None, rows[1][1]), (None, "alone")], "doc_id long, text string")
+    got = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_groups(docs).collect()}
+    assert {(i, 1) for i in range(1, 40, 2)} <= got and (None, 1) in got
+    kept = {r["doc_id"] for r in simhash.keep_one(docs).collect()}
+    assert kept == {1, None, *range(0, 40, 2)}
+
+
+def test_groups_of_an_empty_table(spark):
+    assert simhash.simhash_groups(spark.createDataFrame([], "doc_id long, text string")).collect() == []
