@@ -140,15 +140,28 @@ SELECT CAST(user_id AS VARCHAR) AS flight_id, min(ts_us) AS log_start_us, max(ts
   array_to_string(list_filter(['ATT', 'GPS', 'IMU', 'BAT', 'RCOU', 'MODE', 'ERR'], lambda x: NOT list_contains(list(DISTINCT t), x)), ',') AS missing FROM m GROUP BY user_id"""
 
 
+# Each vector asks for rows of its own: a vehicle type, a phase, or healthy rows only, and a third of them for any.
+_BASE_KIND = "*, vec_id % 3 AS vehicle_type, vec_id % 4 AS phase, label <> 9 AS is_healthy"
+_ASKS = "*, CASE WHEN vec_id % 5 < 3 THEN vec_id % 3 END AS vehicle_type, CASE WHEN vec_id % 7 < 2 THEN vec_id % 4 END AS phase, CASE WHEN vec_id % 2 = 0 THEN true END AS healthy"
+
+
 def similar_topk(spark, sf):
     e = load(spark, sf, "embeddings")
-    t = similarity.top_k(e, e, 5, "vec_id", "vec_id", where=F.col("label") != 9)
+    asks = e.selectExpr(*_exprs(_ASKS))
+    t = similarity.top_k(asks, e.selectExpr(*_exprs(_BASE_KIND)), 5, "vec_id", "vec_id", filters={"vehicle_type": "vehicle_type", "phase": "phase", "is_healthy": "healthy"})
     return t.select("query_id", "id", rounded("score").alias("score"), "rank")
 
 
-_SIM = """s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS score
-  FROM embeddings a JOIN embeddings b ON b.label <> 9),
-t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"""
+def _exprs(columns):
+    return [c.strip() for c in columns.split(", ")]
+
+
+_COSINE = "round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 12) AS score"
+_RANKED = "t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM s)"
+_SIM_OWN = f"""q AS (SELECT {_ASKS} FROM embeddings), e AS (SELECT {_BASE_KIND} FROM embeddings),
+s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COSINE} FROM q a JOIN e b ON (a.vehicle_type IS NULL OR a.vehicle_type = b.vehicle_type)
+  AND (a.phase IS NULL OR a.phase = b.phase) AND (a.healthy IS NULL OR b.is_healthy = a.healthy)), {_RANKED}"""
+_SIM = f"""s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, {_COSINE} FROM embeddings a JOIN embeddings b ON b.label <> 9), {_RANKED}"""
 
 
 def _with_metrics(df):
@@ -162,15 +175,19 @@ def baseline_deviation(spark, sf):
     d = similarity.deviation_from_matches(e, e, 10, "query_id", "vec_id", where=F.col("label") != 9)
     far = F.abs("z_score") < 1e6  # a spread of zero gives a z without meaning in its digits
     return d.select("query_id", "metric", rounded("current_value", 6).alias("current_value"), rounded("baseline_mean", 6).alias("baseline_mean"),
-                    F.when(far, F.round("z_score", 4)).alias("z_score"), "is_anomalous", F.when(F.abs("z_score") > 1e-6, F.col("direction")).alias("direction"))
+                    F.when(far, F.round("z_score", 4)).alias("z_score"), "is_anomalous", F.when(F.abs("z_score") > 1e-6, F.col("direction")).alias("direction"),
+                    F.array_join("similar", ",").alias("matches"), F.array_join(F.transform("similarity_scores", lambda x: F.format_number(x, 6)), ",").alias("scores"), "n_compared")
 
 
 _DEV = f"""WITH {_SIM}, m AS (SELECT vec_id, unnest([{{'metric': 'first', 'v': embedding[1]::DOUBLE}}, {{'metric': 'total', 'v': list_sum(embedding::DOUBLE[])}},
   {{'metric': 'label', 'v': label::DOUBLE}}], recursive := true) FROM embeddings),
 b AS (SELECT query_id, metric, avg(v) AS mu, stddev_pop(v) AS sd FROM t JOIN m ON m.vec_id = t.id WHERE rank <= 10 GROUP BY 1, 2),
-z AS (SELECT b.*, m.v, (v - mu) / (sd + 1e-10) AS z FROM b JOIN m ON m.vec_id = b.query_id AND m.metric = b.metric)
+z AS (SELECT b.*, m.v, (v - mu) / (sd + 1e-10) AS z FROM b JOIN m ON m.vec_id = b.query_id AND m.metric = b.metric),
+h AS (SELECT query_id, string_agg(CAST(id AS VARCHAR), ',' ORDER BY rank) FILTER (WHERE rank <= 5) AS matches,
+  string_agg(printf('%.6f', score), ',' ORDER BY rank) FILTER (WHERE rank <= 5) AS scores, count(*) AS n_compared FROM t WHERE rank <= 10 GROUP BY 1)
 SELECT query_id, metric, round(v, 6) AS current_value, round(mu, 6) AS baseline_mean, CASE WHEN abs(z) < 1e6 THEN round(z, 4) END AS z_score, abs(z) > 2.5 AS is_anomalous,
-  CASE WHEN abs(z) > 1e-6 THEN CASE WHEN z > 0 THEN 'HIGH' ELSE 'LOW' END END AS direction FROM z"""
+  CASE WHEN abs(z) > 1e-6 THEN CASE WHEN z > 0 THEN 'HIGH' ELSE 'LOW' END END AS direction, matches, scores, n_compared
+FROM z JOIN h USING (query_id)"""
 
 
 def _labelled(spark, sf):
@@ -457,7 +474,7 @@ UNION ALL SELECT flight_id, 'severity', severity, count(*) FROM anom GROUP BY 1,
     Query("flight_profile", flight_profile, f"""WITH {EV}, s AS (SELECT user_id, max(ts_us) - min(ts_us) AS span FROM ev GROUP BY 1)
 SELECT CAST(user_id AS VARCHAR) AS flight_id, event_type, count(*) AS n, round(count(*) / (any_value(span) / 1e6), 12) AS rate_hz FROM ev JOIN s USING (user_id) GROUP BY 1, 2"""),
     Query("log_profile", log_profile, _LOG),
-    Query("similar_topk", similar_topk, f"WITH {_SIM} SELECT query_id, id, round(score, 8) AS score, rank FROM t WHERE rank <= 5"),
+    Query("similar_topk", similar_topk, f"WITH {_SIM_OWN} SELECT query_id, id, round(score, 8) AS score, rank FROM t WHERE rank <= 5"),
     Query("baseline_deviation", baseline_deviation, _DEV),
     Query("class_metrics", class_metrics, _CLASS),
     Query("binary_rates", binary_rates, _BINARY),
