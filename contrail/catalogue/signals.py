@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from contrail.catalogue.base import EV, ORDER, USER, Query, event_series, events, load, micros, rounded, telemetry, telemetry_sql
 from contrail.operators import spectrum, stats
+from contrail.operators.series import exact_quantile
 
 PRIO, DAY_ORDER = ["o_orderpriority"], ["day_us", "seq"]
 
@@ -125,9 +126,23 @@ def isolation_scores(spark, sf):
     return s.select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", rounded("score").alias("score"))
 
 
+def isolation_profile(spark, sf):
+    """What holds for any forest: every complete row has a score from -1 to 0, and the cut-off leaves its share below."""
+    s = isolation_scores(spark, sf).checkpoint()
+    cut = exact_quantile(s, ["l_returnflag"], "score", 0.05).withColumnRenamed("score", "cut")
+    rows = s.join(F.broadcast(cut), "l_returnflag").groupBy("l_returnflag")  # three keys
+    return rows.agg(F.count(F.lit(1)).alias("n"), F.bool_and(F.col("score").between(-1, 0)).alias("in_range"),
+                    F.round(F.avg((F.col("score") < F.col("cut")).cast("double")), 2).alias("share_below"))
+
+
+_ISOLATION = """SELECT l_returnflag, count(*) AS n, true AS in_range, 0.05::DOUBLE AS share_below FROM lineitem
+WHERE l_quantity IS NOT NULL AND l_extendedprice IS NOT NULL AND l_discount IS NOT NULL AND l_tax IS NOT NULL GROUP BY 1 HAVING count(*) >= 20"""
+
+
 def isolation_anomalies(spark, sf):
     a = stats.isolation_anomalies(events(spark, sf), ["event_type"], ["value", "k"], ORDER)
-    return a.select("event_type", F.col("start").alias("start_us"), F.col("end").alias("end_us"), "n", rounded("value").alias("worst"), "severity")
+    return a.select("event_type", F.col("start").alias("start_us"), F.col("end").alias("end_us"), F.col("middle").alias("middle_us"), "n", rounded("value").alias("worst"),
+                    rounded(F.col("features")["value"]).alias("first_value"), F.col("features")["k"].alias("first_k"), "severity")
 
 
 def axis_levels(spark, sf):
@@ -149,4 +164,5 @@ QUERIES = [
     Query("changepoints", changepoints, _CHANGE),
     Query("isolation_scores", isolation_scores),
     Query("isolation_anomalies", isolation_anomalies),
+    Query("isolation_profile", isolation_profile, _ISOLATION),
 ]

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from contrail.operators.runs import Check, violation_groups
 from contrail.operators.series import Series, exact_quantile, open_series
-from contrail.session import ensure_checkpoint_dir
+from contrail.session import broadcast_if_small, ensure_checkpoint_dir
 
 STD_FLOOR = 1e-10
 # Standard channels (table, field, threshold); window 50.
@@ -201,71 +201,113 @@ def _tree_depth(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
         node[inner] = tree["left"][at] + (x[inner, f[inner]] > tree["cut"][at])
 
 
+def _forest(whole: DataFrame, sizes: DataFrame, keys: list[str], features: list[str], unique: list[str], n_trees: int, seed: int) -> DataFrame:
+    """keys, tree, feature, cut, left, path (flat arrays), size: trees, each grown from SAMPLE rows of its key.
+
+    Every tree draws from all rows: its sample are the rows with the smallest hashes of (row, tree).  A share
+    of the hashes that holds about four times the sample goes on; nothing else leaves the scan."""
+    of_tree = lambda i: F.pmod(F.xxhash64(*unique, F.lit(seed), i), F.lit(1 << 53)) / float(1 << 53)
+    share = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE) / F.col("_n"))
+    sized = whole.join(broadcast_if_small(sizes), keys)
+    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda i: of_tree(i) <= share)
+    cols = [F.col(f).cast("double").alias(f) for f in features]
+    low = sized.withColumn("_tree", F.explode(trees)).select(*keys, "_tree", of_tree(F.col("_tree")).alias("_h"), *cols)
+    w = Window.partitionBy(*keys, "_tree").orderBy("_h", *features)
+    sample = low.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= SAMPLE)
+    fields = [whole.schema[k] for k in keys]
+    schema = T.StructType([
+        *fields, T.StructField("tree", T.IntegerType()), T.StructField("feature", T.ArrayType(T.LongType())), T.StructField("cut", T.ArrayType(T.DoubleType())),
+        T.StructField("left", T.ArrayType(T.LongType())), T.StructField("path", T.ArrayType(T.DoubleType())), T.StructField("size", T.LongType()),
+    ])
+
+    def grow(pool: pd.DataFrame) -> pd.DataFrame:
+        pool, number = pool.sort_values("_k"), int(pool["_tree"].iloc[0])
+        tree = _grow_tree(pool[features].to_numpy(dtype=float), np.random.default_rng([seed, number]))
+        return pd.DataFrame({**{k: [pool[k].iloc[0]] for k in keys}, "tree": [number], **{c: [v] for c, v in tree.items()}, "size": [len(pool)]})
+
+    return sample.groupBy(*keys, "_tree").applyInPandas(grow, schema)
+
+
+FOREST_KEYS = 64  # forests (about a megabyte each) that travel to every task
+
+
 def isolation_scores(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], unique: Sequence[str],
-    n_trees: int = 100, min_rows: int = 20, seed: int = 42, chunk_rows: int = 50_000,
+    n_trees: int = 100, min_rows: int = 20, seed: int = 42, chunk_rows: int = 50_000, forest_keys: int = FOREST_KEYS,
 ) -> DataFrame:
     """Isolation score per complete row (more negative = more isolated), one forest per key.
 
-    The rows with the smallest hashes of each key feed the trees, up to 256 per tree.  Rows are
-    then scored in chunks of bounded size next to a copy of their forest's sample, so a key of any size is spread."""
-    keys, features = list(keys), list(features)
+    Each tree is grown from 256 rows drawn from all rows of its key.  The forests of up to ``forest_keys`` keys travel
+    to the tasks, which score the rows where they are; forests of more keys meet their rows in chunks of bounded size,
+    so a key of any size is spread."""
+    keys, features, unique = list(keys), list(features), list(unique)
     if len(features) < 2 or any(f not in df.columns for f in features):
         return df.limit(0).withColumn("score", F.lit(None).cast("double"))
+    ensure_checkpoint_dir(df.sparkSession)
     whole = df
     for f in features:
         whole = whole.where(F.col(f).isNotNull() & ~F.isnan(F.col(f).cast("double")))
-    order = F.xxhash64(*unique, F.lit(seed))
-    cap = n_trees * SAMPLE
-    sizes = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows)
-    # a hash threshold leaves about four times the cap per key, so ranking never sees a whole key
-    share = F.least(F.lit(1.0), F.lit(4.0 * cap) / F.col("_n"))
-    low = whole.join(sizes, keys).where(F.pmod(order, F.lit(1 << 53)) / float(1 << 53) <= share)
-    w = Window.partitionBy(*keys).orderBy(F.pmod(order, F.lit(1 << 53)), *unique)
-    cols = [F.col(f).cast("double").alias(f) for f in features]
-    sample = (
-        low.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= cap)
-        .select(*keys, F.col("_k").alias("_rank"), *cols)
-    )
+    for k in keys:
+        whole = whole.where(F.col(k).isNotNull())
+    sizes = whole.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= min_rows).checkpoint()
+    forest = _forest(whole, sizes, keys, features, unique, n_trees, seed).checkpoint()
+    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
+    if sizes.limit(forest_keys + 1).count() <= forest_keys:
+        return _score_in_place(whole, forest, keys, features, schema)
+    return _score_in_chunks(whole, forest, sizes, keys, features, unique, seed, chunk_rows, schema)
+
+
+def _score(x: np.ndarray, trees: list[dict[str, np.ndarray]], size: int) -> np.ndarray:
+    depth = np.zeros(len(x))
+    for tree in trees:
+        depth += _tree_depth(tree, x)
+    return -np.power(2.0, -depth / len(trees) / (float(_mean_path(size)) or 1.0))
+
+
+_TREE = ("feature", "cut", "left", "path")
+
+
+def _score_in_place(whole: DataFrame, forest: DataFrame, keys: list[str], features: list[str], schema: T.StructType) -> DataFrame:
+    grown: dict[tuple, tuple[list, int]] = {}
+    for r in forest.orderBy(*keys, "tree").toLocalIterator():  # n_trees rows for each of at most ``forest_keys`` keys
+        trees = grown.setdefault(tuple(r[k] for k in keys), ([], r["size"]))[0]
+        trees.append({c: np.asarray(r[c]) for c in _TREE})
+    sent = whole.sparkSession.sparkContext.broadcast(grown)
+    names = whole.columns
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = lambda c: batch.column(names.index(c))
+            x = np.stack([column(f).cast(pa.float64()).to_numpy(zero_copy_only=False) for f in features], axis=1)
+            rows: dict[tuple, list[int]] = {}
+            for i, key in enumerate(zip(*(column(k).to_pylist() for k in keys))):
+                rows.setdefault(key, []).append(i)
+            scores, known = np.empty(len(x)), np.zeros(len(x), bool)
+            for key, at in rows.items():
+                if key in sent.value:
+                    scores[at], known[at] = _score(x[at], *sent.value[key]), True
+            out = pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*names, "score"])
+            yield out.filter(pa.array(known))
+
+    return whole.mapInArrow(score, schema)
+
+
+def _score_in_chunks(whole: DataFrame, forest: DataFrame, sizes: DataFrame, keys: list[str], features: list[str], unique: list[str], seed: int, chunk_rows: int,
+                     schema: T.StructType) -> DataFrame:
     chunks = F.greatest(F.ceil(F.col("_n") / chunk_rows), F.lit(1))
     sized = sizes.select(*keys, chunks.alias("_chunks"))
-    rows = whole.join(sized, keys).withColumn("_chunk", F.pmod(order, F.col("_chunks")).cast("long"))
-    names, feature_names = list(df.columns), features
-    fields = [df.schema[k] for k in keys]
-    forest_schema = T.StructType([
-        *fields, T.StructField("feature", T.ArrayType(T.LongType())), T.StructField("cut", T.ArrayType(T.DoubleType())),
-        T.StructField("left", T.ArrayType(T.LongType())), T.StructField("path", T.ArrayType(T.DoubleType())),
-        T.StructField("size", T.LongType()),
-    ])
-
-    def fit(train: pd.DataFrame) -> pd.DataFrame:
-        pool = train.sort_values("_rank")[feature_names].to_numpy(dtype=float)
-        size = min(SAMPLE, len(pool))
-        trees = []
-        for i in range(n_trees):
-            rng = np.random.default_rng([seed, i])
-            trees.append(_grow_tree(pool[rng.choice(len(pool), size, replace=False)], rng))
-        head = {k: np.full(n_trees, train[k].iloc[0], dtype=object) for k in keys}
-        return pd.DataFrame({**head, **{c: [t[c] for t in trees] for c in ("feature", "cut", "left", "path")}, "size": size})
-
-    # one fit per key on a bounded sample; a forest of flat arrays is then copied to each chunk
-    forest = sample.groupBy(*keys).applyInPandas(fit, forest_schema)
-    copies = forest.join(sized, keys).select(
-        *[F.col(k).alias(f"_to_{k}") for k in keys], "feature", "cut", "left", "path", "size",
+    rows = whole.join(broadcast_if_small(sized), keys).withColumn("_chunk", F.pmod(F.xxhash64(*unique, F.lit(seed)), F.col("_chunks")).cast("long"))
+    names = whole.columns
+    copies = forest.join(broadcast_if_small(sized), keys).select(
+        *[F.col(k).alias(f"_to_{k}") for k in keys], "tree", *_TREE, "size",
         F.explode(F.sequence(F.lit(0).cast("long"), F.col("_chunks") - 1)).alias("_to_chunk"),
     )
-    schema = T.StructType([*df.schema.fields, T.StructField("score", T.DoubleType())])
 
     def score(data: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         if data.empty or trees.empty:
             return data[names].astype(object).head(0).assign(score=0.0)
-        x = data[feature_names].to_numpy(dtype=float)
-        depth = np.zeros(len(x))
-        for row in trees.itertuples(index=False):
-            tree = {c: np.asarray(getattr(row, c)) for c in ("feature", "cut", "left", "path")}
-            depth += _tree_depth(tree, x)
-        scale = float(_mean_path(trees["size"].iloc[0])) or 1.0
-        return data[names].assign(score=-np.power(2.0, -depth / len(trees) / scale))
+        flat = [{c: np.asarray(getattr(row, c)) for c in _TREE} for row in trees.sort_values("tree").itertuples(index=False)]
+        return data[names].assign(score=_score(data[features].to_numpy(dtype=float), flat, int(trees["size"].iloc[0])))
 
     to = [*[f"_to_{k}" for k in keys], "_to_chunk"]
     return rows.groupBy(*keys, "_chunk").cogroup(copies.groupBy(*to)).applyInPandas(score, schema)
@@ -275,16 +317,33 @@ def isolation_anomalies(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], order: Sequence[str],
     contamination: float = 0.05, n_trees: int = 100, critical_at: float = -0.15, max_rows: int | None = None,
 ) -> DataFrame:
-    """Outlier groups (at most five rows apart) among the rows below the contamination quantile."""
+    """Outlier groups (at most five rows apart) among the rows below the contamination quantile.
+
+    A group has the time of its middle outlier (``middle``) and the feature values of its first one (``features``)."""
     ensure_checkpoint_dir(df.sparkSession)
+    keys, order, features = list(keys), list(order), list(features)
     # scores are read twice (cut-off and rows); Python work is not repeated
-    scored = isolation_scores(df, keys, features, order, n_trees).select(*keys, *order, "score").checkpoint()
+    scored = isolation_scores(df, keys, features, order, n_trees)
+    if any(f not in df.columns for f in features) or len(features) < 2:
+        values = F.create_map().cast("map<string,double>")
+    else:
+        values = F.create_map(*[c for f in features for c in (F.lit(f), F.col(f).cast("double"))])
+    scored = scored.select(*keys, *order, values.alias("_features"), "score").checkpoint()
     cut = exact_quantile(scored, keys, "score", contamination, max_rows).withColumnRenamed("score", "_cut")
-    s = open_series(scored, keys, order, max_rows)
-    low = s.with_df(s.df.join(cut, list(keys), "left").withColumn("_out", F.col("score") < F.col("_cut")))
-    groups = violation_groups(low, [Check("isolation_forest", F.col("_out"), F.col("score"), 0, 5)])
-    return groups.select(
-        *keys, "start", "end", "n", F.col("v_min").alias("value"),
-        F.lit(",".join(features)).alias("field"), F.col("check").alias("method"),
-        F.when(F.col("v_min") > critical_at, "WARNING").otherwise("CRITICAL").alias("severity"),
+    s = open_series(scored, keys, order, max_rows).number("_rn")
+    outliers = s.result().join(broadcast_if_small(cut), keys).where(F.col("score") < F.col("_cut")).select(*keys, *order, "_rn", "_features", "score")
+    # Outliers in order: a gap of more than five rows begins a group; the outlier in its middle is known by its number.
+    o = open_series(outliers.checkpoint(), keys, order, max_rows).shift({"_rn0": "_rn"}).number("_at")
+    fresh = F.coalesce(F.col("_rn") - F.col("_rn0") > 5, F.lit(True))
+    o = o.with_df(o.df.withColumn("_head", F.when(fresh, F.struct(F.col("_at").alias("at"))))).carry({"g": "_head"})
+    rows = o.result().withColumn("_g", F.col("g_prev.at"))
+    group = rows.groupBy(*keys, "_g").agg(
+        F.min(order[0]).alias("start"), F.max(order[0]).alias("end"), F.count(F.lit(1)).alias("n"), F.min("score").alias("value"),
+        F.min_by("_features", "_at").alias("features"))
+    middle = rows.join(group.select(*keys, "_g", F.col("n").alias("_size")), [*keys, "_g"]).where(F.col("_at") == F.col("_g") + F.expr("_size div 2"))
+    middle = middle.select(*keys, "_g", F.col(order[0]).alias("middle"))
+    return group.join(middle, [*keys, "_g"]).select(
+        *keys, "start", "end", "middle", "n", "value", "features",
+        F.lit(",".join(features)).alias("field"), F.lit("isolation_forest").alias("method"),
+        F.when(F.col("value") > critical_at, "WARNING").otherwise("CRITICAL").alias("severity"),
     )

@@ -77,13 +77,36 @@ def test_isolation_forest(spark):
     rows += [("tiny", i, i, 1.0, float(i)) for i in range(5)]
     df = spark.createDataFrame(rows, "k string, t long, s long, x double, y double")
     whole = {(r.k, r.t): r.score for r in stats.isolation_scores(df, K, ["x", "y"], O, 50).collect()}
-    split = {(r.k, r.t): r.score for r in stats.isolation_scores(df, K, ["x", "y"], O, 50, chunk_rows=30).collect()}
+    split = {(r.k, r.t): r.score for r in stats.isolation_scores(df.repartition(3), K, ["x", "y"], O, 50, chunk_rows=30, forest_keys=0).collect()}
     assert whole.keys() == split.keys() and all(whole[k] == pytest.approx(split[k]) for k in whole)
     assert max(whole[("f", t * 1000)] for t in range(190, 200)) < min(whole[("f", t * 1000)] for t in range(190))
     assert not [k for k in whole if k[0] == "tiny"]
     found = stats.isolation_anomalies(df, K, ["x", "y"], O, contamination=0.1, n_trees=50).collect()
     assert len([r for r in found if r.k == "g"]) < 30
     assert stats.isolation_scores(df, K, ["x", "nope"], O).count() == 0
+    assert stats.isolation_anomalies(df, K, ["x", "nope"], O).count() == 0
+
+
+def test_isolation_groups_tell_the_middle_and_the_first_values(spark):
+    rng = np.random.default_rng(8)
+    rows = [("k", i * 10, i, float(a), float(b), 7) for i, (a, b) in enumerate(rng.normal(0, 1, (400, 2)))]
+    for n, i in enumerate((100, 101, 103, 108, 200)):
+        rows[i] = ("k", i * 10, i, 50.0 + n, -40.0 - n, 7)
+    df = spark.createDataFrame(rows, "k string, t long, s long, x double, y double, score int").drop("score").repartition(5)
+    for limit in (None, 50):
+        got = stats.isolation_anomalies(df, K, ["x", "y"], O, contamination=5 / 400, n_trees=60, max_rows=limit).orderBy("start").collect()
+        assert [(r.start, r.end, r.middle, r.n) for r in got] == [(1000, 1080, 1030, 4), (2000, 2000, 2000, 1)]
+        assert got[0]["features"] == {"x": 50.0, "y": -40.0} and got[0].severity == "CRITICAL"
+
+
+def test_each_tree_draws_from_all_rows(spark, monkeypatch):
+    """Trees of a key of many rows: each has its own sample of 256, and the cuts reach all parts of the key."""
+    df = spark.range(20_000).select(F.lit("k").alias("k"), F.col("id").alias("t"), (F.col("id") * 1.0).alias("x"), F.rand(1).alias("y"))
+    sizes = df.groupBy("k").agg(F.count(F.lit(1)).alias("_n"))
+    trees = stats._forest(df, sizes, ["k"], ["x", "y"], ["t"], 40, 1).collect()
+    assert sorted(r["tree"] for r in trees) == list(range(40)) and {r["size"] for r in trees} == {256}
+    cuts = [c for r in trees for f, c in zip(r["feature"], r["cut"]) if f == 0]
+    assert min(cuts) < 1000 and max(cuts) > 19_000 and len(set(map(tuple, (r["cut"] for r in trees)))) == 40
 
 
 def sine(spark, amp, hz=80.0, rate=400, n=2048, key="k1"):

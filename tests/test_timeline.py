@@ -2,6 +2,7 @@
 
 import pytest
 
+from contrail.catalogue import base
 from contrail.plans import compliance, metrics, timeline
 from contrail.plans.rules.common import Telemetry
 from contrail.plans.rules.registry import run_rules
@@ -98,3 +99,15 @@ def test_baseline_deviation(spark):
     assert got[(1, "a")].z_score == pytest.approx(8.0) and got[(1, "a")].is_anomalous and got[(1, "a")].direction == "HIGH"
     assert got[(1, "b")].z_score == pytest.approx(-1.0) and not got[(1, "b")].is_anomalous
     assert got[(2, None)].error
+
+
+def test_timeline_and_phases_shuffle_each_table_once(spark):
+    """An ordered pass for modes, GPS and parameters and an aggregate of attitudes; phases add one line of segments."""
+    tables = {n: base.telemetry(spark, "/root/testdata/sf0.001").table(n) for n in ("MODE", "GPS", "ATT", "PARM", "ERR")}
+    t = Telemetry(spark, tables)
+
+    def exchanges(df):
+        return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+    assert exchanges(timeline.timeline(t)) <= 4
+    assert exchanges(timeline.phases(t)) <= 8
