@@ -180,8 +180,9 @@ def _grow_tree(x: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]
         if depth >= limit or len(idx) <= 1 or len(open_) == 0:
             path[node] = depth + float(_mean_path(len(idx)))
             continue
-        f = int(rng.choice(open_))
-        c = float(rng.uniform(lo[f], hi[f]))
+        pick, at = rng.random(2).tolist()
+        f = int(open_[int(pick * len(open_))])
+        c = min(float(lo[f] + at * (hi[f] - lo[f])), float(np.nextafter(hi[f], lo[f])))  # the largest value always goes right
         below = x[idx, f] <= c
         feature[node], cut[node] = f, c
         left[node] = add()
@@ -190,15 +191,27 @@ def _grow_tree(x: np.ndarray, rng: np.random.Generator) -> dict[str, np.ndarray]
     return {"feature": np.array(feature), "cut": np.array(cut), "left": np.array(left), "path": np.array(path)}
 
 
-def _tree_depth(tree: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    node = np.zeros(len(x), dtype=int)
-    while True:
-        f = tree["feature"][node]
-        inner = np.flatnonzero(f >= 0)
-        if len(inner) == 0:
-            return tree["path"][node]
-        at = node[inner]
-        node[inner] = tree["left"][at] + (x[inner, f[inner]] > tree["cut"][at])
+def _tree_hash(base: np.ndarray, tree: int) -> np.ndarray:
+    """A number from 0 to 1 for each row and tree, from the row's hash."""
+    z = base.astype(np.uint64) + np.uint64((tree + 1) * 0x9E3779B97F4A7C15 % 2**64)
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+
+
+def _closed(tree: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """A tree whose leaves lead to themselves, so that all rows take the same number of steps."""
+    leaf = tree["feature"] < 0
+    number = np.arange(len(leaf))
+    return {"feature": np.where(leaf, 0, tree["feature"]), "cut": np.where(leaf, np.inf, tree["cut"]), "left": np.where(leaf, number, tree["left"]), "path": tree["path"]}
+
+
+def _tree_depth(tree: dict[str, np.ndarray], x: np.ndarray, steps: int) -> np.ndarray:
+    """Path length of each row in a closed tree of at most ``steps`` levels."""
+    flat, row, node = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x), np.int64)
+    for _ in range(steps):
+        node = tree["left"][node] + (flat[row + tree["feature"][node]] > tree["cut"][node])
+    return tree["path"][node]
 
 
 def _forest(whole: DataFrame, sizes: DataFrame, keys: list[str], features: list[str], unique: list[str], n_trees: int, seed: int) -> DataFrame:
@@ -206,15 +219,30 @@ def _forest(whole: DataFrame, sizes: DataFrame, keys: list[str], features: list[
 
     Every tree draws from all rows: its sample are the rows with the smallest hashes of (row, tree).  A share
     of the hashes that holds about four times the sample goes on; nothing else leaves the scan."""
-    of_tree = lambda i: F.pmod(F.xxhash64(*unique, F.lit(seed), i), F.lit(1 << 53)) / float(1 << 53)
     share = F.least(F.lit(1.0), F.lit(4.0 * SAMPLE) / F.col("_n"))
-    sized = whole.join(broadcast_if_small(sizes), keys)
-    trees = F.filter(F.sequence(F.lit(0), F.lit(n_trees - 1)), lambda i: of_tree(i) <= share)
     cols = [F.col(f).cast("double").alias(f) for f in features]
-    low = sized.withColumn("_tree", F.explode(trees)).select(*keys, "_tree", of_tree(F.col("_tree")).alias("_h"), *cols)
+    sized = whole.join(broadcast_if_small(sizes), keys).select(*keys, F.xxhash64(*unique, F.lit(seed)).alias("_h"), share.alias("_share"), *cols)
+    fields = [whole.schema[k] for k in keys]
+    kept = [*keys, *features]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            base, limit = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("_h", "_share"))
+            rows, trees, hashes = [], [], []
+            for tree in range(n_trees):
+                h = _tree_hash(base, tree)
+                at = np.flatnonzero(h <= limit)
+                rows.append(at)
+                trees.append(np.full(len(at), tree, np.int32))
+                hashes.append(h[at])
+            part = batch.take(pa.array(np.concatenate(rows)))
+            columns = [part.column(part.schema.get_field_index(c)) for c in kept]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(np.concatenate(trees)), pa.array(np.concatenate(hashes))], names=[*kept, "_tree", "_h"])
+
+    low = sized.mapInArrow(draw, T.StructType([
+        *fields, *[T.StructField(f, T.DoubleType()) for f in features], T.StructField("_tree", T.IntegerType()), T.StructField("_h", T.DoubleType())]))
     w = Window.partitionBy(*keys, "_tree").orderBy("_h", *features)
     sample = low.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= SAMPLE)
-    fields = [whole.schema[k] for k in keys]
     schema = T.StructType([
         *fields, T.StructField("tree", T.IntegerType()), T.StructField("feature", T.ArrayType(T.LongType())), T.StructField("cut", T.ArrayType(T.DoubleType())),
         T.StructField("left", T.ArrayType(T.LongType())), T.StructField("path", T.ArrayType(T.DoubleType())), T.StructField("size", T.LongType()),
@@ -258,9 +286,9 @@ def isolation_scores(
 
 
 def _score(x: np.ndarray, trees: list[dict[str, np.ndarray]], size: int) -> np.ndarray:
-    depth = np.zeros(len(x))
+    depth, steps = np.zeros(len(x)), int(np.ceil(np.log2(max(size, 2))))
     for tree in trees:
-        depth += _tree_depth(tree, x)
+        depth += _tree_depth(tree, x, steps)
     return -np.power(2.0, -depth / len(trees) / (float(_mean_path(size)) or 1.0))
 
 
@@ -271,7 +299,7 @@ def _score_in_place(whole: DataFrame, forest: DataFrame, keys: list[str], featur
     grown: dict[tuple, tuple[list, int]] = {}
     for r in forest.orderBy(*keys, "tree").toLocalIterator():  # n_trees rows for each of at most ``forest_keys`` keys
         trees = grown.setdefault(tuple(r[k] for k in keys), ([], r["size"]))[0]
-        trees.append({c: np.asarray(r[c]) for c in _TREE})
+        trees.append(_closed({c: np.asarray(r[c]) for c in _TREE}))
     sent = whole.sparkSession.sparkContext.broadcast(grown)
     names = whole.columns
 
@@ -306,7 +334,7 @@ def _score_in_chunks(whole: DataFrame, forest: DataFrame, sizes: DataFrame, keys
     def score(data: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
         if data.empty or trees.empty:
             return data[names].astype(object).head(0).assign(score=0.0)
-        flat = [{c: np.asarray(getattr(row, c)) for c in _TREE} for row in trees.sort_values("tree").itertuples(index=False)]
+        flat = [_closed({c: np.asarray(getattr(row, c)) for c in _TREE}) for row in trees.sort_values("tree").itertuples(index=False)]
         return data[names].assign(score=_score(data[features].to_numpy(dtype=float), flat, int(trees["size"].iloc[0])))
 
     to = [*[f"_to_{k}" for k in keys], "_to_chunk"]
