@@ -19,6 +19,7 @@ def _timeline(
     max_rows: int | None,
     main_first: bool = False,
     sized_by: Sequence[DataFrame] | None = None,
+    largest: int | None = None,
 ) -> Series:
     """Main rows and the rows of every other table on one ordered line.
 
@@ -34,7 +35,7 @@ def _timeline(
             F.lit(False).alias("_own"), payload.alias(f"_p_{name}"),
         )
         all_rows = all_rows.unionByName(part, allowMissingColumns=True)
-    s = open_series(all_rows, keys, [ts, "_tag", "_tie"], max_rows, sized_by)
+    s = open_series(all_rows, keys, [ts, "_tag", "_tie"], max_rows, sized_by, largest)
     return s.carry({name: f"_p_{name}" for name in others})
 
 
@@ -137,10 +138,11 @@ def assign_segment(
     start: str = "start_us",
     max_rows: int | None = None,
     sized_by: Sequence[DataFrame] | None = None,
+    largest: int | None = None,
 ) -> DataFrame:
     """Give each row the last segment that starts at or before it (struct ``segment``)."""
     seg = segments.select(*keys, F.col(start).alias(ts), F.lit(0).cast("long").alias(seq), *fields)
-    s = _timeline(rows, {"segment": (seg, fields)}, keys, ts, seq, max_rows, sized_by=sized_by)
+    s = _timeline(rows, {"segment": (seg, fields)}, keys, ts, seq, max_rows, sized_by=sized_by, largest=largest)
     return s.df.where("_own").select(*rows.columns, F.col("segment_prev").alias("segment"))
 
 

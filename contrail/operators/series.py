@@ -177,16 +177,17 @@ def _fits_one_task(df: DataFrame, keys: tuple[str, ...], limit: int, sized_by: S
 
 def open_series(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], max_rows: int | None = None,
-    sized_by: Sequence[DataFrame] | None = None,
+    sized_by: Sequence[DataFrame] | None = None, largest: int | None = None,
 ) -> Series:
     """Check the largest series and cut the long ones into blocks of at most ``max_rows`` rows.
 
     ``sized_by`` names tables with the same keys whose rows together bound those of ``df`` per key;
-    they are counted in place of a costly ``df``.  Keys and the first order column must not be NULL,
+    they are counted in place of a costly ``df``.  ``largest``, where known, bounds the rows of a key and spares
+    the count unless it is over the limit.  Keys and the first order column must not be NULL,
     and ``order`` must be unique within a series."""
     keys, order = tuple(keys), tuple(order)
     limit = max_rows or max_series_rows(df.sparkSession)
-    if _fits_one_task(df, keys, limit, sized_by or [df]):
+    if (largest is not None and largest <= limit) or _fits_one_task(df, keys, limit, sized_by or [df]):
         return Series(df, keys, order, False, limit)
     return Series(_blocked(df, keys, order, limit), keys, order, True, limit)
 

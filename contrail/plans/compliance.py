@@ -51,7 +51,7 @@ PROFILE_BASELINES = {
 def initial_parameters(t: Telemetry) -> DataFrame:
     """(flight, name, value, start): last value of each parameter in the first 30 seconds."""
     parm = t.table("PARM").where("name is not null")
-    s = t.flight_series(parm).totals({"_t0": F.min(TS)})
+    s = t.flight_series(parm, "PARM").totals({"_t0": F.min(TS)})
     early = s.df.where(F.col(TS) <= F.col("_t0") + DUMP_US)
     return last_values(early, [FLIGHT, "name", "_t0"], "value", (TS, SEQ)).withColumnRenamed("_t0", "start_us")
 

@@ -25,17 +25,19 @@ def ingest(raw: DataFrame, log_format: str, store: TelemetryStore, batch: str |
 
     Each canonical table reads only its message types, so keep ``raw`` partitioned by
     ``msg_type``.  Derived tables are computed from the stored columns, pruned to the buckets
-    of the new flights.  Ingesting the same flights again, or a batch of the same name, replaces
-    what the earlier run wrote.  Returns the tables written."""
+    of the new flights, and the sizes of their series are those kept at writing.  Ingesting the same flights again,
+    or a batch of the same name, replaces what the earlier run wrote; a flight that comes again in a batch with others
+    is read from the newest batch alone.  Returns the tables written."""
     spark = raw.sparkSession
     tables = READERS[log_format](raw)
     flights = raw.select(FLIGHT).distinct()
     batch = batch or batch_name(flights)
     for name, df in tables.items():
         store.write(name, df, batch)
+    store.register_flights(flights, batch)
     fresh, buckets = broadcast_if_small(flights), store.buckets_of(flights)
     stored = {n: store.load(n, buckets=buckets).join(fresh, FLIGHT, "left_semi") for n in tables}
-    t = Telemetry(spark, stored)
+    t = Telemetry(spark, stored, largest=store.largest_series(tables, buckets))
     store.write_derived("events", timeline(t), batch)
     # phases need only arming and crashes, which they derive on their own
     store.write_derived("phases", phases(t), batch)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import cache
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,12 +16,14 @@ from contrail.schema import ANOMALY, FLIGHT, ORDER, SERIES_KEYS, TS, conform, em
 class Telemetry:
     """Canonical tables by message type.  An absent table is empty; an absent column is NULL.
 
-    ``"NKF4|XKF4"`` names a per-flight fallback: the second table serves flights the first lacks."""
+    ``"NKF4|XKF4"`` names a per-flight fallback: the second table serves flights the first lacks.
+    ``largest``: rows of the longest flight of a table, as a store keeps them; such tables are not counted."""
 
-    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], max_rows: int | None = None):
+    def __init__(self, spark: SparkSession, tables: dict[str, DataFrame], max_rows: int | None = None, largest: Mapping[str, int] | None = None):
         self.spark = spark
         self.max_rows = max_rows
         self._raw = tables
+        self._largest = dict(largest or {})
         self.table = cache(self._table)
         self.series = cache(self._series)
 
@@ -38,10 +41,16 @@ class Telemetry:
 
     def _series(self, name: str) -> Series:
         """One series per flight and sensor instance; the size check runs once per table."""
-        return open_series(self.table(name), SERIES_KEYS, ORDER, self.max_rows)
+        return open_series(self.table(name), SERIES_KEYS, ORDER, self.max_rows, largest=self.largest(name))
 
-    def flight_series(self, df: DataFrame) -> Series:
-        return open_series(df, [FLIGHT], ORDER, self.max_rows)
+    def flight_series(self, df: DataFrame, table: str | None = None) -> Series:
+        """``df`` as one series per flight; ``table`` names the table that its rows come from."""
+        return open_series(df, [FLIGHT], ORDER, self.max_rows, largest=self.largest(table) if table else None)
+
+    def largest(self, *names: str) -> int | None:
+        """Rows that a flight has at most in these tables together; None where it is not known."""
+        parts = [n for name in names for n in name.split("|") if n in self._raw]
+        return sum(self._largest[n] for n in parts) if all(n in self._largest for n in parts) and self._largest else None
 
     def has(self, name: str) -> bool:
         return any(n in self._raw for n in name.split("|"))

@@ -49,7 +49,7 @@ def failsafe_response(t: Telemetry) -> DataFrame:
 
 
 def unexpected_mode_change(t: Telemetry) -> DataFrame:
-    s = t.flight_series(t.table("MODE")).shift({"_mode0": "mode_num"})
+    s = t.flight_series(t.table("MODE"), "MODE").shift({"_mode0": "mode_num"})
     name = F.coalesce("mode_name", F.concat(F.lit("MODE_"), F.col("mode_num").cast("string")))
     return emit(
         s.df.where(F.col("_mode0").isNotNull() & F.col("reason").isin(AUTONOMOUS_REASONS)),

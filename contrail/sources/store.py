@@ -2,10 +2,15 @@
 
 Layout: ``<root>/<TYPE>/batch=<id>/flight_bucket=<n>/*.parquet``.  A directory per flight would leave
 millions of tiny files; buckets bound the files of a batch, and sorting by flight and time lets
-row-group statistics prune to one flight and time range.  Writing a batch again replaces it."""
+row-group statistics prune to one flight and time range.  Writing a batch again replaces it.
+
+Beside the rows, a batch keeps for each flight how many rows a table has and from when to when (``series_stats``), so
+time ranges and the size of the longest series are known without reading rows; and ``flight_index`` names the batches
+that hold a flight as a whole.  Of these the newest counts: rows of older ones are left out when tables are read."""
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterable, Sequence
 
@@ -17,9 +22,11 @@ from contrail.operators.align import nearest_join
 from contrail.operators.runs import every_nth
 from contrail.operators.series import open_series
 from contrail.schema import FLIGHT, ORDER, SEQ, TABLES, TS, conform, empty_table
+from contrail.session import broadcast_if_small
 
 BUCKET, BATCH = "flight_bucket", "batch"
 BUCKETS = 256
+DERIVED, INDEX, STATS = "derived", "flight_index", "series_stats"
 # Error conditions that mean a table has no files yet.
 NO_FILES = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
@@ -41,18 +48,72 @@ class TelemetryStore:
         return f"{self.root}/{table}"
 
     def _folder(self, path: str, batch: str | None) -> str:
-        return f"{path}/{BATCH}={batch or uuid.uuid4().hex}"
+        """Names of batches begin with a letter, so that they are read as text."""
+        name = batch or uuid.uuid4().hex
+        return f"{path}/{BATCH}={name if name.startswith('b') else 'b' + name}"
 
     def write(self, table: str, df: DataFrame, batch: str | None = None) -> None:
         """Add rows as a new batch, or in place of the batch of that name.
 
         Range partitioning on (bucket, flight, time) spreads a long flight over several files."""
         rows = conform(df, table).withColumn(BUCKET, self._bucket(F.col(FLIGHT)))
+        batch = batch or uuid.uuid4().hex
+        folder = self._folder(self.path(table), batch)
         (
             rows.repartitionByRange(BUCKET, FLIGHT, TS)
             .sortWithinPartitions(BUCKET, FLIGHT, TS, SEQ)
-            .write.mode("overwrite").partitionBy(BUCKET).parquet(self._folder(self.path(table), batch))
+            .write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
         )
+        # Two columns of what was written, a row for each flight.
+        stored = self.spark.read.schema(f"{FLIGHT} string, {TS} bigint, {BUCKET} int").parquet(folder)
+        counts = stored.groupBy(BUCKET, FLIGHT).agg(F.count(F.lit(1)).alias("rows"), F.min(TS).alias("start_us"), F.max(TS).alias("end_us"))
+        self._write_small(counts, self._folder(f"{self.root}/{STATS}/{table}", batch))
+
+    @staticmethod
+    def _write_small(rows: DataFrame, folder: str) -> None:
+        rows.repartition(BUCKET).write.mode("overwrite").partitionBy(BUCKET).parquet(folder)
+
+    def register_flights(self, flights: DataFrame, batch: str) -> None:
+        """The batch holds these flights as a whole and replaces what older batches hold of them."""
+        rows = flights.select(FLIGHT).distinct().select(self._bucket(F.col(FLIGHT)).alias(BUCKET), FLIGHT, F.lit(time.time_ns()).alias("at"))
+        self._write_small(rows, self._folder(f"{self.root}/{INDEX}", batch))
+
+    def _read_small(self, path: str, schema: str, buckets: Iterable[int] | None) -> DataFrame | None:
+        """None where nothing has been written yet."""
+        try:
+            df = self.spark.read.parquet(path).select(F.col(BATCH).cast("string").alias(BATCH), BUCKET, *schema.split())
+        except AnalysisException as e:
+            if e.getCondition() not in NO_FILES:
+                raise
+            return None
+        return df if buckets is None else df.where(F.col(BUCKET).isin(list(buckets)))
+
+    def replaced(self, buckets: Iterable[int] | None = None) -> DataFrame | None:
+        """(flight, batch) of flights that a newer batch holds as a whole; None where there are none."""
+        index = self._read_small(f"{self.root}/{INDEX}", f"{FLIGHT} at", buckets)
+        if index is None:
+            return None
+        newest = index.groupBy(FLIGHT).agg(F.max(F.struct("at", BATCH)).alias("newest"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        old = index.join(newest, FLIGHT).where(F.col(BATCH) != F.col(f"newest.{BATCH}")).select(FLIGHT, BATCH)
+        return None if old.isEmpty() else old
+
+    def _current(self, df: DataFrame, buckets: Iterable[int] | None) -> DataFrame:
+        old = self.replaced(buckets)
+        if old is None:
+            return df
+        return df.withColumn(BATCH, F.col(BATCH).cast("string")).join(broadcast_if_small(old), [FLIGHT, BATCH], "left_anti")
+
+    def stats(self, table: str, buckets: Iterable[int] | None = None) -> DataFrame | None:
+        """flight, rows, start_us, end_us of the rows that ``load`` gives; None for a table that has not been written."""
+        parts = self._read_small(f"{self.root}/{STATS}/{table}", f"{FLIGHT} rows start_us end_us", buckets)
+        if parts is None:
+            return None
+        return self._current(parts, buckets).groupBy(FLIGHT).agg(F.sum("rows").alias("rows"), F.min("start_us").alias("start_us"), F.max("end_us").alias("end_us"))
+
+    def largest_series(self, tables: Iterable[str], buckets: Iterable[int] | None = None) -> dict[str, int]:
+        """Most rows that a flight has in each table."""
+        found = {t: self.stats(t, buckets) for t in tables}
+        return {t: 0 if s is None else s.agg(F.max("rows")).first()[0] or 0 for t, s in found.items()}
 
     def load(self, table: str, flights: str | Sequence[str] | None = None, columns: Sequence[str] | None = None,
              start_us: int | None = None, end_us: int | None = None, buckets: Iterable[int] | None = None) -> DataFrame:
@@ -68,8 +129,11 @@ class TelemetryStore:
             df = df.where(F.col(BUCKET).isin(list(buckets)))
         if flights is not None:
             ids = [flights] if isinstance(flights, str) else list(flights)
-            wanted = sorted({r[0] for r in self.spark.createDataFrame([(i,) for i in ids], "f string").select(self._bucket(F.col("f"))).collect()})
-            df = df.where(F.col(BUCKET).isin(wanted) & F.col(FLIGHT).isin(ids))
+            asked = sorted({r[0] for r in self.spark.createDataFrame([(i,) for i in ids], "f string").select(self._bucket(F.col("f"))).collect()})
+            df = df.where(F.col(BUCKET).isin(asked) & F.col(FLIGHT).isin(ids))
+            buckets = asked if buckets is None else [b for b in buckets if b in asked]
+        if BATCH in df.columns:
+            df = self._current(df, buckets)
         if start_us is not None:
             df = df.where(F.col(TS) >= start_us)
         if end_us is not None:
@@ -89,11 +153,15 @@ class TelemetryStore:
         hadoop = self.spark._jvm.org.apache.hadoop.fs
         root = hadoop.Path(self.root)
         system = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        return sorted(s.getPath().getName() for s in system.listStatus(root) if s.isDirectory()) if system.exists(root) else []
+        names = [s.getPath().getName() for s in system.listStatus(root) if s.isDirectory()] if system.exists(root) else []
+        return sorted(n for n in names if n not in (DERIVED, INDEX, STATS))
 
     def time_range(self, table: str = "ATT", flights=None) -> DataFrame:
-        """(flight, start_us, end_us); flights that were asked for but have no rows get 0, 0."""
-        found = self.load(table, flights).groupBy(FLIGHT).agg(F.min(TS).alias("start_us"), F.max(TS).alias("end_us"))
+        """(flight, start_us, end_us) as kept at writing; flights that were asked for but have no rows get 0, 0."""
+        found = self.stats(table)
+        if found is None:
+            found = self.load(table).groupBy(FLIGHT).agg(F.min(TS).alias("start_us"), F.max(TS).alias("end_us"))
+        found = found.select(FLIGHT, "start_us", "end_us")
         if flights is None:
             return found
         ids = [flights] if isinstance(flights, str) else list(flights)
@@ -147,7 +215,7 @@ class TelemetryStore:
         rows.repartitionByRange(*order).write.mode("overwrite").partitionBy(BUCKET).parquet(path)
 
     def read_derived(self, name: str, flight: str | None = None) -> DataFrame:
-        df = self.spark.read.parquet(f"{self.root}/derived/{name}")
+        df = self._current(self.spark.read.parquet(f"{self.root}/derived/{name}"), None)
         return (df if flight is None else df.where(F.col(FLIGHT) == flight)).drop(BATCH, BUCKET)
 
     def export_json(self, name: str, path: str) -> None:

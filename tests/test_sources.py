@@ -204,6 +204,49 @@ def test_ingest(spark, tmp_path):
     assert "flight_bucket" in plan.split("PartitionFilters: [")[1].split("]")[0]
 
 
+def test_a_flight_in_two_batches_is_read_once(spark, tmp_path):
+    """The newest batch that holds a flight counts, in tables, derived rows, sizes and time ranges."""
+    from contrail.plans.ingest import ingest
+
+    S = 1_000_000
+    st = TelemetryStore(spark, str(tmp_path / "store"), 4)
+
+    def flight(name, n, fix=3):
+        rows = [("MODE", {"TimeUS": 0, "Mode": 5, "Rsn": 1})] + [("GPS", {"TimeUS": i * S // 5, "HDop": 1.0, "NSats": 12, "Status": fix, "RelAlt": 10}) for i in range(n)]
+        return raw(spark, rows).withColumn("flight_id", F.lit(name))
+
+    ingest(flight("f1", 60).unionByName(flight("f2", 40)), "ardupilot_bin", st)
+    ingest(flight("f1", 25).unionByName(flight("f3", 10)), "ardupilot_bin", st, "2024")
+    sizes = {"f1": 25, "f2": 40, "f3": 10}
+    assert {r.flight_id: r["count"] for r in st.load("GPS").groupBy("flight_id").count().collect()} == sizes
+    assert {r.flight_id: r.rows for r in st.stats("GPS").collect()} == sizes and st.largest_series(["GPS", "BAT"]) == {"GPS": 40, "BAT": 0}
+    assert st.load("GPS", "f1").count() == 25 and st.load("GPS", ["f1", "f2"], start_us=4 * S).count() == 5 + 20
+    assert {r.flight_id: r.end_us for r in st.time_range("GPS", ["f1", "f2", "no"]).collect()} == {"f1": 24 * S // 5, "f2": 39 * S // 5, "no": 0}
+    assert {r.flight_id: r["count"] for r in st.read_derived("phases").groupBy("flight_id").count().collect()} == {"f1": 1, "f2": 1, "f3": 1}
+    assert [r.flight_id for r in st.replaced().collect()] == ["f1"]
+    assert "GPS" in st.available_types() and not {"flight_index", "series_stats", "derived"} & set(st.available_types())
+
+
+def test_sizes_from_the_store_spare_the_count(spark, tmp_path, monkeypatch):
+    from contrail.operators import series
+    from contrail.plans import timeline
+    from contrail.plans.rules.common import Telemetry
+
+    st = TelemetryStore(spark, str(tmp_path / "t"), buckets=2)
+    mode = spark.createDataFrame([("a", t, t, t % 3) for t in range(30)], "flight_id string, timestamp_us long, seq long, mode_num int")
+    st.write("MODE", mode)
+    st.write("PARM", mode.select("flight_id", "timestamp_us", "seq", F.lit("x").alias("name"), F.lit(1.0).alias("value")))
+    tables = st.load_many(["MODE", "PARM"])
+    want = sorted(map(str, timeline.timeline(Telemetry(spark, tables)).collect()))
+    counted = []
+    monkeypatch.setattr(series, "_fits_one_task", lambda *a: counted.append(a) or True)
+    known = Telemetry(spark, tables, largest=st.largest_series(["MODE", "PARM"]))
+    assert sorted(map(str, timeline.timeline(known).collect())) == want and not counted
+    monkeypatch.undo()
+    short = Telemetry(spark, tables, max_rows=7, largest=st.largest_series(["MODE", "PARM"]))  # over the limit: blocks, same rows
+    assert sorted(map(str, timeline.timeline(short).collect())) == want
+
+
 def test_unreadable_is_not_empty(spark, tmp_path):
     store, c = TelemetryStore(spark, str(tmp_path / "s")), Catalog(spark, str(tmp_path / "c"))
     assert store.load("GPS").count() == 0 and c.read("flights").count() == 0
