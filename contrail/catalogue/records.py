@@ -63,7 +63,7 @@ def findings_merge(spark, sf):
 
 def classify_guarded(spark, sf):
     a = anomalies(spark, sf)
-    loud = a.where("severity <> 'INFO' and value > 150")
+    loud = a.where("severity <> 'INFO'")
     flights = a.groupBy("flight_id").agg(
         (F.max("value") > 260).alias("crash_detected"), F.when(F.avg("value") > 50, F.lit("CRASH")).alias("proposed"))
     return report.classify(flights, loud).select("flight_id", "base_classification", "classification", "n_anomalies")
@@ -71,7 +71,7 @@ def classify_guarded(spark, sf):
 
 _CRASHY = ", ".join(f"'{r}'" for r in report.CRASH_RULES)
 _CLASSIFY = f"""WITH {_ANOM}, f AS (SELECT flight_id, max(value) > 260 AS crash, CASE WHEN avg(value) > 50 THEN 'CRASH' END AS proposed FROM anom GROUP BY 1),
-s AS (SELECT flight_id, count(*) AS n, bool_or(severity = 'FATAL') AS fatal, bool_or(rule_name IN ({_CRASHY})) AS cr FROM anom WHERE severity <> 'INFO' AND value > 150 GROUP BY 1),
+s AS (SELECT flight_id, count(*) AS n, bool_or(severity = 'FATAL') AS fatal, bool_or(rule_name IN ({_CRASHY})) AS cr FROM anom WHERE severity <> 'INFO' GROUP BY 1),
 j AS (SELECT f.flight_id, crash, coalesce(n, 0) AS n, coalesce(fatal, false) AS fatal, coalesce(cr, false) AS cr, proposed,
   CASE WHEN crash THEN 'CRASH' WHEN coalesce(n, 0) > 0 THEN 'ANOMALY' ELSE 'REVIEW' END AS base FROM f LEFT JOIN s USING (flight_id))
 SELECT flight_id, base AS base_classification, CASE WHEN crash THEN 'CRASH' WHEN coalesce(proposed, base) = 'CRASH' AND NOT fatal AND NOT cr THEN 'ANOMALY'
