@@ -5,16 +5,15 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from contrail.operators.series import BLOCK, Series, open_series
-from contrail.session import ensure_checkpoint_dir
-
-FOLD_ROWS = 500  # longest island folded as an array
+from contrail.operators import spacing as spacing_steps
+from contrail.operators.series import BLOCK, Series
+from contrail.session import broadcast_if_small, ensure_checkpoint_dir
 
 
 @dataclass(frozen=True)
@@ -169,75 +168,35 @@ def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column | str]
 def spaced_events(series: Series, spacing: int) -> DataFrame:
     """Keep an event only when it comes more than ``spacing`` after the last kept one.
 
-    The choice depends on all earlier choices.  Series that fit a task are cut into islands at
-    gaps wider than ``spacing``; short islands are folded in order, long ones jump from kept event
-    to kept event.  Longer series follow next-kept pointers, doubling the stride each round, so no
-    task needs the whole series."""
-    ts = series.order[0]
+    Rows arrive sorted by series and time and are kept or dropped on the way, so a task holds one batch whatever the
+    size of a series.  Where series are cut into blocks, each block first gives a map from the last kept time before
+    it to the one after it; the maps of a series are followed in order, which tells each block where to begin."""
+    ts, part, columns = series.order[0], series.part, [c for c in series.df.columns if c != BLOCK]
+    rows, entry = series.df, None
     if series.split:
-        return _spaced_by_pointers(series, spacing)
-    s = series.shift({"_t0": ts})
-    fresh = F.coalesce(F.col(ts) - F.col("_t0") > spacing, F.lit(True)).cast("int")
-    s = s.with_df(s.df.withColumn("_new", fresh))
-    s = s.with_columns({"_isle": F.sum("_new").over(s.window)})
-    isle = [*series.keys, "_isle"]
-    size = F.count(F.lit(1)).over(Window.partitionBy(*isle))
-    rows = s.df.drop("_t0", "_new").withColumn("_size", size)
-    short = _fold_islands(rows.where(F.col("_size") <= FOLD_ROWS), isle, series, spacing)
-    columns = series.df.columns
-
-    def jump(island: pd.DataFrame) -> pd.DataFrame:
-        island = island.sort_values(list(series_order))
-        times, kept, i = island[ts].to_numpy(), [], 0
-        while i < len(times):
-            kept.append(i)
-            i = int(np.searchsorted(times, times[i] + spacing, side="right"))
-        return island.iloc[kept][columns]
-
-    series_order = tuple(series.order)
-    long_ = rows.where(F.col("_size") > FOLD_ROWS).groupBy(*isle).applyInPandas(jump, series.df.schema)
-    return short.select(*columns).unionByName(long_)
-
-
-def _fold_islands(rows: DataFrame, isle: list[str], series: Series, spacing: int) -> DataFrame:
-    ts = series.order[0]
-    rest = [c for c in series.df.columns if c not in series.keys and c not in series.order]
-    lists = rows.groupBy(*isle).agg(F.sort_array(F.collect_list(F.struct(*series.order, *rest))).alias("_rows"))
-    kept = F.aggregate(
-        "_rows",
-        F.slice("_rows", 1, 0),
-        lambda acc, x: F.when(
-            (F.size(acc) == 0) | (x[ts] - F.element_at(acc, F.greatest(F.size(acc), F.lit(1)))[ts] > spacing),
-            F.concat(acc, F.array(x)),
-        ).otherwise(acc),
+        rows, entry = rows.join(broadcast_if_small(_entries(series, spacing)), part, "left"), "_entry"
+    fields = [series.df.schema[c] for c in columns]
+    return _in_order(rows, part, series.order).mapInArrow(
+        lambda batches: spacing_steps.keep_spaced(batches, part, ts, spacing, entry, columns), T.StructType(fields)
+    )
+
+
+def _in_order(df: DataFrame, part: Sequence[str], order: Sequence[str]) -> DataFrame:
+    return df.repartition(*part).sortWithinPartitions(*part, *order)
+
+
+def _entries(series: Series, spacing: int) -> DataFrame:
+    """(keys, block, _entry): the last kept time before each block; NULL for the first one."""
+    ts, keys, part = series.order[0], list(series.keys), series.part
+    exact = not isinstance(series.df.schema[ts].dataType, T.FractionalType)
+    number, kind = (T.LongType(), pa.int64()) if exact else (T.DoubleType(), pa.float64())
+    ids = [T.StructField(f.name, f.dataType) for f in (series.df.schema[c] for c in part)]
+    pieces = _in_order(series.df.select(*part, ts), part, [ts]).mapInArrow(
+        lambda batches: spacing_steps.block_maps(batches, part, ts, spacing),
+        T.StructType([*ids, T.StructField("_bound", number), T.StructField("_exit", number)]),
     )
-    return lists.select(*series.keys, F.explode(kept).alias("_r")).select(*series.keys, "_r.*")
-
-
-def _spaced_by_pointers(series: Series, spacing: int) -> DataFrame:
-    spark = series.df.sparkSession
-    ensure_checkpoint_dir(spark)
-    ts, keys = series.order[0], list(series.keys)
-    events = series.number("_id").df.drop(BLOCK).checkpoint()
-    # next(e): first event later than e + spacing, found by carrying event ids backwards
-    probes = events.select(*keys, (F.col(ts) + spacing).alias("_t"), F.lit(1).alias("_probe"), F.col("_id").alias("_from"),
-                           F.lit(None).cast("struct<id:bigint>").alias("_ev"))
-    marks = events.select(*keys, F.col(ts).alias("_t"), F.lit(0).alias("_probe"), F.col("_id").alias("_from"),
-                          F.struct(F.col("_id").alias("id")).alias("_ev"))
-    line = open_series(probes.unionByName(marks), keys, ["_t", "_probe", "_from"], series.max_rows)
-    jump = (
-        line.carry({"ev": "_ev"}).df.where("_probe = 1")
-        .select(*keys, F.col("_from").alias("_id"), F.col("ev_next.id").alias("_to"))
-        .checkpoint()
+    entries = _in_order(pieces, keys, [BLOCK, "_bound"]).mapInArrow(
+        lambda batches: spacing_steps.block_entries(batches, part, kind), T.StructType([*ids, T.StructField("_entry", number)])
     )
-    kept = events.where(F.col("_id") == 1).select(*keys, "_id").checkpoint()
-    while True:
-        step = kept.join(jump, [*keys, "_id"]).where("_to is not null").select(*keys, F.col("_to").alias("_id"))
-        grown = kept.unionByName(step).distinct().checkpoint()
-        if grown.count() == kept.count():
-            break
-        kept = grown
-        far = jump.select(*keys, F.col("_id").alias("_to"), F.col("_to").alias("_far"))
-        jump = jump.join(far, [*keys, "_to"], "left").select(*keys, "_id", F.col("_far").alias("_to")).checkpoint()
-    out = events.join(kept, [*keys, "_id"], "left_semi")
-    return out.drop("_id").select(*[c for c in series.df.columns if c != BLOCK])
+    ensure_checkpoint_dir(series.df.sparkSession)
+    return entries.checkpoint()

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from contrail.operators import align, runs
+from contrail.operators import spacing as spacing_steps
 from contrail.operators.series import exact_quantile, open_series
 
 PLAIN, SPLIT = 10**9, 40
@@ -94,9 +95,8 @@ def test_violation_groups(table, samples, limit, thr, gap, dur):
     assert rows(got.select("k", "start", "end", "n", "v_max", "v_first")) == brute_groups(samples, thr, gap, dur)
 
 
-@pytest.mark.parametrize("limit,fold", [(PLAIN, 500), (PLAIN, 5), (SPLIT, 500)])
-def test_spaced_events(table, samples, limit, fold, monkeypatch):
-    monkeypatch.setattr(runs, "FOLD_ROWS", fold)
+@pytest.mark.parametrize("limit", [PLAIN, SPLIT, 12])
+def test_spaced_events(table, samples, limit):
     s = open_series(table, ["k"], ["t", "s"], limit)
     want = []
     for k, seq in by_key(samples).items():
@@ -108,6 +108,42 @@ def test_spaced_events(table, samples, limit, fold, monkeypatch):
     assert rows(runs.spaced_events(s, 17)) == sorted(want)
 
 
+def test_entry_maps_chain_as_one():
+    rng = random.Random(3)
+    for case in range(200):
+        times = np.cumsum([rng.choice([0, 0, 1, 1, 2, 30]) for _ in range(rng.randint(2, 60))])
+        spacing, cut = rng.choice([0, 1, 4, 25, 500]), rng.randint(1, len(times) - 1)
+        whole = spacing_steps.entry_map(times, spacing)
+        joined = spacing_steps.chain(spacing_steps.entry_map(times[:cut], spacing), spacing_steps.entry_map(times[cut:], spacing))
+        for entry in range(-600, int(times[-1]) + 5):
+            last = entry
+            for t in times:
+                last = int(t) if t > last + spacing else last
+            for bounds, exits in (whole, joined):
+                at = np.searchsorted(bounds, entry, "right")
+                assert (exits[at] if at < len(exits) else entry) == last, (case, entry)
+
+
+@pytest.mark.parametrize("spacing", [0, 7, 150, 10**6])
+@pytest.mark.parametrize("batch", ["7", "10000"])
+def test_spaced_events_of_one_hot_island(spark, spacing, batch):
+    """No gap is wider than the spacing; blocks and batches cut the island, also among equal times."""
+    rng = random.Random(11)
+    times = sorted(rng.randrange(2500) for _ in range(1500))
+    df = spark.createDataFrame([("x", t, i, [t]) for i, t in enumerate(times)], "k string, t long, s long, extra array<long>").repartition(7)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        got = rows(runs.spaced_events(open_series(df, ["k"], ["t", "s"], 100), spacing).select("t", "s"))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, last = [], None
+    for i, t in enumerate(times):
+        if last is None or t > last + spacing:
+            want.append((t, i))
+            last = t
+    assert got == want
+
+
 @pytest.mark.parametrize("limit", [PLAIN, SPLIT])
 def test_rolling_and_thinning(table, samples, limit):
     import numpy as np
