@@ -95,6 +95,13 @@ def change_points(
     return s.with_df(s.df.where("_peak").drop("_n", "_mu", "_sd", "_z", "_peak")).result()
 
 
+def _lag_sums(a: np.ndarray, b: np.ndarray, max_lag: int) -> np.ndarray:
+    """Sums of ``a[i + lag] * b[i]`` for each lag from -max_lag to max_lag; what lies outside counts as zero."""
+    size = 1 << (len(a) + max_lag - 1).bit_length()  # so long that no lag wraps round into another
+    circle = np.fft.irfft(np.fft.rfft(a, size) * np.conj(np.fft.rfft(b, size)), size)
+    return circle[np.arange(-max_lag, max_lag + 1) % size]
+
+
 def cross_correlation_lag(
     pairs: DataFrame, keys: Sequence[str], order: Sequence[str], a: str, b: str, max_lag: int,
     sample_rate_hz: float = 1.0, block: int = 16_384, max_rows: int | None = None,
@@ -102,8 +109,10 @@ def cross_correlation_lag(
     """Lag in [-max_lag, max_lag] that lines up ``b`` with ``a``, per key.
 
     ``pairs`` has both signals by position.  Each block of rows also receives ``max_lag`` rows from
-    its neighbour, NumPy correlates it, and the partial sums per lag are added up, so neither a
-    long series nor a pair of rows per lag is ever held."""
+    its neighbours, all lags of a block come from one product of transforms, and the partial sums per lag
+    are added up: work is n log n whatever the lag, and a task holds a block and two times ``max_lag`` rows.
+    Correlations are compared to nine decimals, and of equal ones the smallest lag is given, so that the
+    rounding of transforms decides nothing."""
     keys = list(keys)
     s = open_series(pairs, keys, order, max_rows).totals(
         {"_n": F.count(F.lit(1)), "_ma": F.avg(a), "_sa": F.stddev_pop(a), "_mb": F.avg(b), "_sb": F.stddev_pop(b)}
@@ -130,17 +139,14 @@ def cross_correlation_lag(
         fa, fb = np.zeros(length), np.zeros(length)
         fa[pos_ - start], fb[pos_ - start] = av, bs
         lags = np.arange(-max_lag, max_lag + 1)
-        sums = [
-            float(fa[k:] @ fb[: length - k]) if 0 <= k < length else float(fa[: length + k] @ fb[-k:]) if 0 < -k < length else 0.0
-            for k in lags
-        ]
+        sums = _lag_sums(fa, fb, max_lag)
         head = {k: np.full(len(lags), pdf[k].iloc[0], dtype=object) for k in keys}
         return pd.DataFrame({**head, "lag": lags, "_s": sums, "_n": int(pdf["_n"].iloc[0])})
 
     sums = rows.groupBy(*keys, "_run").applyInPandas(correlate, schema)
     by_lag = sums.groupBy(*keys, "lag").agg(F.sum("_s").alias("_s"), F.max("_n").alias("_n")).where(F.abs("lag") < F.col("_n"))
     best = by_lag.groupBy(*keys).agg(
-        F.max_by(F.struct("lag", "_s", "_n"), F.struct("_s", -F.col("lag"))).alias("r")
+        F.max_by(F.struct("lag", "_s", "_n"), F.struct(F.round(F.col("_s") / F.col("_n"), 9), -F.col("lag"))).alias("r")
     )
     peak = F.col("r._s") / F.col("r._n")
     return best.select(

@@ -70,6 +70,28 @@ def test_cross_correlation(spark, limit, block):
     assert r.lag_seconds == pytest.approx(r.lag_samples / 10) and r.is_significant
 
 
+@pytest.mark.parametrize("n,max_lag", [(1, 0), (1, 5), (7, 3), (64, 64), (100, 20), (30, 200), (4097, 1500)])
+def test_lag_sums_match_direct_sums(n, max_lag):
+    rng = np.random.default_rng(n)
+    a, b = rng.normal(0, 1, n), rng.normal(0, 1, n)
+    want = [sum(a[i + k] * b[i] for i in range(max(0, -k), min(n, n - k))) for k in range(-max_lag, max_lag + 1)]
+    assert stats._lag_sums(a, b, max_lag) == pytest.approx(want, abs=1e-9)
+
+
+@pytest.mark.parametrize("limit,block", [(None, 16_384), (900, 256)])
+def test_long_lags_and_equal_peaks(spark, limit, block):
+    """A shift of 700 rows is found across blocks; of a period's equal peaks the smallest lag is given."""
+    rng = np.random.default_rng(5)
+    noise = rng.normal(0, 1, 3000)
+    wave = np.tile([1.0, -1.0, 0.5, -0.5], 50)
+    shifted = np.r_[rng.normal(0, 1, 700), noise[:-700]]
+    data = [("far", i, i, float(p), float(q)) for i, (p, q) in enumerate(zip(noise, shifted))]
+    data += [("wave", i, i, float(p), float(p) * (50 <= i < 150)) for i, p in enumerate(wave)]
+    df = spark.createDataFrame(data, "k string, t long, s long, a double, b double").repartition(5)
+    got = {r.k: r.lag_samples for r in stats.cross_correlation_lag(df, K, O, "a", "b", 1000, 1.0, block, limit).collect()}
+    assert got == {"far": -700, "wave": -48}
+
+
 def test_isolation_forest(spark):
     rows = [("f", i * 1000, i, 0.0, 0.0) for i in range(190)] + [("f", i * 1000, i, 100.0, 100.0) for i in range(190, 200)]
     rng = np.random.default_rng(42)
