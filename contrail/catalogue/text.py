@@ -49,6 +49,20 @@ def keyword_claims(spark, sf):
     return grounding.text_claims(d, "text", LANGUAGES).select("doc_id", "domain", "keyword")
 
 
+def keyword_table_claims(spark, sf):
+    """The opening words of each benchmark item and the words of the languages, as one table of keywords."""
+    items = load(spark, sf, "benchmark").select(
+        F.concat(F.lit("item "), F.col("item_id")).alias("domain"), F.lower(F.substring_index("text", " ", 3)).alias("keyword"))
+    common = spark.createDataFrame([(n, k) for n, (kws, _) in LANGUAGES.items() for k in kws], "domain string, keyword string")
+    d = load(spark, sf, "documents").select("doc_id", "text")
+    return grounding.text_claims(d, "text", items.unionByName(common)).select("doc_id", "domain", "keyword")
+
+
+_TABLE_CLAIMS = f"""WITH c AS ({_claims_sql('documents', 'doc_id')}),
+i AS (SELECT 'item ' || item_id AS domain, lower(array_to_string(string_split(text, ' ')[1:3], ' ')) AS keyword FROM benchmark)
+SELECT * FROM c UNION ALL SELECT doc_id, domain, keyword FROM (SELECT doc_id, lower(text) AS t FROM documents) JOIN i ON contains(t, keyword)"""
+
+
 def turn_claims(spark, sf):
     c = load(spark, sf, "conversations").select("conv_id", "turn", "text")
     return grounding.text_claims(c, "text", LANGUAGES).select("conv_id", "turn", "domain", "keyword")
@@ -140,6 +154,7 @@ SELECT CAST(doc_id AS VARCHAR) AS report, n IS NULL AS narrative_valid, allowed,
 
 QUERIES = [
     Query("keyword_claims", keyword_claims, f"WITH c AS ({_claims_sql('documents', 'doc_id')}) SELECT * FROM c"),
+    Query("keyword_table_claims", keyword_table_claims, _TABLE_CLAIMS),
     Query("turn_claims", turn_claims, f"WITH c AS ({_claims_sql('conversations', 'conv_id, turn')}) SELECT * FROM c"),
     Query("evidence_domains", evidence_domains, f"WITH {_BACKED} SELECT * FROM b"),
     Query("unbacked_claims", unbacked_claims, _UNBACKED),

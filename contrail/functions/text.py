@@ -7,13 +7,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_WORD = r"[\p{L}\p{N}_]"
+WORD_BREAK = r"[^\p{L}\p{N}_]+"
 
 
 def known_words(text: Column, keywords: Iterable[str]) -> Column:
     """Those single-word keywords that occur as whole words: one pass, however many there are."""
     single = sorted({k for k in keywords if " " not in k})
-    return F.array_intersect(F.split(text, f"[^{_WORD[1:-1]}]+"), F.array(*[F.lit(k) for k in single]))
+    return F.array_intersect(F.split(text, WORD_BREAK), F.array(*[F.lit(k) for k in single]))
 
 
 def first_mention(text: Column, found: Column, keywords: Iterable[str]) -> Column:

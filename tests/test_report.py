@@ -1,5 +1,8 @@
 """Grounding, narrative, report and evaluation."""
 
+import random
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,3 +141,37 @@ def test_scoring(spark):
     assert cr["classification_match"] == pytest.approx(1 / 3)
     empty = evaluation.benchmark_metrics(s.where("false")).first()
     assert (empty.total_cases, empty.classification_accuracy, empty.overall_pass_rate) == (0, 0.0, 0.0)
+
+
+def test_keyword_tables_match_keyword_lists(spark):
+    """100,000 keywords by joins give what one test a keyword gives; odd phrases, texts and repeated rows included."""
+    rng = random.Random(2)
+    syllables = ["ka", "lo", "é", "x", "mi", "tor", "😀", "9"]
+
+    def word():
+        return "".join(rng.choice(syllables) for _ in range(rng.randint(1, 3)))
+
+    own = {f"d{i % 7}": set() for i in range(7)}
+    for i in range(300):
+        own[f"d{i % 7}"].add(" ".join(word() for _ in range(rng.choice([1, 1, 2, 3]))))
+    own["d0"] |= {" ka", "lo ", " ", "ka  lo", "x\nlo mi", "ka-lo"}
+    docs = [(i, rng.choice([" ", ", ", "  "]).join(word().title() for _ in range(rng.randint(0, 12)))) for i in range(400)]
+    docs += [(1000, None), (1001, ""), (1002, "Ka LO x\nlo mi"), (1002, "Ka LO x\nlo mi"), (1003, "tor " * 20_000)]
+    d = spark.createDataFrame(docs, "id long, text string")
+    rows = [(n, k) for n, ks in own.items() for k in ks]
+    big = [("far", f"zz{i}" if i % 2 else f"zz{i} qq") for i in range(100_000)]
+    table = spark.createDataFrame(rows + rows[:20] + [("d1", None)] + big, "domain string, keyword string")
+    got = grounding.text_claims(d, "text", table)
+    want = []
+    for i, text in docs:
+        low = (text or "").lower()
+        words = set(re.split(r"[^\w]+", low)) if text is not None else set()
+        for n, ks in own.items():
+            hits = sorted((k for k in ks if (k in low if " " in k else k in words)), key=lambda k: k.encode())
+            if hits and text is not None:
+                want.append((i, n, hits[0]))
+    assert sorted((r.id, r.domain, r.keyword) for r in got.collect()) == sorted(want)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "NestedLoop" not in plan and "Cartesian" not in plan
+    assert grounding.text_claims(d, "text", table.limit(0)).count() == 0
+    assert grounding.text_claims(d.limit(0), "text", table).count() == 0
