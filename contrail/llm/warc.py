@@ -22,7 +22,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -33,6 +33,7 @@ VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
 REVISIT_BYTES = 100
 FILE_BYTES, SPLIT_BYTES, HEAD_BYTES = 64 << 20, 8 << 20, 16_384
+TASK_BYTES = 256 << 20  # most bytes a task reads on average
 PLACES = 1 << 38  # more than a file's bytes, and a multiple of SPLIT_BYTES
 _LINES = re.compile(rb"(?:[A-Za-z-]+:[^\n]*\n)*")
 _CUT = re.compile(rb"\r?|[A-Za-z-]+(?::[^\n]*)?")  # what a head's last line may look like where reading stopped
@@ -125,13 +126,22 @@ def head_end(stream, raw: bytes, at: int) -> tuple[bytes, int, int, int]:
     return raw, end, at + line, int(value)
 
 
+def _dealt(rows: DataFrame, files: DataFrame, key: Column) -> DataFrame:
+    """Rows that stand for parts of ``files``, in as many tasks as the bytes behind them ask for: the rows are small,
+    so partitions merged by their own size would leave the reading to one task."""
+    size, splits = files.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum(F.ceil(F.col("size") / SPLIT_BYTES)), F.lit(0))).first()
+    wanted = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = max(min(wanted, splits), -(-size // TASK_BYTES), 1)
+    return rows.repartitionById(n, F.pmod(key, F.lit(n)).cast("int"))
+
+
 def candidates(files: DataFrame, folder: str) -> DataFrame:
     """at, next: every place in the files that looks like a record, and the place after that record.
 
     ``files``: file (a number), path, size.  A place is the file's number times PLACES plus the offset.
     """
     ranges = files.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(SPLIT_BYTES).cast("long"))))
-    splits = ranges.select("file", "path", "size", "first").repartition(F.col("file"), F.col("first"))
+    splits = _dealt(ranges.select("file", "path", "size", "first"), files, F.xxhash64("file", "first"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_folder(folder)
@@ -177,7 +187,7 @@ def read_records(records: DataFrame, files: DataFrame, folder: str) -> DataFrame
     split = F.shiftright(F.col("at"), SPLIT_BYTES.bit_length() - 1)  # files are whole numbers of splits apart
     dealt = records.withColumn("file", F.shiftright(F.col("at"), PLACES.bit_length() - 1)).join(files.select("file", "path"), "file")
     dealt = dealt.select("path", F.col("at") % PLACES, F.col("next") % PLACES, split).toDF("path", "at", "next", "split")
-    dealt = dealt.repartition("split").sortWithinPartitions("split", "at")
+    dealt = _dealt(dealt, files, F.xxhash64("split")).sortWithinPartitions("split", "at")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, _ = open_folder(folder)

@@ -132,6 +132,7 @@ def test_records_over_splits(spark, monkeypatch):
     assert sorted(map(tuple, got.drop("payload").collect()), key=repr) == _records(rows)
     assert {x["page_id"]: bytes(x["payload"]).decode() for x in got.where("record_type = 'response'").collect()} == {
         i: h for i, _, h in rows if (i, "response") in {(x[0], x[3]) for x in _records(rows)}}
+    assert got.select(F.spark_partition_id()).distinct().count() > 3  # small rows, but many bytes to read: not one task
     files = manifest.selectExpr("path", "size", "row_number() over (order by path) as file")
     assert warc.candidates(files, folder).count() > 150  # the payloads hold heads that chains reject
 
