@@ -30,6 +30,7 @@ from contrail.llm.pieces import text_encoder
 
 MAGIC = b"IDSEF1\r\n"
 SAMPLE = 64  # ones between two samples
+READ_DOCS = 500  # documents between two selected places when a file is read in order
 SHARD_BYTES = 256 << 20  # text bytes a file is made for where the session does not ask for more files
 
 
@@ -50,8 +51,8 @@ class EliasFano:
         pack = lambda x: np.packbits(x, bitorder="little").tobytes()
         return cls(n, low_bits, pack(low.ravel()), pack(bits), places[::SAMPLE].astype("<u4"))
 
-    def select(self, k: int) -> int:
-        """The value at place k: from the nearest sample on, a short scan of the unary part."""
+    def _place(self, k: int) -> int:
+        """Where the k-th one stands in the unary part: from the nearest sample on, a short scan."""
         byte, bit = divmod(int(self.samples[k // SAMPLE]), 8)
         rest = k % SAMPLE
         view = np.frombuffer(self.high, np.uint8)
@@ -59,19 +60,28 @@ class EliasFano:
             ones = np.flatnonzero(np.unpackbits(view[byte : byte + 64], bitorder="little"))
             ones = ones[ones >= bit]
             if rest < len(ones):
-                place = byte * 8 + int(ones[rest])
-                break
+                return byte * 8 + int(ones[rest])
             rest, byte, bit = rest - len(ones), byte + 64, 0
+
+    def select(self, k: int) -> int:
+        """The value at place k."""
         a = k * self.low_bits
         word = int.from_bytes(self.low[a // 8 : (a + self.low_bits + 7) // 8], "little") >> (a % 8)
-        return (place - k) << self.low_bits | word & ((1 << self.low_bits) - 1)
-
-    def values(self) -> np.ndarray:
-        """The whole sequence."""
-        places = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
-        low = np.unpackbits(np.frombuffer(self.low, np.uint8), bitorder="little")[: self.n * self.low_bits]
-        low = low.reshape(self.n, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
-        return ((places - np.arange(self.n)) << self.low_bits) + low
+        return (self._place(k) - k) << self.low_bits | word & ((1 << self.low_bits) - 1)
+
+    def values(self, first: int = 0, last: int | None = None) -> np.ndarray:
+        """The values from place ``first`` to before ``last``: both edges are selected, and only the unary and low
+        bits between them are decoded."""
+        last = self.n if last is None else min(last, self.n)
+        if first >= last:
+            return np.zeros(0, np.int64)
+        start, end = self._place(first), self._place(last - 1)
+        bits = np.unpackbits(np.frombuffer(self.high, np.uint8)[start // 8 : end // 8 + 1], bitorder="little")
+        places = np.flatnonzero(bits[start % 8 : end - start // 8 * 8 + 1]) + start
+        a, b = first * self.low_bits, last * self.low_bits
+        low = np.unpackbits(np.frombuffer(self.low, np.uint8)[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a]
+        low = low.reshape(last - first, self.low_bits).astype(np.int64) @ (1 << np.arange(self.low_bits, dtype=np.int64))
+        return ((places - np.arange(first, last)) << self.low_bits) + low
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.low_bits, len(self.low), len(self.high)], "<u4").tobytes()
@@ -122,6 +132,11 @@ class IdFile:
     def __len__(self) -> int:
         return self.ends.n
 
+    def doc_ids(self, first: int, last: int) -> list[int | None]:
+        """The doc_ids from one document's place to another's."""
+        known = self.keys.values(max(first - self.nulls, 0), max(last - self.nulls, 0))
+        return [None] * (last - first - len(known)) + (self.base + known).tolist()
+
     def doc_id(self, k: int) -> int | None:
         return None if k < self.nulls else self.base + self.keys.select(k - self.nulls)
 
@@ -181,18 +196,19 @@ def read_ids(spark: SparkSession, manifest: DataFrame, folder: str) -> DataFrame
         for path, n_docs, n_ids, base in (r for b in batches for r in zip(*(column_values(b, c) for c in ("path", "n_docs", "n_ids", "base")))):
             with fs.open_input_file(path) as stream:
                 file = IdFile(stream, stream.size())
-                ends = file.ends.values()
-                if len(ends) != n_docs or int(ends[-1]) != n_ids:
+                if len(file) != n_docs or file.ends.select(n_docs - 1) != n_ids:
                     raise ValueError(f"{path} does not hold what its manifest says")
-                keys = [None] * file.nulls + (file.base + file.keys.values()).tolist()
-                starts = np.concatenate([[0], ends[:-1]])
-                for a in range(0, n_docs, 500):
-                    b = min(a + 500, n_docs)
-                    ids = file.ids(int(starts[a]), int(ends[b - 1])).astype("<u4")
-                    crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts[a:b] - starts[a], ends[a:b] - starts[a])]
+                start = 0
+                for a in range(0, n_docs, READ_DOCS):
+                    b = min(a + READ_DOCS, n_docs)
+                    ends = file.ends.values(a, b)
+                    starts = np.append(start, ends[:-1])
+                    ids = file.ids(start, int(ends[-1])).astype("<u4")
+                    crc = [zlib.crc32(ids[s:e]) for s, e in zip(starts - start, ends - start)]
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys[a:b], pa.int64()), pa.array(starts[a:b] + base), pa.array(ends[a:b] - starts[a:b]), pa.array(crc, pa.int64())],
+                        [pa.array(file.doc_ids(a, b), pa.int64()), pa.array(starts + base), pa.array(ends - starts), pa.array(crc, pa.int64())],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"])
+                    start = int(ends[-1])
 
     return map_batches(files.repartitionById(n, F.col("shard") % n), read, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 

@@ -209,6 +209,9 @@ def test_elias_fano():
         read, rest = id_files.EliasFano.from_bytes(built.to_bytes() + b"rest")
         assert rest == b"rest" and read.values().tolist() == values.tolist()
         assert [read.select(k) for k in range(len(values))] == values.tolist()
+        for first in range(0, len(values) + 2, 1 + len(values) // 40):
+            for last in (first, first + 1, first + 63, first + 500):
+                assert read.values(first, last).tolist() == values[first:last].tolist()
     many = np.cumsum(r.integers(1, 1000, 20_000))
     assert len(id_files.EliasFano.build(many).to_bytes()) < 20_000 * (2 + np.log2(500) + 1) / 8 + 2000
 
@@ -221,6 +224,7 @@ def test_id_file_random_access(tmp_path):
     with open(name, "rb") as f:
         file = id_files.IdFile(f, name.stat().st_size)
         assert [(file.doc_id(k), file.ids(*file.span(k)).tolist()) for k in range(len(file))] == docs
+        assert all(file.doc_ids(a, b) == [k for k, _ in docs[a:b]] for a in range(5) for b in range(a, 5))
         with pytest.raises(ValueError):
             id_files.IdFile(f, name.stat().st_size - 1)
 
