@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from contrail.catalogue.base import EV, ORDER, USER, Query, event_series, events, load, micros, rounded, telemetry, telemetry_sql
-from contrail.operators import spectrum, stats
+from contrail.operators import segments, spectrum, stats
 from contrail.operators.series import exact_quantile
 
 PRIO, DAY_ORDER = ["o_orderpriority"], ["day_us", "seq"]
@@ -120,6 +120,11 @@ p AS (SELECT *, max(score) OVER ({_W} 10 PRECEDING AND 10 FOLLOWING) AS top, coa
 SELECT user_id, ts_us, event_id, round(score, 5) AS score FROM p WHERE score = top AND score > earlier AND score > 10.0"""
 
 
+def penalised_breaks(spark, sf):
+    b = segments.penalised_breaks(event_series(spark, sf), "value", 10, 1.0)
+    return b.select("user_id", "position", "ts_us", "event_id")
+
+
 def isolation_scores(spark, sf):
     df = load(spark, sf, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
     s = stats.isolation_scores(df, ["l_returnflag"], ["l_quantity", "l_extendedprice", "l_discount", "l_tax"], ["l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice"])
@@ -162,6 +167,7 @@ QUERIES = [
     Query("axis_levels", axis_levels, _LEVELS),
     Query("xcorr_lag", xcorr_lag, _XCORR),
     Query("changepoints", changepoints, _CHANGE),
+    Query("penalised_breaks", penalised_breaks),
     Query("isolation_scores", isolation_scores),
     Query("isolation_anomalies", isolation_anomalies),
     Query("isolation_profile", isolation_profile, _ISOLATION),
