@@ -6,7 +6,9 @@ pivot is the same form a cell, cut into bounded pieces by their distance to the
 and the same nearest pivot form blocks.  A row x of a piece and a query q are at least |d(q, p) - d(p, x)| apart
 (triangle inequality), so the ranges of these distances, a few numbers a piece and a block, tell which pieces a
 block can use.  Nearest pieces that hold k rows are searched first; their k-th scores are the bounds by which the
-other pieces are left out.  Vectors are copied only to blocks that use them.  Both ways are exact.
+other pieces are left out.  A task serves many blocks (a lane) and a share of the pieces, which pass by it nearest
+first while it keeps the k best rows of each query.  So a piece is copied once a lane that uses it, a block once a
+share, and a query brings k rows from each share, however many pieces there are.  Both ways are exact.
 
 Vectors that are null or hold a null or a value that is not finite take no part; a query meets vectors of its own
 width.  A filter value that is null in a query lets every row pass; otherwise the row's value has to be equal.
@@ -14,6 +16,7 @@ width.  A filter value that is null in a query lets every row pass; otherwise th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping
 from functools import partial
 
@@ -30,8 +33,10 @@ from contrail.session import broadcast_if_small, ensure_checkpoint_dir
 QUERY_LIMIT = 4_096  # queries whose vectors travel to every task; more go through cells
 BLOCK_QUERIES, CELL_VALUES = 1_024, 1 << 20  # queries of a block, and numbers in the vectors of a piece
 PIVOTS = 32
-SPREAD = 16  # tasks to which the pieces of one block are dealt
-SLACK = 1e-6  # of distances, far above their rounding
+LANE_VALUES = 1 << 22  # numbers in the vectors of the queries that one task holds, about
+TASKS_A_CORE = 3
+CHUNK = 4_096  # base rows that meet a block at once
+SLACK, SCORE_SLACK = 1e-6, 1e-11  # of distances and of scores, far above their rounding
 
 _SCHEMA = T.StructType([
     T.StructField("query_id", T.LongType()), T.StructField("id", T.LongType()), T.StructField("score", T.DoubleType()),
@@ -150,7 +155,7 @@ def _by_cells(queries: DataFrame, base: DataFrame, k: int, n_filters: int, block
     # The nearest pieces that together hold k rows give every query of a block its first k-th score.
     near = Window.partitionBy("block").orderBy("least", "cell")
     pairs = pairs.withColumn("before", F.coalesce(F.sum("rows").over(near.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).checkpoint()
-    first = _searched(blocks, cells, pairs.where(F.col("before") < k).select("block", "cell"), k).checkpoint()
+    first = _searched(blocks, cells, pairs.where(F.col("before") < k).select("block", "cell", "least"), k)
     kth = Window.partitionBy("block", "query_id").orderBy(F.desc("score"), "id")
     kth_score = first.withColumn("n", F.row_number().over(kth)).where(F.col("n") == k).groupBy("block").agg(F.min("score").alias("worst"), F.count(F.lit(1)).alias("n"))
     bounds = blocks.select("block", F.size("ids").alias("asked")).join(kth_score, "block", "left")
@@ -159,14 +164,15 @@ def _by_cells(queries: DataFrame, base: DataFrame, k: int, n_filters: int, block
     # Unit vectors at distance d have a product of 1 - d * d / 2.
     reach = 1 - F.pow(F.greatest(F.col("least") - SLACK, F.lit(0.0)), 2) / 2
     rest = rest.where(F.col("worst").isNull() | (reach >= F.col("worst")))
-    return first.unionByName(_searched(blocks, cells, rest.select("block", "cell"), k)).drop("block")
+    return first.unionByName(_searched(blocks, cells, rest.select("block", "cell", "least"), k)).drop("block")
 
 
 def _placed(df: DataFrame, key: str, units: dict[int, np.ndarray]) -> DataFrame:
-    """Unit vectors with the distances to the pivots of their width: pivot (the nearest), away, to_pivots."""
+    """Vectors with the distances of their unit vectors to the pivots of their width: pivot (the nearest), away, to_pivots."""
     shared = df.sparkSession.sparkContext.broadcast(units)
     fields = [f for f in df.schema.fields if f.name != "vec"]
-    schema = T.StructType([*fields, T.StructField("vec", T.ArrayType(T.DoubleType())), T.StructField("pivot", T.IntegerType()), T.StructField("away", T.DoubleType()),
+    number = T.FloatType() if df.schema["vec"].dataType.elementType == T.FloatType() else T.DoubleType()
+    schema = T.StructType([*fields, T.StructField("vec", T.ArrayType(number)), T.StructField("pivot", T.IntegerType()), T.StructField("away", T.DoubleType()),
                            T.StructField("to_pivots", T.ArrayType(T.DoubleType()))])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,10 +181,12 @@ def _placed(df: DataFrame, key: str, units: dict[int, np.ndarray]) -> DataFrame:
                 part, pivots = batch.filter(pc.equal(batch.column("width"), width)), shared.value.get(width)
                 if pivots is None:  # queries of a width that the base has not
                     continue
-                x = _unit(part.column("vec").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1))
+                own = part.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(part.num_rows, -1)
+                own = own if own.dtype == np.float32 else own.astype(float)
+                x = _unit(own.astype(float))
                 away = np.sqrt(np.maximum((x**2).sum(1)[:, None] + (pivots**2).sum(1)[None] - 2 * x @ pivots.T, 0))
                 nearest = away.argmin(axis=1)
-                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel())) for m in (x, away)]
+                lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel())) for m in (own, away)]
                 yield pa.RecordBatch.from_arrays(
                     [*[part.column(f.name) for f in fields], lists[0], pa.array(nearest.astype(np.int32)), pa.array(away[np.arange(len(away)), nearest]), lists[1]],
                     names=[*[f.name for f in fields], "vec", "pivot", "away", "to_pivots"])
@@ -197,7 +205,8 @@ def _pieces(placed: DataFrame, key: str, values: list[str], size: Column) -> Dat
     same = F.lit(True)
     for c in group:
         same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    joined = placed.join(broadcast_if_small(cut), same).drop(*[f"_{c}" for c in group])
+    rows = placed if name == "block" else placed.drop("to_pivots")
+    joined = rows.join(broadcast_if_small(cut), same).drop(*[f"_{c}" for c in group])
     share = (F.col("away") - F.col("a")) / F.greatest(F.col("z") - F.col("a"), F.lit(1e-12))
     joined = joined.withColumn("step", F.least(F.floor(share * F.col("steps")), F.col("steps") - 1)).drop("a", "z", "steps").checkpoint()
     # A step that still holds too many rows is dealt by a hash of the id.
@@ -223,33 +232,96 @@ def _bounded_pairs(blocks: DataFrame, cells: DataFrame, values: list[str]) -> Da
         agree = agree & (F.col(f"_{v}").isNull() | (F.col(v) == F.col(f"_{v}")))
     low, high = F.get("low", F.col("pivot")), F.get("high", F.col("pivot"))
     least = F.greatest(low - F.col("farthest"), F.col("nearest") - high, F.lit(0.0))
-    return c.join(b, agree).select("block", "cell", least.alias("least"), "rows")
+    return b.join(broadcast_if_small(c), agree).select("block", "cell", least.alias("least"), "rows")
+
+
+def _dealt(blocks: DataFrame) -> tuple[int, int]:
+    """Lanes of blocks and shares of cells: a lane fits a task, and all cores have work."""
+    values = blocks.agg(F.coalesce(F.sum(F.size("vecs").cast("long")), F.lit(0))).first()[0]
+    tasks = TASKS_A_CORE * blocks.sparkSession.sparkContext.defaultParallelism
+    lanes = max(-(-values // LANE_VALUES), math.isqrt(tasks))
+    return lanes, max(-(-tasks // lanes), 1)
 
 
 def _searched(blocks: DataFrame, cells: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
-    """block, query_id, id, score: the k best rows of each pair for each query."""
+    """block, query_id, id, score: for each query the k best rows of each share of the pairs' cells."""
     spark = blocks.sparkSession
-    spread = F.pmod(F.xxhash64("cell"), F.lit(SPREAD)).alias("spread")
-    offered = cells.select("cell", F.col("ids").alias("c_ids"), F.col("vecs").alias("c_vecs")).join(pairs.hint("shuffle_hash"), "cell").select("block", spread, "c_ids", "c_vecs")
-    asking = blocks.select("block", F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"), F.explode(F.expr(f"sequence(0L, {SPREAD - 1}L)")).alias("spread"))
-    met = offered.join(asking.hint("shuffle_hash"), ["block", "spread"]).select("block", "q_ids", "q_vecs", "c_ids", "c_vecs")
+    lanes, shares = _dealt(blocks)
+    lane, share = (F.pmod(F.xxhash64(c), F.lit(n)).cast("int") for c, n in (("block", lanes), ("cell", shares)))
+    task = lane * shares + share
+    used = pairs.select("block", task.alias("task")).distinct()
+    asking = blocks.join(broadcast_if_small(used), "block").select(
+        "task", F.lit(0).alias("side"), "width", F.lit(0.0).alias("least"), "block", "ids", "vecs", F.lit(None).cast("array<struct<block:string,least:double>>").alias("asks"))
+    asks = pairs.groupBy("cell", task.alias("task")).agg(F.min("least").alias("least"), F.collect_list(F.struct("block", "least")).alias("asks"))  # blocks of a lane
+    offered = cells.join(asks.hint("shuffle_hash"), "cell").select(
+        "task", F.lit(1).alias("side"), "width", "least", F.lit(None).cast("string").alias("block"), "ids", "vecs", "asks")
+    met = asking.unionByName(offered).repartitionById(lanes * shares, F.col("task")).sortWithinPartitions("side", "width", "least")
     rows = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
     try:
         schema = T.StructType([T.StructField("block", T.StringType()), *_SCHEMA.fields])
-        return met.mapInArrow(partial(_meet, k=k), schema).checkpoint()
+        return met.drop("task", "side", "least").mapInArrow(partial(_meet, k=k), schema).checkpoint()
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
 
 
+class _Block:
+    """The queries of one block and the k best rows they have met."""
+
+    def __init__(self, ids: np.ndarray, q: np.ndarray, k: int):
+        self.ids, self.q, self.k = ids, q, k
+        self.scores, self.found = np.full((len(ids), k), -np.inf), np.zeros((len(ids), k), dtype=np.int64)
+
+    def meet(self, x: np.ndarray, ids: np.ndarray) -> None:
+        s, k, floor = self.q @ x.T, self.k, self.scores[:, -1]
+        if s.shape[1] > k and not np.isfinite(floor).all():
+            floor = np.maximum(floor, np.partition(s, -k, axis=1)[:, -k])
+        row, col = np.nonzero(s >= (floor - SCORE_SLACK)[:, None])
+        if not len(row):
+            return
+        rows = np.unique(row)
+        at = np.concatenate([np.repeat(rows, k), row])
+        scores = np.concatenate([self.scores[rows].ravel(), np.round(s[row, col], 12)])  # rounding makes equal vectors tie exactly
+        found = np.concatenate([self.found[rows].ravel(), ids[col]])
+        order = np.lexsort((found, -scores, at))
+        at = at[order]
+        best = order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+        self.scores[rows], self.found[rows] = scores[best].reshape(-1, k), found[best].reshape(-1, k)
+
+
 def _meet(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Blocks come first, then cells by width and distance."""
+    blocks: dict[str, _Block] = {}
+    waiting: list[tuple[np.ndarray, np.ndarray, dict[str, float]]] = []
+
+    def meet() -> None:
+        asked: dict[str, list[int]] = {}
+        for n, (_, _, asks) in enumerate(waiting):
+            for block, least in asks.items():
+                reach = 1 - max(least - SLACK, 0.0) ** 2 / 2
+                if reach >= blocks[block].scores[:, -1].min() - SCORE_SLACK:
+                    asked.setdefault(block, []).append(n)
+        for block, wanted in asked.items():
+            ids, x = (np.concatenate([waiting[n][i] for n in wanted]) for i in range(2))
+            for at in range(0, len(ids), CHUNK):
+                blocks[block].meet(x[at : at + CHUNK], ids[at : at + CHUNK])
+        waiting.clear()
+
     for batch in batches:
         for n in range(batch.num_rows):
-            block = batch.column(0)[n].as_py()
-            q_ids, q, c_ids, c = (batch.column(i)[n].values.to_numpy() for i in range(1, 5))
-            s, i = _best(q.reshape(len(q_ids), -1) @ c.reshape(len(c_ids), -1).T, c_ids, k)
-            hits = _hits(q_ids, i, s)
-            yield pa.RecordBatch.from_pydict({"block": [block] * len(hits["id"]), **hits}, schema=pa.schema(
+            width, block, ids, vecs, asks = (batch.column(c)[n] for c in ("width", "block", "ids", "vecs", "asks"))
+            ids, x = ids.values.to_numpy(), _unit(vecs.values.to_numpy().astype(float).reshape(-1, width.as_py()))
+            if asks.is_valid:
+                if waiting and (waiting[0][1].shape[1] != x.shape[1] or sum(len(w[0]) for w in waiting) >= CHUNK):
+                    meet()
+                waiting.append((ids, x, {a["block"]: a["least"] for a in asks.as_py()}))
+            else:
+                blocks[block.as_py()] = _Block(ids, x, k)
+    meet()
+    for name, block in blocks.items():
+        hits = _hits(block.ids, block.found, block.scores)
+        if len(hits["id"]):
+            yield pa.RecordBatch.from_pydict({"block": [name] * len(hits["id"]), **hits}, schema=pa.schema(
                 [("block", pa.string()), ("query_id", pa.int64()), ("id", pa.int64()), ("score", pa.float64())]))
 
 
@@ -275,7 +347,8 @@ def deviation_from_matches(
     Every row also tells the matches: similar (ids), similarity_scores, n_compared."""
     from contrail.plans.metrics import baseline_deviation
 
-    hits = top_k(current, base, k, query_id, base_id, vector, where, filters)
+    ensure_checkpoint_dir(base.sparkSession)
+    hits = top_k(current, base, k, query_id, base_id, vector, where, filters).checkpoint()  # read three times
     payload = base.select(F.col(base_id).cast("long").alias("id"), "metrics")
     found = baseline_deviation(
         current.select(F.col(query_id).cast("long").alias("query_id"), "metrics"),

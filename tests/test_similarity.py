@@ -78,6 +78,35 @@ def test_cells_out_of_reach_are_not_copied(spark, monkeypatch):
     assert sum(n for n, _ in pairs) < 0.4 * pairs[0][1]
 
 
+def test_hits_do_not_grow_with_the_pieces(spark, monkeypatch):
+    """Rows without clusters use all pieces; a query still brings k rows a share, in as many tasks as cores ask for."""
+    r = np.random.default_rng(6)
+    rows = [(i, [float(x) for x in r.normal(size=8)], "a", 0, True) for i in range(900)]
+    queries = [(i, v, None, None, None) for i, v, *_ in rows]
+    q, b = _frames(spark, queries, rows)
+    seen = []
+    searched = similarity._searched
+
+    def counted(blocks, cells, wanted, k):
+        out = searched(blocks, cells, wanted, k)
+        seen.append((out.count(), wanted.join(blocks.select("block", "ids"), "block").selectExpr(f"sum(size(ids)) * {k}").first()[0]))
+        return out
+
+    monkeypatch.setattr(similarity, "_searched", counted)
+    _compare(similarity.top_k(q, b, 2, query_limit=0, block_queries=64, cell_values=64).collect(), _plain(queries, rows, 2))
+    assert seen[1][0] <= 2 * 900 * 3 * spark.sparkContext.defaultParallelism < 0.5 * seen[1][1]
+
+
+def test_floats_and_repeated_ids(spark):
+    """Vectors of floats travel as they are; ids that come twice keep all their rows, by scan and by cells."""
+    base = _rows(60, 6, 7) + _rows(30, 6, 8)  # ids 0 to 29 with two vectors each
+    q, b = _frames(spark, _queries(base), base)
+    q, b = (df.withColumn("embedding", df["embedding"].cast("array<float>")) for df in (q, b))
+    scan, cells = (sorted(tuple(r) for r in similarity.top_k(q, b, 4, filters=FILTERS, query_limit=n, block_queries=8, cell_values=30).collect()) for n in (1_000, 0))
+    assert [(r[0], r[1], r[3]) for r in scan] == [(r[0], r[1], r[3]) for r in cells] and len(scan) > 200
+    assert [r[2] for r in scan] == pytest.approx([r[2] for r in cells], abs=1e-9)
+
+
 def test_no_base_and_no_queries(spark):
     q, b = _frames(spark, _queries(_rows(3, 4, 1)), [])
     assert similarity.top_k(q, b, 3, filters=FILTERS, query_limit=0).collect() == []
