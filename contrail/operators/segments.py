@@ -17,6 +17,7 @@ RANGE = 8.0  # values count as at most so many deviations from the mean; at most
 CELLS = 2048  # cells over that range, from whose counts the kernel width is taken
 NARROWEST = 0.1  # least kernel width in deviations; bounds the features of a row to about 1000
 REACH = 6.0  # frequencies up to so many deviations of the kernel's spectrum; its rest weighs under 1e-8
+AT_ONCE = 512  # rows, about, whose features are held at a time
 
 
 def _median_square_distance(cell: np.ndarray, count: np.ndarray) -> float:
@@ -48,12 +49,20 @@ def _features(z: np.ndarray, gamma: float) -> np.ndarray:
     return np.hstack([np.cos(turn), np.sin(turn)]) * np.sqrt(np.hstack([w, w]))
 
 
+def _summed_features(z: np.ndarray, gamma: float, jump: int) -> np.ndarray:
+    """Features summed over every ``jump`` rows; those of single rows are held for a few rows only."""
+    rows = max(AT_ONCE // jump, 1) * jump
+    parts = (_features(z[a : a + rows], gamma) for a in range(0, len(z), rows))
+    return np.vstack([np.add.reduceat(x, np.arange(0, len(x), jump)) for x in parts])
+
+
 def _breaks(counts: np.ndarray, sums: np.ndarray, min_size: int, penalty: float) -> np.ndarray:
     """Pruned dynamic programming over pieces: positions (in pieces) of the best breaks, ends left out.
 
     A stretch costs its rows less the squared length of its summed features over its rows."""
     n = np.concatenate([[0], np.cumsum(counts)])
-    s = np.vstack([np.zeros(sums.shape[1]), np.cumsum(sums, axis=0)])
+    s = np.zeros((len(n), sums.shape[1]))
+    np.cumsum(sums, axis=0, out=s[1:])
     best = np.full(len(n), np.inf)
     best[0] = -penalty
     came = np.zeros(len(n), dtype=np.int64)
@@ -80,6 +89,18 @@ def _breaks(counts: np.ndarray, sums: np.ndarray, min_size: int, penalty: float)
     return np.array(out[::-1], dtype=np.int64)
 
 
+def _widths(counted: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _gamma) of (keys, _cell, _c).  Counts come as arrays of numbers, because a batch holds those of many keys."""
+
+    @F.pandas_udf("double")
+    def width(cells: pd.Series, counts: pd.Series) -> pd.Series:
+        squares = (_median_square_distance(cell, count) for cell, count in zip(cells, counts))
+        return pd.Series([1 / max(m, NARROWEST**2) if m else 1.0 for m in squares], dtype=float)
+
+    rows = F.collect_list(F.struct(F.col("_cell").cast("int").alias("_cell"), F.col("_c").cast("double").alias("_c")))  # at most CELLS counts a key
+    return counted.groupBy(*keys).agg(rows.alias("_h")).select(*keys, width("_h._cell", "_h._c").alias("_gamma"))
+
+
 def penalised_breaks(
     series: Series, value: str, min_size: int = 20, penalty: float = 10.0, jump: int = 5,
     block: int = 8_192, margin: int = 1_024, pieces: int = 4_096,
@@ -108,17 +129,7 @@ def penalised_breaks(
     cell = F.floor((F.least(F.greatest("_z", F.lit(-RANGE)), F.lit(RANGE)) + RANGE) * (CELLS / (2 * RANGE)))
     counted = scaled.groupBy(*keys, F.least(cell, F.lit(CELLS - 1)).cast("int").alias("_cell")).agg(F.count(F.lit(1)).alias("_c"))
 
-    @F.pandas_udf("double")
-    def width(rows: pd.Series) -> pd.Series:
-        out = []
-        for r in rows:
-            m = _median_square_distance(np.array([x["_cell"] for x in r]), np.array([x["_c"] for x in r], dtype=float))
-            out.append(1 / max(m, NARROWEST**2) if m else 1.0)
-        return pd.Series(out)
-
-    # at most CELLS counts a key
-    gammas = counted.groupBy(*keys).agg(F.collect_list(F.struct("_cell", "_c")).alias("_h")).select(*keys, width("_h").alias("_gamma"))
-    gammas = gammas.checkpoint()
+    gammas = _widths(counted, keys).checkpoint()
     home = F.floor(F.col("_p") / block)
     sent = scaled.join(broadcast_if_small(gammas), keys).select(
         *keys, "_p", "_z", "_gamma", "_n", F.explode(F.array_distinct(F.array(
@@ -143,13 +154,13 @@ def penalised_breaks(
     def in_block(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_p")
         p, total, b = pdf["_p"].to_numpy(), int(pdf["_n"].iloc[0]), int(pdf["_b"].iloc[0])
-        x = _features(pdf["_z"].to_numpy(), float(pdf["_gamma"].iloc[0]))
-        starts = np.arange(0, len(p), jump)
-        counts = np.diff(np.append(starts, len(p)))
-        at = p[0] + _breaks(counts, np.add.reduceat(x, starts), min_size, penalty) * jump
+        sums = _summed_features(pdf["_z"].to_numpy(), float(pdf["_gamma"].iloc[0]), jump)
+        counts = np.diff(np.append(np.arange(0, len(p), jump), len(p)))
+        at = p[0] + _breaks(counts, sums, min_size, penalty) * jump
         lo, hi = b * block, min((b + 1) * block, total)
         edges = np.unique(np.concatenate([[lo], at[(at > lo) & (at < hi)], [hi]]))
-        return table(pdf, edges, at, np.add.reduceat(x[: hi - p[0]], edges[:-1] - p[0]))
+        # all edges but the end of a series lie at multiples of jump
+        return table(pdf, edges, at, np.add.reduceat(sums[: -(-(hi - p[0]) // jump)], (edges[:-1] - p[0]) // jump))
 
     def join_pieces(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("_from")

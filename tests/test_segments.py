@@ -1,8 +1,11 @@
 """Penalised segmentation against the plain dynamic program on a full kernel matrix."""
 
+import tracemalloc
+
 import numpy as np
 import pytest
 
+from contrail.operators import segments
 from contrail.operators.segments import _features, _median_square_distance, penalised_breaks
 from contrail.operators.series import open_series
 
@@ -91,3 +94,26 @@ def test_long_series_in_blocks(spark, pieces):
     planted = np.cumsum(lengths)[:-1]
     found = np.array([r.position for r in whole if r.k == "a"])
     assert len(found) == len(planted) and np.abs(found - planted).max() <= 5
+
+
+def test_features_of_a_block_are_not_held_at_once():
+    """A block with its margins at the narrowest kernel holds its sums, not the features of every row (80 MB)."""
+    z = np.random.default_rng(10).normal(0, 1, 10_240)
+    gamma = 1 / segments.NARROWEST**2
+    for jump, n in ((5, 700), (7, 1_031), (1_000, 2_500), (1, 30)):
+        assert np.allclose(segments._summed_features(z[:n], gamma, jump), np.add.reduceat(_features(z[:n], gamma), np.arange(0, n, jump)), atol=1e-9)
+    tracemalloc.start()
+    segments._summed_features(z, gamma, 5)
+    peak = tracemalloc.get_traced_memory()[1] / 1e6
+    tracemalloc.stop()
+    assert peak < 60
+
+
+def test_widths_come_from_arrays_of_numbers(spark):
+    """A batch holds the counts of thousands of series, which as Python objects would fill a worker's memory."""
+    rows = [(k, int(c), int(n)) for k in ("a", None, "b") for c, n in zip(*np.unique(np.random.default_rng(len(k or "")).integers(900, 1100, 300), return_counts=True))]
+    out = segments._widths(spark.createDataFrame(rows, "k string, _cell int, _c long"), K)
+    (inner,) = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "EvalPython" in x]
+    assert "_h#" in inner and "._cell" in inner and "._c" in inner.replace("._cell", "")
+    want = {k: 1 / max(_median_square_distance(*(np.array([r[i] for r in rows if r[0] == k], dtype=t) for i, t in ((1, int), (2, float)))), segments.NARROWEST**2) for k, _, _ in rows}
+    assert {r.k: r._gamma for r in out.collect()} == pytest.approx(want)
