@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contrail.functions.text import WORD_BREAK
-from contrail.session import broadcast_if_small
+from contrail.session import BROADCAST_ROWS, broadcast_if_small
 
 SIDE = 3  # letters of a phrase looked up on each side of its first space
+# Up to SIDE letters on each side of every space, in one pass: it goes on behind the space, the look-ahead sees what follows.
+_AROUND = f"(?s)(?=([^ ]{{0,{SIDE}}} .{{0,{SIDE}}}))[^ ]{{0,{SIDE}}} "
 
 
 def _phrase_probes(keywords: DataFrame) -> DataFrame:
@@ -17,13 +19,15 @@ def _phrase_probes(keywords: DataFrame) -> DataFrame:
     before = F.least(head, F.lit(SIDE))
     after = F.least(F.length("keyword") - head - 1, F.lit(SIDE))
     piece = F.substring(F.col("keyword"), head - before + 1, before + 1 + after)
-    return keywords.withColumns({"before": before, "after": after}).withColumn("probe", F.struct("before", "after", piece.alias("piece")))
+    return keywords.withColumns({"before": before, "after": after, "probe": piece})
 
 
-def _pieces_around_spaces(text: Column, before: int, after: int) -> Column:
-    """The letters around every space of a text that has so many on its sides; the look-ahead lets them overlap."""
-    found = F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{before}}} .{{{after}}}))"), F.lit(1))
-    return F.transform(F.array_distinct(found), lambda p: F.struct(F.lit(before).alias("before"), F.lit(after).alias("after"), p.alias("piece")))
+def _probes(texts: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
+    """The columns of ``texts`` with ``probe``: the letters around each space of ``_text`` in each shape (before, after)."""
+    near = texts.select("*", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(_AROUND), F.lit(1)))).alias("_near"))
+    head = F.instr("_near", " ") - 1  # letters before hold no space
+    pieces = [F.when((head >= b) & (F.length("_near") > head + a), F.substring(F.col("_near"), head - b + 1, F.lit(b + 1 + a))) for b, a in shapes]
+    return near.select(*texts.columns, F.explode(F.array(*pieces)).alias("probe"))
 
 
 def keyword_mentions(docs: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
@@ -33,25 +37,32 @@ def keyword_mentions(docs: DataFrame, text: str, keywords: DataFrame) -> DataFra
     ``keywords`` has lower-case (domain, keyword) rows, as many as there may be.  As with ``first_mention``, a word
     counts when it is a whole word of the lower-case text, a phrase when it occurs anywhere.  Words meet the table
     by equality.  A phrase is looked up by up to three letters on each side of its first space; what agrees is
-    searched in the text.  Each different text is looked up once, and only its digest travels with its words.
+    searched in the text.  A table that can be broadcast meets the texts where they are; for a larger one each different
+    text is looked up once, and only its digest travels with its words.
     NULL texts and NULL keywords mention nothing; repeated rows of ``docs`` each keep their mentions; a keyword listed twice counts
     once."""
     lower = F.lower(F.col(text))
     marked = docs.withColumn("_digest", F.sha2(lower, 256))
-    texts = marked.where(F.col("_digest").isNotNull()).select("_digest", lower.alias("_text")).dropDuplicates(["_digest"])
+    texts = marked.where(F.col("_digest").isNotNull()).select("_digest", lower.alias("_text"))
     table = keywords.select("domain", "keyword").where(F.col("keyword").isNotNull()).distinct()
+    small = table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    if not small:
+        texts = texts.dropDuplicates(["_digest"])
     is_phrase = F.contains("keyword", F.lit(" "))
 
     words = texts.select("_digest", F.explode(F.array_distinct(F.split("_text", WORD_BREAK))).alias("keyword"))
     found = words.join(broadcast_if_small(table.where(~is_phrase)), "keyword").select("_digest", "domain", "keyword")
 
     phrases = _phrase_probes(table.where(is_phrase))
-    shapes = phrases.select("before", "after").distinct().collect()  # (SIDE + 1) squared rows at most
+    shapes = sorted(tuple(r) for r in phrases.select("before", "after").distinct().collect())  # (SIDE + 1) squared rows at most
     if shapes:
-        pieces = F.flatten(F.array(*[_pieces_around_spaces(F.col("_text"), s["before"], s["after"]) for s in sorted(shapes)]))
-        probes = texts.select("_digest", F.explode(pieces).alias("probe"))
-        agreeing = probes.join(broadcast_if_small(phrases), "probe").select("_digest", "domain", "keyword").distinct()
-        checked = texts.join(agreeing, "_digest").where(F.contains("_text", "keyword"))
+        phrases = phrases.select("probe", "domain", "keyword")
+        if small:
+            checked = _probes(texts, shapes).join(F.broadcast(phrases), "probe").where(F.contains("_text", "keyword"))
+        else:
+            probes = _probes(texts, shapes).select("_digest", "probe")
+            agreeing = probes.join(broadcast_if_small(phrases), "probe").select("_digest", "domain", "keyword").distinct()
+            checked = texts.join(agreeing, "_digest").where(F.contains("_text", "keyword"))
         found = found.unionByName(checked.select("_digest", "domain", "keyword"))
 
     first = found.groupBy("_digest", "domain").agg(F.min("keyword").alias("keyword"))
