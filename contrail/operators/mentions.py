@@ -14,20 +14,20 @@ _AROUND = f"(?s)(?=([^ ]{{0,{SIDE}}} .{{0,{SIDE}}}))[^ ]{{0,{SIDE}}} "
 
 
 def _phrase_probes(keywords: DataFrame) -> DataFrame:
-    """Phrases with the letters around their first space, and how many there are on each side (0 to SIDE)."""
+    """Phrases with the hash of the letters around their first space, and how many there are on each side (0 to SIDE)."""
     head = F.instr("keyword", " ") - 1
     before = F.least(head, F.lit(SIDE))
     after = F.least(F.length("keyword") - head - 1, F.lit(SIDE))
     piece = F.substring(F.col("keyword"), head - before + 1, before + 1 + after)
-    return keywords.withColumns({"before": before, "after": after, "probe": piece})
+    return keywords.withColumns({"before": before, "after": after, "probe": F.xxhash64(piece)})
 
 
 def _probes(texts: DataFrame, shapes: list[tuple[int, int]]) -> DataFrame:
-    """The columns of ``texts`` with ``probe``: the letters around each space of ``_text`` in each shape (before, after)."""
+    """The columns of ``texts`` with ``probe``: the hash of the letters around each space of ``_text`` in each shape (before, after)."""
     near = texts.select("*", F.explode(F.array_distinct(F.regexp_extract_all("_text", F.lit(_AROUND), F.lit(1)))).alias("_near"))
     head = F.instr("_near", " ") - 1  # letters before hold no space
     pieces = [F.when((head >= b) & (F.length("_near") > head + a), F.substring(F.col("_near"), head - b + 1, F.lit(b + 1 + a))) for b, a in shapes]
-    return near.select(*texts.columns, F.explode(F.array(*pieces)).alias("probe"))
+    return near.select(*texts.columns, F.explode(F.array(*pieces)).alias("_piece")).where(F.col("_piece").isNotNull()).select(*texts.columns, F.xxhash64("_piece").alias("probe"))
 
 
 def keyword_mentions(docs: DataFrame, text: str, keywords: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def keyword_mentions(docs: DataFrame, text: str, keywords: DataFrame) -> DataFra
     ``keywords`` has lower-case (domain, keyword) rows, as many as there may be.  As with ``first_mention``, a word
     counts when it is a whole word of the lower-case text, a phrase when it occurs anywhere.  Words meet the table
     by equality.  A phrase is looked up by up to three letters on each side of its first space; what agrees is
-    searched in the text.  A table that can be broadcast meets the texts where they are; for a larger one each different
+    searched in the text.  Both go by hashes first, which are cheaper to look up than texts.  A table that can be broadcast meets the texts where they are; for a larger one each different
     text is looked up once, and only its digest travels with its words.
     NULL texts and NULL keywords mention nothing; repeated rows of ``docs`` each keep their mentions; a keyword listed twice counts
     once."""
@@ -50,8 +50,9 @@ def keyword_mentions(docs: DataFrame, text: str, keywords: DataFrame) -> DataFra
         texts = texts.dropDuplicates(["_digest"])
     is_phrase = F.contains("keyword", F.lit(" "))
 
-    words = texts.select("_digest", F.explode(F.array_distinct(F.split("_text", WORD_BREAK))).alias("keyword"))
-    found = words.join(broadcast_if_small(table.where(~is_phrase)), "keyword").select("_digest", "domain", "keyword")
+    words = texts.select("_digest", F.explode(F.array_distinct(F.split("_text", WORD_BREAK))).alias("_word")).withColumn("_hash", F.xxhash64("_word"))
+    listed = table.where(~is_phrase).withColumn("_hash", F.xxhash64("keyword"))
+    found = words.join(broadcast_if_small(listed), "_hash").where(F.col("_word") == F.col("keyword")).select("_digest", "domain", "keyword")
 
     phrases = _phrase_probes(table.where(is_phrase))
     shapes = sorted(tuple(r) for r in phrases.select("before", "after").distinct().collect())  # (SIDE + 1) squared rows at most
